@@ -82,3 +82,13 @@ def bounded_sample(df: DataFrame, key: str, kind: str, per_kind: int, max_kinds:
         share = F.pmod(F.xxhash64(F.lit(1729), F.col(key)), F.lit(1 << 40)) < int((1 << 40) * min(1.0, per_kind / n))
         keep = keep | ((F.col(kind) == value) & share)
     return df.where(keep)
+
+
+#: Ids up to this number are broadcast (16 MB); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs without the rows whose key is among ids. Rows with a null key stay."""
+    gone = durable(ids.select(key).distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, key, "left_anti")

@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import without
 from .quality_model import split_words
 
 SIMILARITY, MIN_ITEM, BLOCK = 0.8, 5, 10_000
@@ -242,4 +243,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that match an item."""
-    return docs.join(contamination(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+    return without(docs, contamination(docs, benchmark))

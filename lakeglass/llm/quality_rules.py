@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, let, words_of
+from .common import durable, let, without, words_of
 
 #: Feature of a rule, and its cutoffs from lax to strict.
 RULES: dict[str, list[float]] = {
@@ -165,3 +165,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alp
     for r in rules:
         rejected = rejected | F.coalesce(F.col(r) >= F.col(f"{r}_cut"), F.lit(False))
     return joined.withColumn("kept", ~F.col("base_failed") & ~rejected)
+
+
+def quality_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs that are kept. A doc_id that any of its rows fails goes with all of them; rows with a null doc_id are judged by the base rules."""
+    judged = quality_rules(docs.where(F.col("doc_id").isNotNull()), labels)
+    named = without(docs.where(F.col("doc_id").isNotNull()), judged.where(~F.col("kept")))
+    nameless = signals(docs.where(F.col("doc_id").isNull())).where(~base_failed()).select(docs.columns)
+    return named.select(docs.columns).unionByName(nameless)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, without
 from .components import connected_components
 from .quality_model import split_words
 
@@ -205,3 +205,9 @@ def simhash_components(docs: DataFrame, shingle: int = 3, limit: int = 2) -> Dat
     joined = durable(connected_components(links(distinct, limit)))
     classes = distinct.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("f", F.coalesce("component", "rep").alias("component_id"))
     return marked.join(classes, "f")
+
+
+def near_dedup(docs: DataFrame, shingle: int = 3, limit: int = 2) -> DataFrame:
+    """docs with one document of each component, the one with the smallest doc_id. Rows with a null doc_id stay."""
+    found = simhash_components(docs.where(F.col("doc_id").isNotNull()), shingle, limit)
+    return without(docs, found.where("doc_id != component_id"))

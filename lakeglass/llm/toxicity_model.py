@@ -48,13 +48,14 @@ def machine(ids: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray) -> float:
     return w0 + float(w[ids].sum()) + 0.5 * float(total @ total - (chosen * chosen).sum()) / float(np.sqrt(len(ids)))
 
 
-def train(texts: list[str], labels: list[int], prior: float, epochs: int = 8, rate: float = 0.15, shrink: float = 5e-4, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
+def train(texts: list[str], labels: list[int], prior: float, epochs: int = 8, rate: float = 0.3, shrink: float = 5e-4, start: float = 3.0, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
     w, rng = np.zeros(BUCKETS, np.float32), np.random.default_rng(seed)
     if len(set(labels)) < 2:
         p = min(max(prior, 1e-3), 1 - 1e-3)
         return float(np.log(p / (1 - p))), w, np.zeros((BUCKETS, FACTORS), np.float32)
     v = rng.normal(0, 0.01, (BUCKETS, FACTORS)).astype(np.float32)
-    gw, gv, w0, g0 = np.full(BUCKETS, 1e-2, np.float32), np.full((BUCKETS, FACTORS), 1e-2, np.float32), 0.0, 1e-2
+    # accumulators start high, so that a term moves far only if many documents push it the same way
+    gw, gv, w0, g0 = np.full(BUCKETS, start, np.float32), np.full((BUCKETS, FACTORS), start, np.float32), 0.0, start
     docs = [terms(t) for t in texts]
     y = np.array(labels)
     # terms of one or two documents cannot be told from these documents' labels; they are not learned
@@ -63,7 +64,8 @@ def train(texts: list[str], labels: list[int], prior: float, epochs: int = 8, ra
         seen[ids] += 1
     docs = [ids[seen[ids] > 2] for ids in docs]
     share = y.mean()
-    weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
+    # half of the way (by logarithm) back from the sample's shares to those of all labelled rows: rare insults count more
+    weight = np.sqrt(np.where(y == 1, prior / share, (1 - prior) / (1 - share)))
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
             ids = docs[i]

@@ -143,9 +143,9 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     counted = held.groupBy("stratum").agg(F.count("*").alias("n"), *sums)
     tests = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cut"), F.lit(i).alias("step"), F.col(f"{r}_{i}").alias("k")) for r, grid in rules.items() for i, c in enumerate(grid)))
     rows = counted.select("stratum", "n", F.explode(tests).alias("t")).select("stratum", "n", "t.*")
-    strata = measured.agg(F.count_distinct("stratum").alias("strata"))
-    judged = rows.crossJoin(F.broadcast(strata)).withColumn("p_value", binomial_tail(F.col("n"), F.col("k"), alpha / len(rules)))  # strata: one row
-    passed = F.col("p_value") <= delta / len(rules) / F.col("strata")
+    strata = measured.agg(F.count_distinct("stratum")).first()[0]
+    judged = rows.withColumn("p_value", binomial_tail(F.col("n"), F.col("k"), alpha / len(rules)))
+    passed = F.col("p_value") <= delta / len(rules) / max(1, strata)
     first_failure = judged.groupBy("stratum", "rule").agg(F.min(F.when(~passed, F.col("step"))).alias("fails"), F.collect_list(F.struct("step", "cut")).alias("grid"))
     last = F.array_max(F.filter("grid", lambda x: F.col("fails").isNull() | (x["step"] < F.col("fails"))))
     return first_failure.withColumn("cut", last["cut"]).groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cut"))).alias(f"{r}_cut") for r in rules))

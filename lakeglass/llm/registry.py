@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_model_id, line_dedup, lm_score, quality_model, quality_rules, simhash, toxicity_model
+from . import byte_bpe, decontaminate, language_model_id, line_dedup, lm_score, quality_model, quality_rules, simhash, substring_dedup, toxicity_model
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), keep_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,7 +64,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_lm_scoring, op4_decontamination, op5_simhash, op6_quality_classifier, op7_toxicity, op8_language_id, op9_line_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_lm_scoring, op4_decontamination, op5_simhash, op6_quality_classifier, op7_toxicity, op8_language_id, op9_line_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

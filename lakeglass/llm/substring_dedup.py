@@ -41,13 +41,13 @@ from .common import _forget, durable, shared_dir
 
 SPAN, GRAM = 50, 20
 #: Window starts that are hashed at once, and the bits of a place among them.
-BLOCK, PLACE_BITS = 1 << 21, 22
+BLOCK, PLACE_BITS = 1 << 15, 16
 #: Text bytes for each slice, trigger bucket and file of the table.
 SLICE_BYTES, BUCKET_BYTES, FILE_BYTES = 4 << 20, 8 << 20, 16 << 20
 #: Phrases of a trigger in one slice, and sent in all, from which it is split.
 MOST, CROWD = 4, 4096
-#: Phrases that are ordered at once.
-ORDERED = 50_000
+#: Phrases that are ordered at once, but for those of one trigger.
+ORDERED = 4000
 
 MANY = np.uint32(0xFFFFFFFF)
 PLACE = np.uint64((1 << PLACE_BITS) - 1)
@@ -58,7 +58,6 @@ STEP = np.uint64(0xD6E8FEB86659FD93)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """PRIME ** i and its inverse, modulo 2 ** 64, for i below n."""
     if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, 1 << 16)
         _POWERS[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, p, np.uint64))]) for p in (PRIME, pow(PRIME, -1, 1 << 64))]
     return _POWERS[0][:n], _POWERS[1][:n]
 
@@ -98,12 +97,12 @@ def parse(data: np.ndarray, offsets: np.ndarray) -> Iterator[Phrases]:
     """The phrases of documents that lie end to end in data, block by block."""
     for base in range(0, max(0, len(data) - SPAN + 1), BLOCK):
         part = data[base : base + BLOCK + SPAN - 1]
-        powers, _ = _powers(len(part) + 1)
+        powers, inverse = _powers(len(part) + 1)
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
-        grams = np.arange(len(part) - GRAM + 1)
-        hashes = _hash(sums, grams, GRAM)
-        least = (hashes & ~PLACE) | grams.astype(np.uint64)
+        places = np.arange(len(part) - GRAM + 1, dtype=np.uint64)
+        hashes = mix((sums[GRAM:] - sums[:-GRAM]) * inverse[: len(places)])
+        least = (hashes & ~PLACE) | places
         width = 1
         while 2 * width <= SPAN - GRAM + 1:  # minima over 2, 4, 8, 16 places, then over all
             least = np.minimum(least[:-width], least[width:])
@@ -112,7 +111,9 @@ def parse(data: np.ndarray, offsets: np.ndarray) -> Iterator[Phrases]:
         least = np.minimum(least[: len(least) - rest], least[rest:])
         trigger = (least & PLACE).astype(np.int64)
         starts = np.arange(len(trigger))
-        row = np.searchsorted(offsets, base + starts, side="right") - 1
+        low, high = np.searchsorted(offsets, [base, base + len(starts)], side="right") - [1, 0]
+        cuts = np.clip(offsets[low : high + 1] - base, 0, len(starts))
+        row = np.repeat(np.arange(low, low + len(cuts) - 1), np.diff(cuts))
         inside = base + starts + SPAN <= offsets[row + 1]
         starts, trigger, row = starts[inside], trigger[inside], row[inside]
         if not len(starts):

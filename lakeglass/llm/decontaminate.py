@@ -2,14 +2,16 @@
 
 A document is contaminated by an item of n words if some run of its words is within floor((1 - SIMILARITY) * n) word edits of it.
 
-1. Windows of an item's size slide over every document. A window within k edits still has n - 1 - 2k of the item's word pairs (an
-   edit breaks two at most), so windows with fewer pairs of the benchmark cannot match and are left out without loss.
+1. Windows of an item's size slide over every document. A window within k edits of an item still has n - 2 - 3k of its word
+   triples (an edit breaks three at most), and one at least if n >= 6, as k edits leave one of k + 1 runs of three words whole (items of five
+   words: pairs instead). Windows with fewer triples of the benchmark cannot match and are left out without loss.
 2. The CGK random walk reads a window's words into a string of 3n symbols: at each step it writes the word under a pointer, which
    then moves on or stays by a random bit of (step, word). Few edits apart becomes few places apart (Hamming).
 3. Each table of the LSH samples PLACES places of a walk; windows and items with equal samples are candidates. The number of
    tables follows from the target recall: the share of equal places is measured on the items themselves, edited at random as
    far as the rule allows.
-4. Candidates are verified by the exact edit distance of the item to the best run around the window.
+4. Candidates that keep enough of the item's own triples are verified by the exact edit distance of the item to the best run around
+   the window.
 
 The benchmark is a query set held against all documents in blocks of at most BLOCK items, so each broadcast is bounded. Windows on
 neighbouring places share most words; of a stretch of them every few words one is embedded.
@@ -32,31 +34,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import without
-from .quality_model import split_words
 
 SIMILARITY, MIN_ITEM, BLOCK = 0.8, 5, 10_000
 WALKS, PLACES, RECALL, MOST_TABLES = 5, 3, 0.98, 60
 AROUND = ".,;:!?\"'()[]{}<>*#|-_`~¡¿«»“”‘’…"
-REMEMBERED, SEED = 400_000, 20_240_607
+REMEMBERED, SEED = 600_000, 20_240_607
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        bare = word.lower().strip(AROUND)
+    """Hash of each word, by its UTF-8 bytes; 0 for punctuation only."""
+
+    def __missing__(self, word: bytes) -> int:
+        bare = word.decode("utf-8", "surrogatepass").lower().strip(AROUND)
         self[word] = h = xxhash.xxh64_intdigest(bare.encode("utf-8", "surrogatepass"), 3) | 1 if bare else 0
         return h
 
 
-def word_hashes(text: str, known: _Hashes) -> np.ndarray:
+def word_hashes(text: bytes, known: _Hashes) -> np.ndarray:
     """Hashes of a text's words; words of punctuation only are left out."""
-    words = split_words(text)
+    words = text.split()  # at the six separators, which are all that bytes knows
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     return h[h != 0]
 
 
-def pairs_of(h: np.ndarray) -> np.ndarray:
-    return (h[:-1] * MIX + h[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
+def grams_of(h: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of each q words in a row."""
+    g = h[: len(h) - q + 1]
+    for k in range(1, q):
+        g = g * MIX + h[k : len(h) - q + 1 + k]
+    return g * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def allowed(n: int) -> int:
@@ -92,7 +99,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         known = _Hashes()
-        self.items = [(i, h) for i, text in items if len(h := word_hashes(text or "", known)) >= MIN_ITEM]
+        self.items = [(i, h) for i, text in items if len(h := word_hashes((text or "").encode("utf-8", "surrogatepass"), known)) >= MIN_ITEM]
         rng = np.random.default_rng(SEED)
         self.longest = max((len(h) for _, h in self.items), default=0)
         self.rand = rng.integers(0, 1 << 63, (WALKS, 3 * self.longest), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -110,11 +117,24 @@ class Index:
                     table[key].append(k)
                 tables.append(dict(table))
             self.found[n] = tables
-        self.pairs = np.unique(np.concatenate([pairs_of(h) for _, h in self.items])) if self.items else np.zeros(0, np.uint64)
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[(self.pairs >> np.uint64(42)).astype(np.int64)] = True
-        self.needed = {n: max(1, n - 1 - 2 * allowed(n)) for n in self.by_size}
-        self.least = min(self.needed.values(), default=0)
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray, list[tuple[int, ...]]]] = {}
+        for q in {self.gram(n) for n in self.by_size}:
+            sizes: dict[int, set[int]] = defaultdict(set)
+            for _, h in self.items:
+                if self.gram(len(h)) == q:
+                    for g in grams_of(h, q).tolist():
+                        sizes[g].add(len(h))
+            grams = np.array(sorted(sizes), np.uint64)
+            maybe = np.zeros(1 << 22, bool)
+            maybe[(grams >> np.uint64(42)).astype(np.int64)] = True
+            self.grams[q] = grams, maybe, [tuple(sorted(sizes[g])) for g in grams.tolist()]
+        self.own = [(q := self.gram(len(h)), frozenset(grams_of(h, q).tolist())) for _, h in self.items]
+        self.needed = {n: max(1, n - (q := self.gram(n)) + 1 - q * allowed(n)) for n in self.by_size}
+
+    @staticmethod
+    def gram(n: int) -> int:
+        """Words of the runs that windows of n words are filtered by."""
+        return 3 if n >= 6 else 2
 
     def _tables_needed(self, rng: np.random.Generator) -> int:
         """Tables for the target recall, from the equal places of items and edited copies (a low quantile of them)."""
@@ -149,32 +169,34 @@ class Index:
 
     def windows(self, h: np.ndarray) -> dict[int, np.ndarray]:
         """Starts of the windows to embed, by size."""
-        if len(h) < 2:
-            return {}
-        pairs = pairs_of(h)
-        hit = self.maybe[(pairs >> np.uint64(42)).astype(np.int64)]
-        some = np.flatnonzero(hit)
-        if len(some) < self.least:
-            return {}
-        some = some[np.isin(pairs[some], self.pairs, assume_unique=False)]
-        if len(some) < self.least:
-            return {}
-        total = np.zeros(len(h), np.int64)
-        total[some + 1] = 1
-        total = np.cumsum(total)  # pairs among the first i + 1 words
         found = {}
-        for n, needed in self.needed.items():
-            size = min(n, len(h))
-            if size < n - allowed(n):
+        for q, (grams, maybe, sizes) in self.grams.items():
+            if len(h) < q:
                 continue
-            starts = np.arange(len(h) - size + 1)
-            good = starts[total[starts + size - 1] - total[starts] >= (needed if size == n else max(1, needed - (n - size)))]
-            if len(good):
-                step = max(1, n // 8)
-                fresh = np.flatnonzero(np.diff(good, prepend=-2) != 1)  # where a stretch begins
-                begin = good[fresh][np.cumsum(np.isin(np.arange(len(good)), fresh)) - 1]
-                end = np.append(good[fresh[1:] - 1], good[-1])[np.cumsum(np.isin(np.arange(len(good)), fresh)) - 1]
-                found[n] = good[((good - begin) % step == 0) | (good == end)]
+            own = grams_of(h, q)
+            some = np.flatnonzero(maybe[(own >> np.uint64(42)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(grams, own[some]), len(grams) - 1)
+            true = grams[at] == own[some]
+            places: dict[int, list[int]] = defaultdict(list)
+            for place, i in zip(some[true].tolist(), at[true].tolist(), strict=True):
+                for n in sizes[i]:
+                    places[n].append(place)
+            for n, hits in places.items():
+                size = min(n, len(h))
+                needed = max(1, self.needed[n] - (n - size))
+                if size < n - allowed(n) or len(hits) < needed:
+                    continue
+                # a window that holds `needed` of the runs holds as many neighbouring ones
+                p = np.array(hits)
+                first, last = p[: len(p) - needed + 1], p[needed - 1 :]
+                lo, hi = np.maximum(0, last + q - size), np.minimum(first, len(h) - size)
+                counts = np.maximum(0, hi - lo + 1)
+                if not counts.any():
+                    continue
+                good = np.unique(np.repeat(lo, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
+                fresh = np.diff(good, prepend=-2) != 1  # where a stretch begins
+                begin = good[np.maximum.accumulate(np.where(fresh, np.arange(len(good)), 0))]
+                found[n] = good[((good - begin) % max(1, n // 8) == 0) | np.append(fresh[1:], True)]
         return found
 
     def search(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
@@ -199,11 +221,16 @@ class Index:
             item_id, item = self.items[k]
             n, limit = len(item), allowed(len(item))
             best, upto = limit + 1, -1
+            q, own = self.own[k]
             for s in sorted(starts):
                 if s <= upto:
                     continue
                 upto = s + n // 2
-                best = min(best, nearest(item, docs[d][max(0, s - n) : s + 2 * n + limit]))
+                region = docs[d][max(0, s - n) : s + 2 * n + limit]
+                # the item's own runs of q words: a run within the limit still has this many of the distinct ones
+                if len(region) < q or len(own.intersection(grams_of(region, q).tolist())) < max(1, len(own) - q * limit):
+                    continue
+                best = min(best, nearest(item, region))
                 if best == 0:
                     break
             if best <= limit:
@@ -217,10 +244,10 @@ def _search_block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
         index, known = shared.value, _Hashes()
         for batch in batches:
             for at in range(0, len(batch), 500):
-                ids, texts = batch.column(0).slice(at, 500), batch.column(1).slice(at, 500).to_pylist()
+                ids, texts = batch.column(0).slice(at, 500), batch.column(1).slice(at, 500).cast(pa.binary()).to_pylist()
                 if len(known) > REMEMBERED:
                     known.clear()
-                found = list(index.search([word_hashes(x or "", known) for x in texts]))
+                found = list(index.search([word_hashes(x or b"", known) for x in texts]))
                 d, item, best, n = zip(*found, strict=True) if found else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(d, pa.int64())), *(pa.array(x, pa.int64()) for x in (item, best, n))], names=["doc_id", "item_id", "distance", "item_words"])
 

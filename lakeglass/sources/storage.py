@@ -114,11 +114,14 @@ def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
     name = detect_encoding(data)
     text = data.decode(name, "replace")
     sep = detect_delimiter(text)
-    charset = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}[name]
+    # Spark reads no cp1252: it is read as latin-1, and the bytes that differ are put right afterwards
+    charset = "UTF-8" if name.startswith("utf-8") else "ISO-8859-1"
     df = spark.read.csv(path, header=True, sep=sep, encoding=charset, multiLine='"' in text, escape='"', mode="PERMISSIVE", enforceSchema=True)
     need(df.columns, "the file has no columns")
     clean = [c.lstrip("﻿").strip() or f"column_{i + 1}" for i, c in enumerate(df.columns)]
-    df = df.toDF(*clean).select(*(null_missing(F.col(f"`{c}`")).alias(c) for c in clean))
+    other = bytes(b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))
+    fix = (lambda c: F.translate(c, other.decode("latin-1"), other.decode("cp1252"))) if name == "cp1252" else (lambda c: c)
+    df = df.toDF(*clean).select(*(null_missing(fix(F.col(f"`{c}`"))).alias(c) for c in clean))
     return typed(df) if infer else df
 
 

@@ -2,33 +2,36 @@
 
 1. Lines (split at newlines) are normalised: lower case, digits to 0, other runs than letters and digits to one space. Lines with
    nothing left are no candidates and always stay.
-2. A line's 63-bit SimHash over its distinct words' hashes (of many words the 127 smallest hashes, which two like lines share;
-   repeats would let the commonest words decide): 7 sums are taken, each with nine 7-bit counters packed into a bigint, and
-   pre-aggregated before the shuffle.
-3. Lines with equal normal forms are one class from the start. Classes whose fingerprints differ in at most 3 bits agree in two of
-   five blocks, so the ten pairs of blocks are the join keys (25 bits or so each).
+2. Lines with equal normal forms are one class from the start.
+3. A line's sketch is the KEYS smallest hashes of its distinct character n-grams, of all its text. n follows from the length (GRAMS), and lines
+   just above a length class have a sketch of both. Two hashes of a sketch at most `reach` places apart are a join key. Lines of up to
+   10 characters are keyed by every two n-grams, and similar ones of 5 or more share two (repeats within a line aside). Of longer
+   ones a share is missed; the README has the measured recall.
 4. Classes that meet are verified by the edit similarity of their normal forms, at least SIMILARITY.
 5. Of each connected group of lines, the first occurrence (smallest doc_id, then line number) stays.
 
-A key that more than CROWD classes share would give all their pairs. There every class is verified against up to LEADERS
-leaders of the key instead (and, as everywhere, under its nine other keys): the pairs grow with the lines, not their square.
+A key that more than CROWD classes share is split by each further hash of its members' sketches. Where a part is still that large,
+its members are nearly all alike: each is verified against the smallest one, which connects those that are similar to it, and each
+of the others against every member. No pair of the part is left out of account.
 
 Defined results: a null text stays null, an empty one empty. A removed line goes with its newline. Rows of the same doc_id are taken
-for copies of one document. Pairs of lines of over 5,000 characters must be within MAX_EDITS edits. Extra columns pass through.
+for copies of one document. Extra columns pass through.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable
 from .components import connected_components
 
-LANE, LANES, BLOCKS, DISTANCE, SIMILARITY = 7, 9, [(0, 13), (13, 13), (26, 13), (39, 12), (51, 12)], 3, 0.8
-CROWD, LEADERS, MAX_EDITS = 32, 8, 1000
+SIMILARITY, KEYS, CROWD = 0.8, 24, 32
+#: Longest line, characters of an n-gram and reach of a key, by length class.
+GRAMS = [(6, 2, 12), (10, 3, 12), (25, 4, 4), (75, 5, 1), (1 << 31, 10, 1)]
+#: n-grams are taken from pieces of a line, as finding a character costs the characters before it.
+PIECE = 64
+MAX_EDITS = 1000
 BANDS = (4, 16, 64, 250)
 #: Candidate ids up to this number are broadcast.
 BROADCAST_IDS = 1_000_000
@@ -41,37 +44,56 @@ def normal_lines(text: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line, h (hash of the normal form) and f (SimHash) of every line that has a word."""
+    """doc_id, line, h (hash of the normal form) and norm of every line that has a word."""
     each = docs.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(normal_lines(F.col("text"))).alias("line", "norm"))
-    limit = (1 << LANE) - 1
-    hashes = F.slice(F.sort_array(F.array_distinct(F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))), 1, limit)
-    named = each.select("doc_id", "line", F.trim("norm").alias("norm")).where("norm != ''").select("doc_id", "line", F.xxhash64("norm").alias("h"), F.explode(hashes).alias("x"))
-    mask = sum(1 << LANE * lane for lane in range(LANES))
-    sums = [F.sum(F.shiftright("x", k).bitwiseAND(F.lit(mask))).alias(f"s{k}") for k in range(LANE)]
-    summed = named.groupBy("doc_id", "line", "h").agg(F.count("*").alias("n"), *sums)
-    f = F.lit(0).cast("long")
-    for k in range(LANE):
-        for lane in range(LANES):
-            counter = F.shiftright(f"s{k}", LANE * lane).bitwiseAND(F.lit(limit).cast("long"))
-            f = f + F.when(counter * 2 > F.col("n"), F.lit(1 << (k + LANE * lane)).cast("long")).otherwise(F.lit(0).cast("long"))
-    return summed.select("doc_id", "line", "h", f.alias("f"))
-
-
-def candidates(classes: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """Pairs a < b of classes (h, f) that meet under a key and differ in at most DISTANCE bits."""
-    block = lambda at, width: F.shiftright("f", at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-    keys = F.array(*(F.struct(F.lit(i).alias("pair"), (block(*x) * (1 << 13) + block(*y)).alias("key")) for i, (x, y) in enumerate(combinations(BLOCKS, 2))))
-    rows = classes.select("h", "f", F.explode(keys).alias("k")).select("h", "f", (F.col("k.pair") * (1 << 26) + F.col("k.key")).alias("key"))
-    sizes = durable(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    met = durable(rows.join(sizes, "key"))
-    near = (F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= DISTANCE) & (F.col("h") != F.col("o"))
-    few = met.where(F.col("n") <= crowd)
-    pairs = few.join(few.select("key", F.col("h").alias("o"), F.col("f").alias("g")), "key").where(near & (F.col("h") < F.col("o")))
-    many = met.where(F.col("n") > crowd)
-    leader = durable(many.groupBy("key", F.pmod("h", F.lit(LEADERS)).alias("slot")).agg(F.min("h").alias("o"), F.min_by("f", "h").alias("g")).select("key", "o", "g"))
-    led = many.join(leader, "key").where(near)
-    both = pairs.select("h", "o").unionByName(led.select("h", "o"))
-    return both.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct()
+    return each.select("doc_id", "line", F.trim("norm").alias("norm")).where("norm != ''").select("doc_id", "line", F.xxhash64("norm").alias("h"), "norm")
+
+
+def _sketch(norm: Column, size: int) -> Column:
+    """The KEYS smallest hashes of the distinct n-grams of `size` characters; a shorter line is one n-gram."""
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(norm) - size, F.lit(0)) / PIECE).cast("int")), lambda b: F.substring(norm, b * PIECE + 1, F.lit(PIECE + size - 1)))
+    grams = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - size + 1, F.lit(1))), lambda i: F.xxhash64(F.lit(size), F.substring(s, i, F.lit(size))))
+    return F.slice(F.sort_array(F.array_distinct(F.flatten(F.transform(pieces, grams)))), 1, KEYS)
+
+
+def sketches(norm: Column) -> Column:
+    """A line's sketches: size and reach of its class and s (hashes) for its length class and the one below, if a similar line may be of that."""
+    found, below = [], 0
+    for upto, size, reach in GRAMS:
+        applies = (F.length(norm) > below) & (F.length(norm) * SIMILARITY <= upto)
+        found.append(F.when(applies, F.struct(F.lit(size).alias("size"), F.lit(reach).alias("reach"), _sketch(norm, size).alias("s"))))
+        below = upto
+    return F.array_compact(F.array(*found))
+
+
+def sketch_keys(size: Column, reach: Column, s: Column) -> Column:
+    """key and the places i <= j of its two hashes; a sketch of one hash has that as its key."""
+    last = F.size(s) - 1
+    key = lambda i, j: F.struct(F.xxhash64(size, F.get(s, i), F.get(s, j)).alias("key"), i.cast("tinyint").alias("i"), j.cast("tinyint").alias("j"))
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.transform(F.sequence(i + 1, F.least(i + reach, last)), lambda j: key(i, j))))
+    return F.when(last > 0, pairs).otherwise(F.array(key(F.lit(0), F.lit(0))))
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """rows with n, the rows of their key; keys of one row left out."""
+    return durable(rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select("key", "h").join(met.select("key", F.col("h").alias("o")), "key").where("h < o").select(F.col("h").alias("a"), F.col("o").alias("b")).distinct()
+
+
+def candidates(keyed: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """Pairs a < b of classes (h, sketches) that meet under a key; and key, h of the parts that are crowded even when split."""
+    each = keyed.select("h", F.explode("sketches").alias("k")).select("h", "k.*")
+    met = _groups(each.select("h", "size", F.explode(sketch_keys(F.col("size"), F.col("reach"), F.col("s"))).alias("k")).select("h", "size", "k.*"))
+    # a crowded key goes with each other hash of its sketch
+    held = met.where(F.col("n") > crowd).join(each, ["h", "size"])
+    others = F.filter("s", lambda x, i: (i != F.col("i")) & (i != F.col("j")))
+    split = held.select("h", "key", F.explode(others).alias("other")).select("h", F.xxhash64("key", "other").alias("key"))
+    parts = _groups(split)
+    pairs = _pairs(met.where(F.col("n") <= crowd)).unionByName(_pairs(parts.where(F.col("n") <= crowd))).distinct()
+    return pairs, parts.where(F.col("n") > crowd).select("key", "h")
 
 
 def similar(a: Column, b: Column, least: float = SIMILARITY) -> Column:
@@ -87,22 +109,38 @@ def similar(a: Column, b: Column, least: float = SIMILARITY) -> Column:
     return F.when(F.abs(F.length(a) - F.length(b)) > allowed, F.lit(False)).otherwise(found)
 
 
-def duplicate_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line (from 0) of each line to remove."""
-    found = durable(lines(docs))
-    classes = durable(found.groupBy("h").agg(F.min("f").alias("f"), F.min(F.struct("doc_id", "line")).alias("at")))
-    pairs = durable(candidates(classes.select("h", "f")))
-    # the texts of candidates only, from one occurrence of each
-    ids = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+def _texts(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """h and norm of the classes in ids, read from one occurrence of each."""
     wanted = durable(classes.join(ids, "h").select("h", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line")).groupBy("doc_id").agg(F.collect_set(F.struct("line", "h")).alias("want")))
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     held = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(wanted, "doc_id")
     picked = F.transform("want", lambda x: F.struct(x["h"].alias("h"), F.trim(F.get(F.col("norms"), x["line"])).alias("norm")))
-    texts = durable(held.withColumn("norms", normal_lines(F.col("text"))).select(F.explode(picked).alias("p")).select("p.*").where(F.xxhash64("norm") == F.col("h")).dropDuplicates(["h"]))
+    return durable(held.withColumn("norms", normal_lines(F.col("text"))).select(F.explode(picked).alias("p")).select("p.*").where(F.xxhash64("norm") == F.col("h")).dropDuplicates(["h"]))
+
+
+def _similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left, right = texts.select(F.col("h").alias("a"), F.col("norm").alias("x")), texts.select(F.col("h").alias("b"), F.col("norm").alias("y"))
-    links = pairs.join(left, "a").join(right, "b").where(similar(F.col("x"), F.col("y"))).select("a", "b")
-    groups = durable(connected_components(links))
+    return durable(pairs.join(left, "a").join(right, "b").where(similar(F.col("x"), F.col("y"))).select("a", "b"))
+
+
+def duplicate_lines(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """doc_id, line (from 0) of each line to remove."""
+    every = lines(docs)
+    found = durable(every.select("doc_id", "line", "h"))
+    classes = durable(found.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at")))
+    keyed = every.select("h", sketches(F.col("norm")).alias("sketches")).dropDuplicates(["h"])
+    pairs, crowds = candidates(durable(keyed), crowd)
+    pairs, crowds = durable(pairs), durable(crowds)
+    ids = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).union(crowds.select("h")).distinct()
+    texts = _texts(docs, classes, ids)
+    links = _similar_pairs(pairs, texts)
+    # in a part that is still crowded: all against the smallest, then what is not like it against all
+    led = crowds.join(crowds.groupBy("key").agg(F.min("h").alias("a")), "key").where("h != a")
+    alike = _similar_pairs(led.select("a", F.col("h").alias("b")).distinct(), texts)
+    rest = durable(led.join(alike.withColumnRenamed("b", "h"), ["a", "h"], "left_anti").select("key", F.col("h").alias("o")))
+    others = rest.join(crowds, "key").where("o != h").select(F.least("o", "h").alias("a"), F.greatest("o", "h").alias("b")).distinct()
+    groups = durable(connected_components(links.unionByName(alike).unionByName(_similar_pairs(others, texts))))
     grouped = durable(classes.join(groups.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("component", "h").alias("group"), "at"))
     first = durable(grouped.groupBy("group").agg(F.min("at").alias("first")))
     kept = durable(grouped.join(first, "group").select("h", "first"))

@@ -160,6 +160,38 @@ def test_line_dedup(spark, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+def edits(x, y):
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        new = [i]
+        for j, e in enumerate(y, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != e)))
+        row = new
+    return row[-1]
+
+
+def test_line_dedup_finds_edited_lines(spark):
+    rng = random.Random(21)
+    rows = []
+    for n in (1, 2, 4, 8, 14, 20, 40):
+        for _ in range(3):
+            line = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(5, 8))) for _ in range(n))
+            words = line.split()
+            words[rng.randrange(n)] = "changed"
+            cut = rng.randrange(len(line))
+            rows += [line, " ".join(words), line[:cut] + "q" + line[cut:], line + "x", line[1:]]
+    boiler = "all rights reserved by the owner of this page "
+    rows += [boiler + rng.choice(WORDS) for _ in range(12)] + [boiler + prose(12, rng) for _ in range(6)]
+    group = list(range(len(rows)))
+    for i, x in enumerate(rows):
+        for j in range(i):
+            if abs(len(x) - len(rows[j])) <= 0.2 * max(len(x), len(rows[j])) and edits(x, rows[j]) <= 0.2 * max(len(x), len(rows[j])) + 1e-9:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    assert {r.doc_id for r in line_dedup.duplicate_lines(d).collect()} == {i for i, g in enumerate(group) if g != i}
+
+
 def test_lm_scores(docs, none):
     got = lm_score.lm_scores(docs, RANKS).collect()
     tokens = lambda t: [w.translate({c: c + 32 for c in range(65, 91)}) for w in split(t)] + [None]

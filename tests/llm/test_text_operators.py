@@ -170,7 +170,8 @@ def edits(x, y):
     return row[-1]
 
 
-def test_line_dedup_finds_edited_lines(spark):
+@pytest.mark.parametrize("crowd", [1, line_dedup.CROWD])
+def test_line_dedup_finds_edited_lines(spark, crowd):
     rng = random.Random(21)
     rows = []
     for n in (1, 2, 4, 8, 14, 20, 40):
@@ -189,7 +190,7 @@ def test_line_dedup_finds_edited_lines(spark):
                 old, new = max(group[i], group[j]), min(group[i], group[j])
                 group = [new if g == old else g for g in group]
     d = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
-    assert {r.doc_id for r in line_dedup.duplicate_lines(d).collect()} == {i for i, g in enumerate(group) if g != i}
+    assert {r.doc_id for r in line_dedup.duplicate_lines(d, crowd).collect()} == {i for i, g in enumerate(group) if g != i}
 
 
 def test_lm_scores(docs, none):

@@ -193,6 +193,13 @@ def test_line_dedup_finds_edited_lines(spark, crowd):
     assert {r.doc_id for r in line_dedup.duplicate_lines(d, crowd).collect()} == {i for i, g in enumerate(group) if g != i}
 
 
+def test_line_dedup_long_lines_of_repeated_rows(spark):
+    line = prose(150, random.Random(4))
+    near = line[:300] + "q" + line[300:]
+    d = spark.createDataFrame([(1, line)] * 3 + [(2, near)], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in line_dedup.line_dedup(d).collect()) == [(1, 0), (1, 0), (1, 0), (2, 1)]
+
+
 def test_lm_scores(docs, none):
     got = lm_score.lm_scores(docs, RANKS).collect()
     tokens = lambda t: [w.translate({c: c + 32 for c in range(65, 91)}) for w in split(t)] + [None]

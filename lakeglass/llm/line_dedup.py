@@ -31,8 +31,7 @@ SIMILARITY, KEYS, CROWD = 0.8, 24, 32
 GRAMS = [(6, 2, 12), (10, 3, 12), (25, 4, 4), (75, 5, 1), (1 << 31, 10, 1)]
 #: n-grams are taken from pieces of a line, as finding a character costs the characters before it.
 PIECE = 64
-MAX_EDITS = 1000
-BANDS = (4, 16, 64, 250)
+BANDS = (4, 16, 64, 250, 1000, 4000, 16000)
 #: Candidate ids up to this number are broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -99,10 +98,10 @@ def candidates(keyed: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFra
 def similar(a: Column, b: Column, least: float = SIMILARITY) -> Column:
     """Edit similarity 1 - distance / longer length is at least `least`."""
     longer = F.greatest(F.length(a), F.length(b))
-    allowed = F.least(F.floor((1 - least) * longer + 1e-9), F.lit(MAX_EDITS)).cast("int")
+    allowed = F.floor((1 - least) * longer + 1e-9).cast("int")
     # Spark's levenshtein() takes a constant bound, and works in a band of that width. Most pairs are a few edits apart: narrow
     # bands come first, and a wider one only where the pair may need it
-    found = F.levenshtein(a, b, MAX_EDITS).between(F.lit(0), allowed)
+    found = F.levenshtein(a, b) <= allowed
     for band in reversed(BANDS):
         at = F.levenshtein(a, b, band)
         found = F.when(at >= 0, at <= allowed).when(allowed <= band, F.lit(False)).otherwise(found)

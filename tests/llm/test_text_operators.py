@@ -200,6 +200,13 @@ def test_line_dedup_long_lines_of_repeated_rows(spark):
     assert sorted((r.doc_id, r.n_removed) for r in line_dedup.line_dedup(d).collect()) == [(1, 0), (1, 0), (1, 0), (2, 1)]
 
 
+def test_similar_very_long_lines(spark):
+    x = "abcdefghij" * 700
+    pairs = [(x, "q" * 1200 + x[1200:]), (x, "q" * 1500 + x[1500:])]
+    d = spark.createDataFrame(pairs, "x string, y string")
+    assert [r[0] for r in d.select(line_dedup.similar(d.x, d.y)).collect()] == [True, False]
+
+
 def test_lm_scores(docs, none):
     got = lm_score.lm_scores(docs, RANKS).collect()
     tokens = lambda t: [w.translate({c: c + 32 for c in range(65, 91)}) for w in split(t)] + [None]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -24,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where the session names none (tests)."""
+    """The folder that the driver and all executors share. Only a local session that names none gets a temporary one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lakeglass-")
         atexit.register(shutil.rmtree, named[7:], ignore_errors=True)
         spark.sparkContext.setCheckpointDir(named)
@@ -54,6 +57,13 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have."""
+    while name in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once for a row, whatever the optimizer does with the expression."""
     return F.transform(F.array(value), body).getItem(0)

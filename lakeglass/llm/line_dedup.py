@@ -1,21 +1,24 @@
-"""Fuzzy line dedup, in built-in functions only.
+"""Fuzzy line dedup by SimHash and pigeonhole blocks, in built-in functions only.
 
 1. Lines (split at newlines) are normalised: lower case, digits to 0, other runs than letters and digits to one space. Lines with
-   nothing left are no candidates and always stay.
-2. Lines with equal normal forms are one class from the start.
-3. A line's sketch is the KEYS smallest hashes of its distinct character n-grams, of all its text. n follows from the length (GRAMS), and lines
-   just above a length class have a sketch of both. Two hashes of a sketch at most `reach` places apart are a join key. Lines of up to
-   10 characters are keyed by every two n-grams, and similar ones of 5 or more share two (repeats within a line aside). Of longer
-   ones a share is missed; the README has the measured recall.
-4. Classes that meet are verified by the edit similarity of their normal forms, at least SIMILARITY.
+   nothing left are no candidates and always stay. Lines with equal normal forms are one class from the start.
+2. A line's features are its words (a word of under 4 letters together with the next one) or, up to 24 characters, its pairs of
+   characters (lines of up to 30 have a fingerprint of either kind). Their hashes deal them to BLOCKS groups, and a block of the fingerprint is the
+   SimHash of one group: bit by bit the majority of the hashes of its VOTES smallest features. In a SimHash over the whole line one
+   edit stirs every bit; here it stirs the few groups that hold the features it takes and gives, and most edits of long lines stir none.
+3. Lines that agree on SHARED blocks (not the empty ones) are candidates. They are found by joins on the blocks.
+4. Candidates are verified by edit similarity, at least SIMILARITY: of the characters of the normal forms, or of their words (compared
+   by 20-bit hashes) where the longer one has over LONG characters.
 5. Of each connected group of lines, the first occurrence (smallest doc_id, then line number) stays.
 
-A key that more than CROWD classes share is split by each further hash of its members' sketches. Where a part is still that large,
-its members are nearly all alike: each is verified against the smallest one, which connects those that are similar to it, and each
-of the others against every member. No pair of the part is left out of account.
+A block that more than CROWD classes share is not paired out. All are verified against its smallest member; those that are
+similar hang together by it. What is left meets the others again under two blocks; as candidates share two blocks, no pair is
+lost. Only lines that share two blocks with a crowd, and are not like its smallest member, are held against all of it.
 
-Defined results: a null text stays null, an empty one empty. A removed line goes with its newline. Rows of the same doc_id are taken
-for copies of one document. Extra columns pass through.
+Defined results: a null text stays null, an empty one empty. A removed line goes with its newline. Rows without a doc_id stay as they
+are, and their lines count for nothing. Rows of one doc_id and one text are copies of one document: what goes from one goes from all, and none is a
+duplicate of the other; rows of one doc_id and different texts are documents of their own, in the order of their texts' hashes. Ties
+cannot arise: an occurrence is told by doc_id, text and line. Empty tables give empty results. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -23,16 +26,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, fresh, let
 from .components import connected_components
 
-SIMILARITY, KEYS, CROWD = 0.8, 24, 32
-#: Longest line, characters of an n-gram and reach of a key, by length class.
-GRAMS = [(6, 2, 12), (10, 3, 12), (25, 4, 4), (75, 5, 1), (1 << 31, 10, 1)]
-#: n-grams are taken from pieces of a line, as finding a character costs the characters before it.
-PIECE = 64
+SIMILARITY, BLOCKS, VOTES, SHARED, CROWD = 0.8, 8, 3, 2, 12
+#: Characters up to which features are pairs of characters; from which words are compared.
+SHORT, LONG = 24, 100
+#: Letters from which a word is a feature by itself.
+WORD = 4
 BANDS = (4, 16, 64, 250, 1000, 4000, 16000)
-#: Candidate ids up to this number are broadcast.
+#: Documents with candidates up to this number are broadcast (by id and hash).
 BROADCAST_IDS = 1_000_000
 
 
@@ -42,63 +45,48 @@ def normal_lines(text: Column) -> Column:
     return F.split(plain, "\n")
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line, h (hash of the normal form) and norm of every line that has a word."""
-    each = docs.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(normal_lines(F.col("text"))).alias("line", "norm"))
-    return each.select("doc_id", "line", F.trim("norm").alias("norm")).where("norm != ''").select("doc_id", "line", F.xxhash64("norm").alias("h"), "norm")
-
-
-def _sketch(norm: Column, size: int) -> Column:
-    """The KEYS smallest hashes of the distinct n-grams of `size` characters; a shorter line is one n-gram."""
-    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(norm) - size, F.lit(0)) / PIECE).cast("int")), lambda b: F.substring(norm, b * PIECE + 1, F.lit(PIECE + size - 1)))
-    grams = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - size + 1, F.lit(1))), lambda i: F.xxhash64(F.lit(size), F.substring(s, i, F.lit(size))))
-    return F.slice(F.sort_array(F.array_distinct(F.flatten(F.transform(pieces, grams)))), 1, KEYS)
-
+def _features(norm: Column, short: bool) -> Column:
+    """Hashes of a line's features."""
+    pairs = lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.xxhash64(F.substring(s, i, F.lit(2))))
+    words = lambda w: F.transform(w, lambda x, i: F.when(F.length(x) >= WORD, F.xxhash64(x)).otherwise(F.xxhash64(x, F.get(w, i + 1))))
+    return let(F.concat(F.lit(" "), norm, F.lit(" ")), pairs) if short else let(F.split(norm, " "), words)
 
-def sketches(norm: Column) -> Column:
-    """A line's sketches: size and reach of its class and s (hashes) for its length class and the one below, if a similar line may be of that."""
-    found, below = [], 0
-    for upto, size, reach in GRAMS:
-        applies = (F.length(norm) > below) & (F.length(norm) * SIMILARITY <= upto)
-        found.append(F.when(applies, F.struct(F.lit(size).alias("size"), F.lit(reach).alias("reach"), _sketch(norm, size).alias("s"))))
-        below = upto
-    return F.array_compact(F.array(*found))
 
+def _fingerprint(norm: Column, short: bool) -> Column:
+    """The blocks of a line as keys; null for an empty block."""
 
-def sketch_keys(size: Column, reach: Column, s: Column) -> Column:
-    """key and the places i <= j of its two hashes; a sketch of one hash has that as its key."""
-    last = F.size(s) - 1
-    key = lambda i, j: F.struct(F.xxhash64(size, F.get(s, i), F.get(s, j)).alias("key"), i.cast("tinyint").alias("i"), j.cast("tinyint").alias("j"))
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.transform(F.sequence(i + 1, F.least(i + reach, last)), lambda j: key(i, j))))
-    return F.when(last > 0, pairs).otherwise(F.array(key(F.lit(0), F.lit(0))))
+    edges = [-(1 << 63) + (1 << 64) * j // BLOCKS for j in range(BLOCKS)]
 
+    def vote(three: Column, j: int) -> Column:
+        a, b, c = (F.when(x < edges[j + 1], x) if j + 1 < BLOCKS else x for x in (F.get(three, i) for i in range(VOTES)))
+        both = a.bitwiseAND(b)
+        most = F.when(c.isNotNull(), both.bitwiseOR(c.bitwiseAND(a.bitwiseOR(b)))).otherwise(F.coalesce(both, a))
+        return F.when(a.isNotNull(), F.xxhash64(F.lit(short), F.lit(j), b.isNull(), c.isNull(), most))
 
-def _groups(rows: DataFrame) -> DataFrame:
-    """rows with n, the rows of their key; keys of one row left out."""
-    return durable(rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"))
+    # sorted together with the first hashes of the groups, which show where each begins
+    own = F.sort_array(F.array_distinct(F.concat(_features(norm, short), F.array(*map(F.lit, edges)))))
+    block = lambda s, j: let(F.slice(s, F.array_position(s, F.lit(edges[j])).cast("int") + 1, VOTES), lambda three: vote(three, j))
+    return let(own, lambda s: F.array(*(block(s, j) for j in range(BLOCKS))))
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    return met.select("key", "h").join(met.select("key", F.col("h").alias("o")), "key").where("h < o").select(F.col("h").alias("a"), F.col("o").alias("b")).distinct()
+def blocks(norm: Column) -> Column:
+    """The keys of a line's blocks; none where nothing but equal lines are similar."""
+    n = F.length(norm)
+    words, pairs = _fingerprint(norm, False), _fingerprint(norm, True)
+    kinds = F.when(n <= SHORT, pairs).when(n * SIMILARITY <= SHORT, F.concat(words, pairs)).otherwise(words)
+    return F.when(n * (1 - SIMILARITY) < 1, F.array().cast("array<bigint>")).otherwise(F.array_compact(kinds))
 
 
-def candidates(keyed: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """Pairs a < b of classes (h, sketches) that meet under a key; and key, h of the parts that are crowded even when split."""
-    each = keyed.select("h", F.explode("sketches").alias("k")).select("h", "k.*")
-    met = _groups(each.select("h", "size", F.explode(sketch_keys(F.col("size"), F.col("reach"), F.col("s"))).alias("k")).select("h", "size", "k.*"))
-    # a crowded key goes with each other hash of its sketch
-    held = met.where(F.col("n") > crowd).join(each, ["h", "size"])
-    others = F.filter("s", lambda x, i: (i != F.col("i")) & (i != F.col("j")))
-    split = held.select("h", "key", F.explode(others).alias("other")).select("h", F.xxhash64("key", "other").alias("key"))
-    parts = _groups(split)
-    pairs = _pairs(met.where(F.col("n") <= crowd)).unionByName(_pairs(parts.where(F.col("n") <= crowd))).distinct()
-    return pairs, parts.where(F.col("n") > crowd).select("key", "h")
+def lines(docs: DataFrame) -> DataFrame:
+    """doc_id, t (hash of the text), line, h (hash of the normal form) and keys (of its blocks) of every line that has a word."""
+    held = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    each = held.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(normal_lines(F.col("text"))).alias("line", "norm"))
+    return each.select("doc_id", "t", "line", F.trim("norm").alias("norm")).where("norm != ''").select("doc_id", "t", "line", F.xxhash64("norm").alias("h"), blocks(F.col("norm")).alias("keys"))
 
 
-def similar(a: Column, b: Column, least: float = SIMILARITY) -> Column:
-    """Edit similarity 1 - distance / longer length is at least `least`."""
-    longer = F.greatest(F.length(a), F.length(b))
-    allowed = F.floor((1 - least) * longer + 1e-9).cast("int")
+def _edits(a: Column, b: Column, least: float) -> Column:
+    """1 - edit distance / longer length is at least `least`."""
+    allowed = F.floor((1 - least) * F.greatest(F.length(a), F.length(b)) + 1e-9).cast("int")
     # Spark's levenshtein() takes a constant bound, and works in a band of that width. Most pairs are a few edits apart: narrow
     # bands come first, and a wider one only where the pair may need it
     found = F.levenshtein(a, b) <= allowed
@@ -108,52 +96,115 @@ def similar(a: Column, b: Column, least: float = SIMILARITY) -> Column:
     return F.when(F.abs(F.length(a) - F.length(b)) > allowed, F.lit(False)).otherwise(found)
 
 
-def _texts(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
-    """h and norm of the classes in ids, read from one occurrence of each."""
-    wanted = durable(classes.join(ids, "h").select("h", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line")).groupBy("doc_id").agg(F.collect_set(F.struct("line", "h")).alias("want")))
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    held = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(wanted, "doc_id")
-    picked = F.transform("want", lambda x: F.struct(x["h"].alias("h"), F.trim(F.get(F.col("norms"), x["line"])).alias("norm")))
-    return durable(held.withColumn("norms", normal_lines(F.col("text"))).select(F.explode(picked).alias("p")).select("p.*").where(F.xxhash64("norm") == F.col("h")).dropDuplicates(["h"]))
+def word_symbols(norm: Column) -> Column:
+    """A string of one character for each word, by the word's hash."""
+    code = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(1 << 20)) + (1 << 16)), 8, "0")
+    return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " "), code), "")), "UTF-32")
 
 
-def _similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    left, right = texts.select(F.col("h").alias("a"), F.col("norm").alias("x")), texts.select(F.col("h").alias("b"), F.col("norm").alias("y"))
-    return durable(pairs.join(left, "a").join(right, "b").where(similar(F.col("x"), F.col("y"))).select("a", "b"))
+def forms(norm: Column) -> Column:
+    """What lines are compared by: their length n, chars (null if long) and words."""
+    n = F.length(norm)
+    return F.struct(n.alias("n"), F.when(n <= LONG, norm).alias("chars"), word_symbols(norm).alias("words"))
+
+
+def similar(a: Column, b: Column, least: float = SIMILARITY) -> Column:
+    """Edit similarity of two lines, given by forms(), is at least `least`: by words if the longer one has over LONG characters."""
+    return F.when(F.greatest(a["n"], b["n"]) <= LONG, _edits(a["chars"], b["chars"], least)).otherwise(_edits(a["words"], b["words"], least))
+
+
+def _texts(docs: DataFrame, at: DataFrame) -> DataFrame:
+    """h and form of the classes in `at` (h, doc_id, t, line), each read from the occurrence named there."""
+    wanted = durable(at.groupBy("doc_id", "t").agg(F.collect_list(F.struct("line", "h")).alias("want")))
+    if wanted.count() <= BROADCAST_IDS:
+        ids = wanted.select("doc_id", "t")
+        held = docs.select("doc_id", "text", F.xxhash64("text").alias("t")).join(F.broadcast(ids), ["doc_id", "t"], "left_semi")
+    else:
+        held = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    picked = F.transform("want", lambda x: F.struct(x["h"].alias("h"), F.trim(F.get(normal_lines(F.get(F.split("text", "\n"), x["line"])), F.lit(0))).alias("norm")))
+    return durable(held.dropDuplicates(["doc_id", "t"]).join(wanted, ["doc_id", "t"]).select(F.explode(picked).alias("p")).select("p.h", forms(F.col("p.norm")).alias("form")))
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """key, h and n, the classes of the key; keys of one class left out."""
+    return durable(rows.select("key", "h").withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.select("key", "h").join(rows.select("key", F.col("h").alias("o")), "key").where("h < o").select(F.col("h").alias("a"), F.col("o").alias("b"))
+
+
+def _links(pairs: DataFrame, keyed: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs a, b that share SHARED blocks and are similar."""
+    side = lambda name, df, old, new: df.select(F.col("h").alias(name), F.col(old).alias(new))
+    near = pairs.join(side("a", keyed, "keys", "k"), "a").join(side("b", keyed, "keys", "l"), "b").where(F.size(F.array_intersect("k", "l")) >= SHARED).select("a", "b")
+    return durable(near.join(side("a", texts, "form", "x"), "a").join(side("b", texts, "form", "y"), "b").where(similar(F.col("x"), F.col("y"))).select("a", "b"))
+
+
+def links(docs: DataFrame, found: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """a, b: pairs of classes that connect all lines which share SHARED blocks and are similar. found: lines()."""
+    keyed = durable(found.where(F.size("keys") >= SHARED).dropDuplicates(["h"]))
+    met = _sized(keyed.select("h", F.explode("keys").alias("key")))
+    # a line that meets others under fewer blocks has no candidate
+    able = durable(met.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") >= SHARED).select("h"))
+    rows = _sized(met.join(able, "h"))
+    within = durable(keyed.join(rows.select("h").distinct(), "h"))
+    texts = _texts(docs, within.select("h", "doc_id", "t", "line"))
+    within = within.select("h", "keys")
+    # two blocks in common among those that are not crowded; a pair with fewer shares two crowded ones, and meets below
+    twice = _pairs(rows.where(F.col("n") <= crowd)).groupBy("a", "b").agg(F.count("*").alias("m")).where("m > 1").select("a", "b")
+    out = [_links(twice, within, texts)]
+    named = rows.where(F.col("n") > crowd).select(F.array("key").alias("path"), "key", "h")
+    for depth in range(1, SHARED + 1):
+        crowded = durable(named)
+        led = crowded.join(crowded.groupBy("key").agg(F.min("h").alias("a")), "key").where("h != a")
+        alike = _links(led.select("a", F.col("h").alias("b")).distinct(), within, texts)
+        out.append(alike)
+        rest = durable(led.join(alike.withColumnRenamed("b", "h"), ["a", "h"], "left_anti").select("key", F.col("h").alias("o")))
+        if depth == SHARED:
+            others = rest.join(crowded, "key").where("o != h").select(F.least("o", "h").alias("a"), F.greatest("o", "h").alias("b")).distinct()
+            out.append(_links(others, within, texts))
+            break
+        # under one more block: those with something left, and the others that share that block with it
+        deeper = lambda df: df.join(within, "h").select("h", "path", F.explode(F.array_except("keys", "path")).alias("k")).select("h", F.array_sort(F.concat("path", F.array("k"))).alias("path"))
+        left = durable(deeper(crowded.join(rest.withColumnRenamed("o", "h"), ["key", "h"])).distinct())
+        again = deeper(crowded.join(rest.select("key").distinct(), "key")).distinct().join(left.select("path").distinct(), "path")
+        sized = durable(again.withColumn("key", F.xxhash64("path")).withColumn("n", F.count("*").over(Window.partitionBy("path"))).where("n > 1"))
+        small = _pairs(sized.where(F.col("n") <= crowd)).distinct()
+        out.append(_links(small, within, texts))
+        named = sized.where(F.col("n") > crowd).select("path", "key", "h")
+    every = out[0]
+    for more in out[1:]:
+        every = every.unionByName(more)
+    return every
 
 
 def duplicate_lines(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """doc_id, line (from 0) of each line to remove."""
-    every = lines(docs)
-    found = durable(every.select("doc_id", "line", "h"))
-    classes = durable(found.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at")))
-    keyed = every.select("h", sketches(F.col("norm")).alias("sketches")).dropDuplicates(["h"])
-    pairs, crowds = candidates(durable(keyed), crowd)
-    pairs, crowds = durable(pairs), durable(crowds)
-    ids = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).union(crowds.select("h")).distinct()
-    texts = _texts(docs, classes, ids)
-    links = _similar_pairs(pairs, texts)
-    # in a part that is still crowded: all against the smallest, then what is not like it against all
-    led = crowds.join(crowds.groupBy("key").agg(F.min("h").alias("a")), "key").where("h != a")
-    alike = _similar_pairs(led.select("a", F.col("h").alias("b")).distinct(), texts)
-    rest = durable(led.join(alike.withColumnRenamed("b", "h"), ["a", "h"], "left_anti").select("key", F.col("h").alias("o")))
-    others = rest.join(crowds, "key").where("o != h").select(F.least("o", "h").alias("a"), F.greatest("o", "h").alias("b")).distinct()
-    groups = durable(connected_components(links.unionByName(alike).unionByName(_similar_pairs(others, texts))))
-    grouped = durable(classes.join(groups.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("component", "h").alias("group"), "at"))
-    first = durable(grouped.groupBy("group").agg(F.min("at").alias("first")))
+    """doc_id, t, line (from 0) of each line to remove."""
+    found = durable(lines(docs))
+    groups = durable(connected_components(links(docs, found, crowd)).select(F.col("node").alias("h"), "component"))
+    classes = durable(found.groupBy("h").agg(F.min(F.struct("doc_id", "t", "line")).alias("at"), F.max(F.struct("doc_id", "t", "line")).alias("last")))
+    # a line that is neither repeated nor in a group stays
+    grouped = durable(classes.join(groups, "h", "left").where("component IS NOT NULL OR at != last").select("h", F.coalesce("component", "h").alias("group"), "at"))
+    first = grouped.groupBy("group").agg(F.min("at").alias("first"))
     kept = durable(grouped.join(first, "group").select("h", "first"))
-    return found.join(kept, "h").where(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line")
+    return found.select("doc_id", "t", "line", "h").join(kept, "h").where(F.struct("doc_id", "t", "line") != F.col("first")).select("doc_id", "t", "line")
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
-    """docs with text deduplicated, and n_lines and n_removed (0 for null texts) as further columns."""
-    gone = durable(duplicate_lines(docs).groupBy("doc_id").agg(F.collect_set("line").alias("_gone")))
-    joined = docs.join(gone, "doc_id", "left")
+def line_dedup(docs: DataFrame, counts: bool = True) -> DataFrame:
+    """docs with text deduplicated; with counts, n_lines and n_removed (0 for null texts) too, in place of columns of these names."""
+    gone, t = fresh(docs, "gone"), fresh(docs, "t")
+    spans = duplicate_lines(docs).groupBy("doc_id", F.col("t").alias(t)).agg(F.collect_set("line").alias(gone))
+    joined = docs.withColumn(t, F.xxhash64("text")).join(durable(spans), ["doc_id", t], "left")
     split = F.split("text", "\n")
-    rest = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    counts = {
+    rest = let(split, lambda s: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(s) - 1), F.col(gone)), lambda i: F.get(s, i)), "\n"))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(rest)
+    if not counts:
+        return joined.withColumn("text", text).select(docs.columns)
+    number = {
         "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(split)).cast("long"),
-        "n_removed": F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long"),
+        "n_removed": F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long"),
     }
-    return joined.withColumns(counts).withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)).drop("_gone")
+    others = [c for c in docs.columns if c not in (*number, "text")]
+    out = joined.select(*others, *(v.alias(k) for k, v in number.items()), text.alias("text"))
+    return out.select(*[c for c in docs.columns if c not in number], *number)

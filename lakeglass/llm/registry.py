@@ -68,4 +68,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL cannot express the others; tests hold them against brute force, round trips or held-out accuracy."""
+    return {"op1_quality_rules": quality_rules.oracle_sql()}

@@ -96,6 +96,34 @@ def test_quality_rules(spark, docs, none):
     assert quality_rules.quality_filter(docs, labels.where("false")).columns == docs.columns
 
 
+def test_quality_rules_select_cutoffs(spark, tmp_path):
+    """Against SQL, where one stratum has labels enough for cutoffs and the other has not; edge rows among them."""
+    import duckdb
+
+    from lakeglass.llm import registry
+
+    rng = random.Random(17)
+    rows = [(i, prose(40, rng) + (prose(30, rng).replace(" ", "!!! ") if i % 10 == 9 else ""), "en") for i in range(400)]
+    rows += [(1000 + i, prose(40, rng) + (prose(30, rng).replace(" ", "!!! ") if i % 10 == 9 else ""), "de") for i in range(60)]
+    rows += [(2000, None, "en"), (2001, "", None), (None, prose(40, rng), "en"), (5, rows[5][1], "en"), (2002, "a\nb\n\na\n \n" + prose(30, rng), None), (2003, prose(4000, rng), "en")]
+    marks = [(i, 0 if i % 10 == 9 else 1, 0) for i, _, _ in rows[:460]] + [(1, 0, 0), (2, None, None), (None, 1, 0), (9999, 1, 0)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    got = registry.queries()["op1_quality_rules"](spark, str(tmp_path)).select(columns).collect()
+    with duckdb.connect() as con:
+        for t in ("documents", "labels"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+        want = con.execute(f"SELECT {', '.join(columns)} FROM ({registry.oracle_sql()['op1_quality_rules']})").fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    kept = {r.doc_id: r.kept for r in got}
+    assert not any(kept[i] for i in range(9, 400, 10)) and all(kept[i] for i in range(0, 400, 10))  # rejected by certified cutoffs
+    assert all(kept[1000 + i] for i in range(60))  # too few labels: nothing is rejected
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", "-5 AS n_words")
+    left = quality_rules.quality_filter(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()
+    assert {r.n_words for r in left} == {-5} and any(r.doc_id is None for r in left)
+
+
 def test_binomial_tail(spark):
     from pyspark.sql import functions as F
 

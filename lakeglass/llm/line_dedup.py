@@ -12,8 +12,9 @@
 5. Of each connected group of lines, the first occurrence (smallest doc_id, then line number) stays.
 
 A block that more than CROWD classes share is not paired out. All are verified against its smallest member; those that are
-similar hang together by it. What is left meets the others again under two blocks; as candidates share two blocks, no pair is
-lost. Only lines that share two blocks with a crowd, and are not like its smallest member, are held against all of it.
+similar hang together by it. What is left meets the others again under two blocks, and where these are crowded too under three; as
+candidates share three blocks, no pair is lost. Only lines that share three blocks with a crowd, and are not like its smallest
+member, are held against all of it.
 
 Defined results: a null text stays null, an empty one empty. A removed line goes with its newline. Rows without a doc_id stay as they
 are, and their lines count for nothing. Rows of one doc_id and one text are copies of one document: what goes from one goes from all, and none is a
@@ -29,14 +30,14 @@ from pyspark.sql import functions as F
 from .common import durable, fresh, let
 from .components import connected_components
 
-SIMILARITY, BLOCKS, VOTES, SHARED, CROWD = 0.8, 8, 3, 2, 12
+SIMILARITY, BLOCKS, VOTES, SHARED, CROWD = 0.8, 8, 3, 3, 12
 #: Characters up to which features are pairs of characters; from which words are compared.
 SHORT, LONG = 24, 100
 #: Letters from which a word is a feature by itself.
 WORD = 4
 BANDS = (4, 16, 64, 250, 1000, 4000, 16000)
 #: Documents with candidates up to this number are broadcast (by id and hash).
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 
 
 def normal_lines(text: Column) -> Column:

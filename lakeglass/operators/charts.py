@@ -13,6 +13,8 @@ from .distribution import box_stats, histogram
 
 # Points of a scatter chart, distinct values of a category worth a chart, suggestions.
 SCATTER_POINTS, CATEGORY_VALUES, SUGGESTIONS = 2000, 50, 8
+#: Most categories of a chart: what a window then puts in order.
+CATEGORY_ROWS = 1000
 CHARTS = ("bar", "line", "area", "pie", "donut", "scatter", "histogram", "box")
 
 
@@ -24,11 +26,13 @@ def category_chart(df: DataFrame, x: str, y: str | None = None, function: str =
     """position, label, value: the largest categories and 'Other' with the sum of the rest. Line charts go by label."""
     kind_of(df, x)
     groups = df.groupBy(label_of(quoted(x)).alias("label")).agg(_measure(df, y, function)).where("value IS NOT NULL").withColumn("value", F.col("value").cast("double"))
-    rank = F.row_number().over(Window.orderBy(F.desc("value"), "label"))
-    named = groups.withColumn("rn", rank).withColumn("rest", F.col("rn") > max_categories)
-    out = named.groupBy(F.when(F.col("rest"), "Other").otherwise(F.col("label")).alias("label"), "rest").agg(F.sum("value").alias("value"), F.min("rn").alias("rn"))
-    order = Window.orderBy("label" if by_label else "rn")
-    return out.select(F.row_number().over(order).cast("int").alias("position"), "label", "value")
+    need(1 <= max_categories <= CATEGORY_ROWS, f"1 to {CATEGORY_ROWS} categories")
+    top = groups.orderBy(F.desc("value"), "label").limit(max_categories).withColumn("rest", F.lit(False))
+    # top: max_categories rows; the rest is pre-aggregated where the groups are
+    others = groups.join(F.broadcast(top.select("label")), "label", "left_anti").agg(F.sum("value").alias("value"), F.count("*").alias("n"))
+    other = others.where("n > 0").select(F.lit("Other").alias("label"), "value", F.lit(True).alias("rest"))
+    order = Window.orderBy("label", "rest") if by_label else Window.orderBy("rest", F.desc("value"), "label")
+    return top.unionByName(other).select(F.row_number().over(order).cast("int").alias("position"), "label", "value")
 
 
 def series_chart(df: DataFrame, x: str, group: str, y: str | None = None, function: str = "sum", max_series: int = 20) -> DataFrame:
@@ -49,8 +53,8 @@ def pivot_chart(df: DataFrame, x: str, group: str, y: str | None = None, functio
 def scatter_chart(df: DataFrame, x: str, y: str, order: str, points: int = SCATTER_POINTS) -> DataFrame:
     """x, y of the first complete pairs in an order."""
     kind_of(df, order)
-    pairs = df.select(number(df, x).alias("x"), number(df, y).alias("y"), quoted(order).alias("__o")).dropna(subset=["x", "y"])
-    return pairs.orderBy("__o").limit(points).select("x", "y")
+    pairs = df.select(number(df, x).alias("x"), number(df, y).alias("y"), quoted(order).alias("o")).dropna(subset=["x", "y"])
+    return pairs.orderBy("o", "x", "y").limit(points).select("x", "y")
 
 
 def chart(df: DataFrame, kind: str, x: str | None = None, y: str | None = None, function: str = "sum", group: str | None = None, filters: FilterSet | None = None, limit: int = 20, bins: int = 10, order: str | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import as_timestamp
-from ..plans.compile import is_number, kind_of, number, quoted
+from ..plans.compile import fresh, is_number, kind_of, number, quoted
 from ..plans.requests import RequestError, need
 from ..sources.storage import written
 from .distribution import bounds
@@ -49,37 +49,39 @@ def fill_missing(df: DataFrame, column: str, strategy: str, value: Any = None, o
         need(order, "filling from neighbours needs an ordinal column")
         return carry(df, column, order, strategy == "forward_fill")
     need(strategy == "mode" or is_number(kind), f"{strategy} needs a number, and {column!r} is {kind}")
+    fill = fresh(df, "fill")
     if strategy == "mode":
         # ties go to the smallest value; counts are pre-aggregated
-        counts = df.where(c.isNotNull()).groupBy(c.alias("__v")).agg(F.count("*").alias("__n"))
-        stat = counts.agg(F.min_by("__v", F.struct(-F.col("__n"), F.col("__v"))).alias("__fill"))
+        counts = df.where(c.isNotNull()).groupBy(c.alias("v")).agg(F.count("*").alias("n"))
+        stat = counts.agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias(fill))
     else:
-        stat = df.agg((F.avg if strategy == "mean" else F.median)(number(df, column)).alias("__fill"))
-    filled = F.coalesce(c, F.col("__fill")) if strategy == "mode" else F.coalesce(c.cast("double"), F.col("__fill"))
-    return df.join(F.broadcast(stat)).withColumn(column, filled).drop("__fill")  # stat: one row
+        stat = df.agg((F.avg if strategy == "mean" else F.median)(number(df, column)).alias(fill))
+    filled = F.coalesce(c, F.col(fill)) if strategy == "mode" else F.coalesce(c.cast("double"), F.col(fill))
+    return df.join(F.broadcast(stat)).withColumn(column, filled).drop(fill)  # stat: one row
 
 
 def carry(df: DataFrame, column: str, order: str, forward: bool = True) -> DataFrame:
-    """The last value before (or the next after) each null in the order of a column.
+    """The last value before (or the next after) each null in the order of a column; rows without an ordinal come last.
 
     Rows are range-partitioned by the order; each range fills itself, and what it starts with comes from the ranges before
     it, whose last values are one row each. A window over the whole frame would sort everything in one task.
     """
     kind_of(df, order)
+    part, end, edge = (fresh(df, x) for x in ("part", "end", "edge"))
     key, c = quoted(order), quoted(column)
-    held = written(df.repartitionByRange(key).withColumn("__part", F.spark_partition_id()))
-    own = Window.partitionBy("__part").orderBy(key.asc_nulls_last())
+    held = written(df.repartitionByRange(key.asc_nulls_last()).withColumn(part, F.spark_partition_id()))
+    own = Window.partitionBy(part).orderBy(key.asc_nulls_last())
     pick = F.max_by if forward else F.min_by
-    ends = held.where(c.isNotNull()).groupBy("__part").agg(pick(c, key).alias("__end"))
-    parts = held.select("__part").distinct().join(ends, "__part", "left")
+    ends = held.where(c.isNotNull()).groupBy(part).agg(pick(c, F.struct(key.isNull(), key)).alias(end))
+    parts = held.select(part).distinct().join(ends, part, "left")
     if forward:
         inner = F.last(c, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))
-        outer = F.last("__end", ignorenulls=True).over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+        outer = F.last(end, ignorenulls=True).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
     else:
         inner = F.first(c, ignorenulls=True).over(own.rowsBetween(0, Window.unboundedFollowing))
-        outer = F.first("__end", ignorenulls=True).over(Window.orderBy("__part").rowsBetween(1, Window.unboundedFollowing))
-    edge = parts.select("__part", outer.alias("__edge"))  # one row a partition
-    return held.join(F.broadcast(edge), "__part").withColumn(column, F.coalesce(inner, F.col("__edge"))).select(*(quoted(x) for x in df.columns))
+        outer = F.first(end, ignorenulls=True).over(Window.orderBy(part).rowsBetween(1, Window.unboundedFollowing))
+    edges = parts.select(part, outer.alias(edge))  # one row a partition
+    return held.join(F.broadcast(edges), part).withColumn(column, F.coalesce(inner, F.col(edge))).select(*(quoted(x) for x in df.columns))
 
 
 def drop_missing_rows(df: DataFrame, column: str | None = None) -> DataFrame:
@@ -99,8 +101,12 @@ def remove_duplicates(df: DataFrame, subset: list[str] | None = None, order: str
     for c in (*subset, order):
         kind_of(df, c)
     rest = [c for c in df.columns if c not in subset]
-    first = df.groupBy(*(quoted(c) for c in subset)).agg(F.min_by(F.struct(*(quoted(c) for c in rest)), quoted(order)).alias("__row"))
-    return first.select(*(quoted(c) if c in subset else F.col("__row")[c].alias(c) for c in df.columns))
+    # null ordinals come last, and ties go by the other columns; the ordinal leads the smallest struct
+    sortable = [c for c in rest if "map<" not in dict(df.dtypes)[c]]
+    place = F.struct(quoted(order).isNull().alias("late"), quoted(order).alias("at"), *(quoted(c).alias(f"c{i}") for i, c in enumerate(sortable)))
+    row = fresh(df, "row")
+    first = df.groupBy(*(quoted(c) for c in subset)).agg(F.min_by(F.struct(*(quoted(c).alias(f"c{i}") for i, c in enumerate(rest))), place).alias(row)) if rest else df.select(*(quoted(c) for c in subset)).distinct()
+    return first.select(*(quoted(c) if c in subset else F.col(row)[f"c{rest.index(c)}"].alias(c) for c in df.columns))
 
 
 def converted(df: DataFrame, column: str, to: str) -> Column:
@@ -161,13 +167,14 @@ def handle_outliers(df: DataFrame, column: str, method: str = "iqr", action: str
     need(action in ("remove", "cap"), "action 'remove' or 'cap'")
     need(is_number(kind_of(df, column)), f"{column!r} is no number")
     v = number(df, column)
-    b = bounds(df, v, method, threshold).select(F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
+    lo, hi = fresh(df, "lo"), fresh(df, "hi")
+    b = bounds(df, v, method, threshold).select(F.col("lo").alias(lo), F.col("hi").alias(hi))
     both = df.join(F.broadcast(b))  # b: one row
     if action == "remove":
-        kept = both.where(F.col("__lo").isNull() | v.isNull() | v.between(F.col("__lo"), F.col("__hi")))
+        kept = both.where(F.col(lo).isNull() | v.isNull() | v.between(F.col(lo), F.col(hi)))
     else:
-        kept = both.withColumn(column, F.when(F.col("__lo").isNull() | v.isNull(), v).otherwise(F.greatest(F.col("__lo"), F.least(F.col("__hi"), v))))
-    return kept.drop("__lo", "__hi")
+        kept = both.withColumn(column, F.when(F.col(lo).isNull() | v.isNull(), v).otherwise(F.greatest(F.col(lo), F.least(F.col(hi), v))))
+    return kept.drop(lo, hi)
 
 
 def apply_operation(df: DataFrame, op: Operation, order: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import bin_of, correlation, fences, share
-from ..plans.compile import apply_filters, kind_of, label_of, number, quoted
+from ..plans.compile import apply_filters, fresh, kind_of, label_of, number, quoted
 from ..plans.requests import FilterSet, need
 
 # The reported percentiles, and Tukey's factor.
@@ -69,18 +69,24 @@ def bounds(df: DataFrame, v: Column, method: str, threshold: float) -> DataFrame
 
 def outliers(df: DataFrame, column: str, method: str = "iqr", threshold: float = 1.5) -> DataFrame:
     """One row: n, outliers and their share, the bounds, and the five-number summary. Strictly beyond a bound counts."""
+    need(method in ("iqr", "zscore") and 0 < threshold <= 10, "method 'iqr' or 'zscore', threshold over 0 and up to 10")
     rows = df.select(number(df, column).alias("v")).where("v IS NOT NULL")
-    b = bounds(rows, F.col("v"), method, threshold)
+    # the five numbers, of which two give the fences, come from one pass
+    five = rows.agg(F.percentile("v", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("p"), F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
+    low, high = fences(F.col("p")[1], F.col("p")[3], threshold) if method == "iqr" else (F.col("m") - threshold * F.col("s"), F.col("m") + threshold * F.col("s"))
+    spread = F.col("p")[3] - F.col("p")[1] if method == "iqr" else F.col("s")
+    b = five.select("p", F.when(spread > 0, low).alias("lo"), F.when(spread > 0, high).alias("hi"))
     beyond = F.coalesce((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi")), F.lit(False))
-    out = rows.join(F.broadcast(b)).agg(F.count("*").alias("n"), F.count_if(beyond).alias("outliers"), F.first("lo").alias("lower_bound"), F.first("hi").alias("upper_bound"), F.percentile("v", F.array(F.lit(0.0), F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(1.0))).alias("p"))  # b: one row
+    out = rows.join(F.broadcast(b)).agg(F.count("*").alias("n"), F.count_if(beyond).alias("outliers"), F.first("lo").alias("lower_bound"), F.first("hi").alias("upper_bound"), F.first("p").alias("p"))  # b: one row
     return out.select("n", "outliers", share(F.col("outliers"), F.col("n")).alias("outlier_pct"), "lower_bound", "upper_bound", *(F.col("p")[i].alias(a) for i, a in enumerate(("min_value", "q1", "median_value", "q3", "max_value"))))
 
 
 def outlier_rows(df: DataFrame, column: str, method: str = "iqr", threshold: float = 1.5) -> DataFrame:
     """The rows whose value lies beyond the bounds."""
     v = number(df, column)
-    b = bounds(df, v, method, threshold).select(F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
-    return df.join(F.broadcast(b)).where((v < F.col("__lo")) | (v > F.col("__hi"))).drop("__lo", "__hi")  # b: one row
+    lo, hi = fresh(df, "lo"), fresh(df, "hi")
+    b = bounds(df, v, method, threshold).select(F.col("lo").alias(lo), F.col("hi").alias(hi))
+    return df.join(F.broadcast(b)).where((v < F.col(lo)) | (v > F.col(hi))).drop(lo, hi)  # b: one row
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:

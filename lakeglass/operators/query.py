@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import change
-from ..plans.compile import aggregate, apply_filters, formula, kind_of, label_of, metric, quoted
+from ..plans.compile import aggregate, apply_filters, formula, kind_of, label_of, metric, predicate, quoted
 from ..plans.requests import Formula, Kpi, Metric, Query, RequestError, need
 from .timeseries import growth
 
@@ -33,14 +33,18 @@ def run_query(df: DataFrame, q: Query) -> DataFrame:
     if q.sort_by:
         need(q.sort_by in out.columns, f"cannot sort by {q.sort_by!r}")
         key = quoted(q.sort_by)
-        # ties are broken by the groups, so the same rows come out at every run
-        ties = [quoted(c).asc_nulls_last() for c in q.group_by if c != q.sort_by]
+        # ties are broken by the groups, or else by all columns, so the same rows come out at every run
+        ties = [quoted(c).asc_nulls_last() for c in q.group_by or _sortable(out) if c != q.sort_by]
         out = out.orderBy(key.desc_nulls_last() if q.sort_desc else key.asc_nulls_last(), *ties)
     elif q.group_by:
         out = out.orderBy(*(quoted(c).asc_nulls_last() for c in q.group_by))
     return out.limit(q.limit)
 
 
+def _sortable(df: DataFrame) -> list[str]:
+    return [c for c, kind in df.dtypes if not kind.startswith(("map", "variant")) and "map<" not in kind]
+
+
 def total_matched(df: DataFrame, q: Query) -> int:
     """How many rows pass a query's filters."""
     return apply_filters(df, q.filters).count()
@@ -60,33 +64,32 @@ def metrics(df: DataFrame, wanted: dict[str, Metric | Formula]) -> DataFrame:
     return one.select(F.explode(pairs).alias("x")).select("x.metric", "x.value")
 
 
+def evaluate_kpis(df: DataFrame, wanted: list[Kpi]) -> DataFrame:
+    """kpi, value, available, reason for up to 25 ungrouped KPIs, all in one pass.
+
+    A KPI's filters hold for each of its metrics, besides the metric's own. A KPI that names an unknown column, has no metric or breaks a
+    limit is not available, for the reason given; the others are worked out all the same. So is one whose value is null.
+    """
+    need(1 <= len(wanted) <= KPI_GROUPS, f"1 to {KPI_GROUPS} KPIs")
+    cells, reasons = [], []
+    for k in wanted:
+        try:
+            need(k.formula or k.metric, "no metric")
+            cells.append(formula(df, k.formula or k.metric, also=predicate(df, k.filters)))
+            reasons.append(None)
+        except RequestError as e:
+            cells.append(F.max(F.lit(None).cast("double")))
+            reasons.append(str(e))
+    one = df.agg(*(c.alias(f"k{i}") for i, c in enumerate(cells)))
+    pairs = F.array(*(F.struct(F.lit(k.name).alias("kpi"), F.col(f"k{i}").alias("value"), F.lit(why).cast("string").alias("why")) for i, (k, why) in enumerate(zip(wanted, reasons, strict=True))))
+    out = one.select(F.explode(pairs).alias("x")).select("x.*")
+    reason = F.coalesce("why", F.when(F.col("value").isNull(), "no value"))
+    return out.select("kpi", "value", reason.isNull().alias("available"), reason.alias("reason"))
+
+
 def kpis(df: DataFrame, wanted: list[Kpi]) -> DataFrame:
-    """kpi, value for up to 25 ungrouped KPIs in one pass. A KPI's filters become conditions of its own metrics."""
-    need(1 <= len(wanted) <= 25, "1 to 25 KPIs")
-    cells = []
-    for i, k in enumerate(wanted):
-        cells.append(_filtered(df, k).alias(f"k{i}"))
-    one = df.agg(*cells)
-    pairs = F.array(*(F.struct(F.lit(k.name).alias("kpi"), F.col(f"k{i}").alias("value")) for i, k in enumerate(wanted)))
-    return one.select(F.explode(pairs).alias("x")).select("x.kpi", "x.value")
-
-
-def _filtered(df: DataFrame, k: Kpi):
-    from ..plans.compile import merge_filters
-    from ..plans.requests import Binary, Constant
-
-    def held(f: Formula) -> Formula:
-        if isinstance(f, Constant):
-            return f
-        if isinstance(f, Binary):
-            return Binary(f.op, held(f.left), held(f.right))
-        if f.filters and f.filters.conditions and "or" in (f.filters.combine, k.filters.combine):
-            raise RequestError("filters joined by 'or' cannot be merged")
-        own = f.filters if f.filters and f.filters.conditions else None
-        both = merge_filters(k.filters, own) if own else k.filters
-        return Metric(f.name, f.column, both)
-
-    return formula(df, held(k.formula or k.metric))
+    """kpi, value of evaluate_kpis(): null where a KPI is not available."""
+    return evaluate_kpis(df, wanted).select("kpi", "value")
 
 
 def kpi_groups(df: DataFrame, k: Kpi) -> DataFrame:
@@ -136,4 +139,4 @@ def kpi_catalog(columns: list[dict[str, Any]]) -> list[CatalogEntry]:
     return out
 
 
-__all__ = ["run_query", "total_matched", "preview", "metrics", "metric", "kpis", "kpi_groups", "kpi_comparison", "kpi_catalog"]
+__all__ = ["run_query", "total_matched", "preview", "metrics", "metric", "evaluate_kpis", "kpis", "kpi_groups", "kpi_comparison", "kpi_catalog"]

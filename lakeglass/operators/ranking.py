@@ -5,12 +5,13 @@ Each groups first; windows and sorts then see one row a group. Ties are broken b
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import share
-from ..plans.compile import apply_filters, kind_of, label_of, metric, number, quoted
+from ..plans.compile import apply_filters, fresh, kind_of, label_of, metric, number, quoted
 from ..plans.requests import FilterSet, Metric, need
+from ..sources.storage import written
 
 MAX_GROUPS = 500
 
@@ -23,9 +24,9 @@ def grouped_metric(df: DataFrame, dimension: str, m: Metric, filters: FilterSet
 
 
 def _with_total(groups: DataFrame) -> DataFrame:
-    """value as a share of the total over all groups, and their number. The total is one row, joined to each."""
-    whole = Window.partitionBy()
-    return groups.withColumn("total", F.sum("value").over(whole)).withColumn("group_count", F.count("*").over(whole))
+    """Each group with the total over all groups and their number, which are one row. Both sides read the same exchange of groups."""
+    whole = groups.agg(F.sum("value").alias("total"), F.count("*").alias("group_count"))
+    return groups.join(F.broadcast(whole))  # whole: one row
 
 
 def segment(df: DataFrame, dimension: str, m: Metric, filters: FilterSet | None = None, descending: bool = True, limit: int = 20) -> DataFrame:
@@ -44,11 +45,29 @@ def ranking(df: DataFrame, dimension: str, m: Metric, filters: FilterSet | None
 
 
 def contribution(df: DataFrame, dimension: str, m: Metric, filters: FilterSet | None = None, limit: int = MAX_GROUPS) -> DataFrame:
-    """label, value, share_pct, cumulative_pct, group_count, from the largest group down."""
-    out = _with_total(grouped_metric(df, dimension, m, filters))
-    run = Window.orderBy(F.desc("value"), "label").rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumn("running", F.sum("value").over(run)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("value"), "label")))
-    return out.where(F.col("rank") <= limit).select("rank", "label", "value", share(F.col("value"), F.col("total")).alias("share_pct"), share(F.col("running"), F.col("total")).alias("cumulative_pct"), "group_count")
+    """label, value, share_pct, cumulative_pct, group_count, from the largest group down. Sums run over the `limit` rows that are asked for."""
+    need(1 <= limit <= MAX_GROUPS, f"limit must be 1 to {MAX_GROUPS}")
+    top = _with_total(grouped_metric(df, dimension, m, filters)).orderBy(F.desc("value"), "label").limit(limit)
+    order = Window.orderBy(F.desc("value"), "label")
+    out = top.withColumn("running", F.sum("value").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(order))
+    return out.select("rank", "label", "value", share(F.col("value"), F.col("total")).alias("share_pct"), share(F.col("running"), F.col("total")).alias("cumulative_pct"), "group_count")
+
+
+def running(rows: DataFrame, order: list[Column], value: str) -> DataFrame:
+    """rows with rank (from 1) and running (the sum of value up to the row) in an order, worked out in parallel.
+
+    Rows are range-partitioned and added up within each range; what comes before a range is one row each. A window over all rows
+    would sort them in one task.
+    """
+    part = fresh(rows, "part")
+    held = written(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    ends = held.groupBy(part).agg(F.count("*").alias("n"), F.sum(value).alias("s"))
+    ends = ends.select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"), F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("s_before"))
+    own = Window.partitionBy(part).orderBy(*order)
+    out = held.withColumn("rank", F.row_number().over(own)).withColumn("running", F.sum(value).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    # ends: one row a partition
+    return out.join(F.broadcast(ends), part).withColumns({"rank": F.col("rank") + F.col("n_before"), "running": F.col("running") + F.col("s_before")}).drop(part, "n_before", "s_before")
 
 
 def abc(df: DataFrame, dimension: str, m: Metric, filters: FilterSet | None = None, a: float = 80.0, b: float = 95.0) -> DataFrame:
@@ -57,14 +76,13 @@ def abc(df: DataFrame, dimension: str, m: Metric, filters: FilterSet | None = No
     The class goes by the cumulative share with the group itself, so a first group over `a` is no A.
     """
     need(0 < a < b <= 100, "the limits must rise")
-    positive = _with_total(grouped_metric(df, dimension, m, filters).where("value > 0"))
-    order = Window.orderBy(F.desc("value"), "label")
-    out = positive.withColumn("rank", F.row_number().over(order)).withColumn("running", F.sum("value").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    positive = grouped_metric(df, dimension, m, filters).where("value > 0")
+    out = _with_total(running(positive, [F.desc("value"), F.col("label")], "value"))
     out = out.withColumn("cumulative", share(F.col("running"), F.col("total")))
     # sums in another order may end a hair above the limit they meet
     eps = 1e-9
     kind = F.when(F.col("cumulative") <= a + eps, "A").when(F.col("cumulative") <= b + eps, "B").otherwise("C")
-    return out.select("rank", "label", "value", F.round(share(F.col("value"), F.col("total")), 4).alias("share_pct"), F.round("cumulative", 4).alias("cumulative_pct"), kind.alias("class"))
+    return out.select(F.col("rank").cast("int").alias("rank"), "label", "value", F.round(share(F.col("value"), F.col("total")), 4).alias("share_pct"), F.round("cumulative", 4).alias("cumulative_pct"), kind.alias("class"))
 
 
 def abc_summary(rows: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -36,6 +38,13 @@ def quoted(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have."""
+    while name in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def resolve(df: DataFrame, name: str) -> str:
     """A column by name: the exact one, else the one that matches without case and blanks."""
     if name in df.columns:
@@ -45,53 +54,89 @@ def resolve(df: DataFrame, name: str) -> str:
     return found[0]
 
 
-def _literal(value: Any, kind: str) -> Column:
-    if is_date(kind):
-        if isinstance(value, dt.datetime | dt.date):
-            return F.lit(value).cast("timestamp")
-        return as_timestamp(F.lit(str(value)), "string")
-    return F.lit(value).try_cast("double")
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
-def _same(c: Column, kind: str, value: Any) -> Column:
-    """Equality: typed for numbers (deviation: 1.0 equals 1), by text otherwise; null is equal to nothing."""
-    if is_number(kind):
-        try:
-            number = float(value)
-        except (TypeError, ValueError):
+def _moment(value: Any, kind: str) -> Column:
+    """A date value as a constant of a date column's own type, so that Parquet can be asked for it; null if it is none."""
+    at = F.lit(value).cast("timestamp") if isinstance(value, dt.datetime | dt.date) else as_timestamp(F.lit(str(value)), "string")
+    return at.cast(kind) if kind == "timestamp_ntz" else at
+
+
+def _amount(value: Any) -> float | int | None:
+    """A number, whole if it is; None if it is none."""
+    if isinstance(value, int):
+        return int(value)
+    try:
+        found = float(value)
+    except (TypeError, ValueError):
+        return None
+    return int(found) if math.isfinite(found) and found.is_integer() else found
+
+
+def _constant(amount: float | int, kind: str) -> Column:
+    return F.lit(Decimal(str(amount))) if kind.startswith("decimal") and math.isfinite(amount) else F.lit(amount)
+
+
+def _compared(c: Column, kind: str, op: str, value: Any) -> Column:
+    """c op value, bare and with a constant of the column's type, as only that reaches the scan. NaN is over nothing."""
+    if is_date(kind):
+        left, right = c.cast("timestamp") if kind == "date" else c, _moment(value, kind)
+    else:
+        amount = _amount(value)
+        if amount is None or amount != amount:
             return F.lit(False)
-        # long ids are compared exactly
-        return c == (F.lit(int(number)) if number.is_integer() and abs(number) < 2**63 else F.lit(number))
+        if kind in _WHOLE and not isinstance(amount, int):
+            if math.isinf(amount):
+                return F.lit((amount > 0) == op.startswith("less")) & c.isNotNull()
+            # between two whole numbers: over it is over the lower one, under it is under the upper one
+            amount, op = (math.floor(amount), "greater_than") if op.startswith("greater") else (math.ceil(amount), "less_than")
+        left, right = c, _constant(amount, kind)
+    found = {"greater_than": left > right, "greater_or_equal": left >= right, "less_than": left < right, "less_or_equal": left <= right}[op]
+    return found & ~F.isnan(c) if kind in ("float", "double") and op.startswith("greater") else found
+
+
+def _same(c: Column, kind: str, value: Any) -> tuple[Column, Column] | None:
+    """Both sides of an equality: typed for numbers (deviation: 1.0 equals 1), by text otherwise. None: nothing can be equal."""
+    if is_number(kind):
+        amount = _amount(value)
+        whole = isinstance(amount, int) and abs(amount) < 2**63
+        return None if amount is None or (kind in _WHOLE and not whole) else (c, _constant(amount, kind))
     if kind == "boolean":
-        return F.lower(c.cast("string")) == str(value).lower()
+        return (c, F.lit(str(value).lower() == "true")) if str(value).lower() in ("true", "false") else None
     if is_date(kind):
-        return c.cast("timestamp") == _literal(value, kind)
-    return c.cast("string") == str(value)
+        return c.cast("timestamp") if kind == "date" else c, _moment(value, kind)
+    return c.cast("string"), F.lit(str(value))
 
 
 def condition(df: DataFrame, cond: Condition) -> Column:
-    """One condition as a Boolean column that is never null."""
+    """One condition as a Boolean column. It may be null where the column is, which counts as false in where() and when(), under OR too."""
     kind, c, op = kind_of(df, cond.column), quoted(cond.column), cond.op
     if op == "is_null":
         return c.isNull() | F.isnan(c) if kind in ("float", "double") else c.isNull()
     if op == "is_not_null":
         return c.isNotNull() & ~F.isnan(c) if kind in ("float", "double") else c.isNotNull()
-    if op == "equals":
-        return F.coalesce(_same(c, kind, cond.value), F.lit(False))
-    if op == "not_equals":
-        return ~F.coalesce(_same(c, kind, cond.value), F.lit(False))
+    if op in ("equals", "not_equals"):
+        sides = _same(c, kind, cond.value)
+        if op == "equals":
+            return sides[0] == sides[1] if sides else F.lit(False)
+        # null differs from every value; a value that is none of the column's (a null constant) differs from all
+        return ~sides[0].eqNullSafe(sides[1]) | sides[1].isNull() if sides else F.lit(True)
     if op == "contains":
-        return F.coalesce(F.contains(F.lower(c.cast("string")), F.lower(F.lit(str(cond.value)))), F.lit(False))
+        return F.contains(F.lower(c.cast("string")), F.lower(F.lit(str(cond.value))))
     need(is_number(kind) or is_date(kind), f"{op} needs a number or a date, and {cond.column!r} is {kind}")
-    value = _literal(cond.value, kind)
-    left = c.cast("timestamp") if is_date(kind) else c
-    if op == "between":
-        other = _literal(cond.upper, kind)
-        # bounds in the wrong order are swapped
-        found = left.between(F.least(value, other), F.greatest(value, other))
-    else:
-        found = {"greater_than": left > value, "greater_or_equal": left >= value, "less_than": left < value, "less_or_equal": left <= value}[op]
-    return F.coalesce(found, F.lit(False))
+    if op != "between":
+        return _compared(c, kind, op, cond.value)
+    ends = [cond.value, cond.upper]
+    if is_number(kind):
+        amounts = [_amount(x) for x in ends]
+        if None in amounts:
+            return F.lit(False)
+        ends = sorted(amounts)  # bounds in the wrong order are swapped
+        return _compared(c, kind, "greater_or_equal", ends[0]) & _compared(c, kind, "less_or_equal", ends[1])
+    low, high = (_moment(x, kind) for x in ends)
+    left = c.cast("timestamp") if kind == "date" else c
+    return left.between(F.least(low, high), F.greatest(low, high)) & low.isNotNull() & high.isNotNull()
 
 
 def predicate(df: DataFrame, filters: FilterSet | None) -> Column | None:
@@ -119,9 +164,10 @@ def number(df: DataFrame, column: str) -> Column:
     return clean_number(quoted(column)) if kind in ("float", "double", "string") else F.lit(None).cast("double")
 
 
-def metric(df: DataFrame, m: Metric) -> Column:
-    """A metric as an aggregate; a sum of nothing is null. A filtered metric sees only its own rows."""
-    keep = predicate(df, m.filters)
+def metric(df: DataFrame, m: Metric, also: Column | None = None) -> Column:
+    """A metric as an aggregate; a sum of nothing is null. A filtered metric sees only its own rows, of those that pass `also`."""
+    own = predicate(df, m.filters)
+    keep = own if also is None else also if own is None else own & also
 
     def held(c: Column) -> Column:
         return c if keep is None else F.when(keep, c)
@@ -138,15 +184,15 @@ def metric(df: DataFrame, m: Metric) -> Column:
     return {"sum": F.sum, "average": F.avg, "median": F.median, "min": F.min, "max": F.max, "std_dev": F.stddev_samp, "range": lambda x: F.max(x) - F.min(x)}[m.name](c)
 
 
-def formula(df: DataFrame, f: Formula, depth: int = 0) -> Column:
+def formula(df: DataFrame, f: Formula, depth: int = 0, also: Column | None = None) -> Column:
     """A formula tree as one aggregate: a null operand or a zero divisor gives null."""
     need(depth <= MAX_FORMULA_DEPTH, f"a formula may nest {MAX_FORMULA_DEPTH} deep")
     if isinstance(f, Constant):
         return F.lit(float(f.value))
     if isinstance(f, Metric):
-        return metric(df, f)
+        return metric(df, f, also)
     assert isinstance(f, Binary)
-    a, b = formula(df, f.left, depth + 1), formula(df, f.right, depth + 1)
+    a, b = formula(df, f.left, depth + 1, also), formula(df, f.right, depth + 1, also)
     return F.try_divide(a, b) if f.op == "/" else {"+": a + b, "-": a - b, "*": a * b}[f.op]
 
 

@@ -35,9 +35,11 @@ MAX_WORKBOOK = 50 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names for checkpoints; a temporary one only where it names none (tests)."""
+    """The folder that the session names for checkpoints. Only a local session that names none gets a temporary one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         made = tempfile.mkdtemp(prefix="lakeglass-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         named = "file://" + made
@@ -108,15 +110,23 @@ def typed(df: DataFrame) -> DataFrame:
     return df.withColumns(made) if made else df
 
 
-def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
-    """A CSV file with header: encoding and delimiter are found out, missing-value texts are null, types are those of all rows."""
+def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
+    """Whether some line leaves a quote open, by a scan of all of them."""
+    return not spark.read.text(path).where(F.regexp_count("value", F.lit('"')) % 2 == 1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, infer: bool = True, multi_line: bool | None = None) -> DataFrame:
+    """A CSV file with header: encoding and delimiter are found out, missing-value texts are null, types are those of all rows.
+
+    A file with quoted newlines is read by one task, as it cannot be split; multi_line says whether it is one, None: find out.
+    """
     data = head(spark, path)
     name = detect_encoding(data)
     text = data.decode(name, "replace")
     sep = detect_delimiter(text)
     # Spark reads no cp1252: it is read as latin-1, and the bytes that differ are put right afterwards
     charset = "UTF-8" if name.startswith("utf-8") else "ISO-8859-1"
-    df = spark.read.csv(path, header=True, sep=sep, encoding=charset, multiLine='"' in text, escape='"', mode="PERMISSIVE", enforceSchema=True)
+    df = spark.read.csv(path, header=True, sep=sep, encoding=charset, multiLine=has_quoted_newlines(spark, path) if multi_line is None else multi_line, escape='"', mode="PERMISSIVE", enforceSchema=True)
     need(df.columns, "the file has no columns")
     clean = [c.lstrip("﻿").strip() or f"column_{i + 1}" for i, c in enumerate(df.columns)]
     other = bytes(b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))

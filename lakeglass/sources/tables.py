@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table; timestamps without a zone are read as UTC."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
+    path = f"{sf_dir}/{name}.parquet"
+    own = spark.read.parquet(path).schema
+    # by the schema, not by a cast above the scan, which filters could not pass
+    fields = [T.StructField(f.name, T.TimestampType() if isinstance(f.dataType, T.TimestampNTZType) else f.dataType, f.nullable) for f in own]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:

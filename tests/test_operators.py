@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lakeglass.functions.stats import bin_of, quintile
 from lakeglass.operators import charts, cleaning, customers, distribution, forecast, insights, profile, query, questions, ranking, reports, segmentation, timeseries
 from lakeglass.plans.compile import apply_filters
-from lakeglass.plans.requests import Aggregate, Binary, Condition, Constant, FilterSet, Metric, Query, RequestError
+from lakeglass.plans.requests import Aggregate, Binary, Condition, Constant, FilterSet, Kpi, Metric, Query, RequestError
 from lakeglass.sources import storage
 from lakeglass.streaming import windows
 
@@ -248,3 +248,72 @@ def test_entry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "seg_share" in e.queries()
+
+
+@pytest.mark.parametrize(
+    "column, op, value, pushed",
+    [
+        ("k", "equals", 3, "EqualTo(k,3)"),
+        ("k", "not_equals", 3, "EqualNullSafe(k,3)"),
+        ("k", "greater_than", 2.5, "GreaterThan(k,2)"),
+        ("k", "less_or_equal", 7, "LessThanOrEqual(k,7)"),
+        ("v", "greater_or_equal", 1.5, "GreaterThanOrEqual(v,1.5)"),
+        ("s", "equals", "x", "EqualTo(s,x)"),
+        ("d", "less_than", "2024-03-01", "LessThan(d,"),
+        ("k", "is_null", None, "IsNull(k)"),
+    ],
+)
+def test_filters_reach_the_scan(spark, tmp_path, column, op, value, pushed):
+    d = spark.createDataFrame([(1, 1.0, "x", dt.datetime(2024, 1, 1)), (None, None, None, None)], "k bigint, v double, s string, d timestamp")
+    d.write.parquet(f"{tmp_path}/t")
+    found = apply_filters(spark.read.parquet(f"{tmp_path}/t"), FilterSet((Condition(column, op, value),), "and"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert pushed in plan.split("PushedFilters")[1]
+
+
+def test_filters_of_fractions_and_nan(spark):
+    d = spark.createDataFrame([(1, 1.0), (2, float("nan")), (3, 5.0), (None, None)], "k int, v double")
+    keys = lambda c, o, x, y=None: {r.k for r in apply_filters(d, FilterSet((Condition(c, o, x, y),), "and")).collect()}
+    assert keys("k", "greater_than", 1.5) == {2, 3} and keys("k", "less_than", 2.5) == {1, 2} and keys("k", "greater_or_equal", 2.5) == {3} and keys("k", "less_or_equal", 2.5) == {1, 2}
+    assert keys("k", "equals", 2.5) == set() and keys("k", "not_equals", 2.5) == {1, 2, 3, None} and keys("k", "between", 3, 1.5) == {2, 3}
+    assert keys("v", "greater_than", 0) == {1, 3} and keys("v", "between", 0, 9) == {1, 3} and keys("k", "equals", "abc") == set()
+
+
+def test_kpis_that_are_not_available(spark):
+    d = spark.createDataFrame([(1, 2.0, "a"), (2, 3.0, "b"), (3, None, "b")], "k int, v double, g string")
+    some = FilterSet((Condition("g", "equals", "a"), Condition("k", "equals", 2)), "or")
+    wanted = [Kpi("sum", Metric("sum", "v")), Kpi("or", Metric("sum", "v", some), filters=FilterSet((Condition("k", "greater_than", 1),))), Kpi("unknown", Metric("sum", "x")), Kpi("text", Metric("sum", "g")), Kpi("none", Metric("sum", "v"), filters=FilterSet((Condition("k", "equals", 3),)))]
+    got = {r.kpi: (r.value, r.available) for r in query.evaluate_kpis(d, wanted).collect()}
+    assert got == {"sum": (5.0, True), "or": (3.0, True), "unknown": (None, False), "text": (None, False), "none": (None, False)}
+    assert all(r.reason for r in query.evaluate_kpis(d, wanted).collect() if not r.available)
+
+
+def test_null_ordinals(spark):
+    d = spark.createDataFrame([("a", None, 1.0), ("a", None, None), ("b", 2, 5.0), ("b", 1, 6.0), ("b", None, 7.0)], "g string, o int, v double")
+    assert {(r.g, r.v) for r in cleaning.remove_duplicates(d, ["g"], "o").collect()} in ({("a", 1.0), ("b", 6.0)}, {("a", None), ("b", 6.0)})
+    e = spark.createDataFrame([(1, 4.0), (2, None), (None, None)], "o int, v double")
+    assert sorted(repr(r.v) for r in cleaning.carry(e, "v", "o").collect()) == ["4.0", "4.0", "4.0"]
+
+
+def test_columns_named_like_helpers(spark):
+    d = spark.createDataFrame([(i, float(i) if i else None, 9.0, 8.0, 7.0) for i in range(10)], "o int, v double, fill double, lo double, part double")
+    assert cleaning.fill_missing(d, "v", "mean").where("v IS NULL").count() == 0
+    assert cleaning.handle_outliers(d, "v", action="cap").columns == d.columns and distribution.outlier_rows(d, "v").columns == d.columns
+    assert cleaning.carry(d, "v", "o", False).agg(F.sum("part")).first()[0] == 70.0
+
+
+def test_quoted_newline_after_the_head(spark, tmp_path):
+    rows = [f"{i},plain text of a row" for i in range(4000)] + ['4000,"two\nlines"']
+    (tmp_path / "t.csv").write_text("k,t\n" + "\n".join(rows) + "\n")
+    assert storage.read_csv(spark, f"file://{tmp_path}/t.csv").count() == 4001
+
+
+def test_no_task_gets_all_groups(spark):
+    d = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 1.5 + 1).alias("v"))
+    for f in (lambda: ranking.segment(d, "k", Metric("sum", "v")), lambda: ranking.contribution(d, "k", Metric("sum", "v")), lambda: ranking.abc(d, "k", Metric("sum", "v"))):
+        plan = f()._jdf.queryExecution().executedPlan().toString()
+        before_limit = plan.split("TakeOrderedAndProject")[-1]
+        assert "Window" not in before_limit or "hashpartitioning(part" in before_limit
+    got = ranking.abc(d, "k", Metric("sum", "v")).toPandas().sort_values("rank")
+    want = pd.Series(np.arange(1000) * 1.5 + 1).sort_values(ascending=False)
+    assert got["rank"].tolist() == list(range(1, 1001)) and np.allclose(got["cumulative_pct"], want.cumsum() / want.sum() * 100, atol=1e-3)

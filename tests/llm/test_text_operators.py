@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 from lakeglass.llm import byte_bpe, decontaminate, language_model_id, line_dedup, lm_score, quality_model, quality_rules, simhash, substring_dedup, toxicity_model
 from lakeglass.llm.registry import queries
@@ -125,8 +126,6 @@ def test_quality_rules_select_cutoffs(spark, tmp_path):
 
 
 def test_binomial_tail(spark):
-    from pyspark.sql import functions as F
-
     rows = spark.createDataFrame([(100, 0), (100, 1), (5000, 20), (60, 3)], "n bigint, k bigint")
     for r in rows.select("n", "k", quality_rules.binomial_tail(F.col("n"), F.col("k"), 0.01).alias("p")).collect():
         want = sum(math.comb(r.n, i) * 0.01**i * 0.99 ** (r.n - i) for i in range(r.k + 1)) if r.k < r.n * 0.01 else 1.0
@@ -198,8 +197,14 @@ def edits(x, y):
     return row[-1]
 
 
-@pytest.mark.parametrize("crowd", [1, line_dedup.CROWD])
-def test_line_dedup_finds_edited_lines(spark, crowd):
+def alike(x, y):
+    """The rule of line_dedup, on normal forms: by characters, or by words where the longer line is long."""
+    if max(len(x), len(y)) > line_dedup.LONG:
+        x, y = x.split(), y.split()
+    return edits(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9
+
+
+def edited_lines():
     rng = random.Random(21)
     rows = []
     for n in (1, 2, 4, 8, 14, 20, 40):
@@ -210,29 +215,57 @@ def test_line_dedup_finds_edited_lines(spark, crowd):
             cut = rng.randrange(len(line))
             rows += [line, " ".join(words), line[:cut] + "q" + line[cut:], line + "x", line[1:]]
     boiler = "all rights reserved by the owner of this page "
-    rows += [boiler + rng.choice(WORDS) for _ in range(12)] + [boiler + prose(12, rng) for _ in range(6)]
+    return rows + [boiler + rng.choice(WORDS) for _ in range(30)] + [boiler + prose(12, rng) for _ in range(20)]
+
+
+@pytest.mark.parametrize("crowd", [1, 3, line_dedup.CROWD])
+def test_line_dedup_against_all_pairs(spark, crowd):
+    """Every pair that shares blocks enough and is similar is linked, however crowded its blocks are."""
+    rows = edited_lines()
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    keys = {r.doc_id: set(r["keys"]) for r in line_dedup.lines(d).collect()}
     group = list(range(len(rows)))
     for i, x in enumerate(rows):
         for j in range(i):
-            if abs(len(x) - len(rows[j])) <= 0.2 * max(len(x), len(rows[j])) and edits(x, rows[j]) <= 0.2 * max(len(x), len(rows[j])) + 1e-9:
+            if x == rows[j] or (len(keys[i] & keys[j]) >= line_dedup.SHARED and alike(x, rows[j])):
                 old, new = max(group[i], group[j]), min(group[i], group[j])
                 group = [new if g == old else g for g in group]
-    d = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
     assert {r.doc_id for r in line_dedup.duplicate_lines(d, crowd).collect()} == {i for i, g in enumerate(group) if g != i}
 
 
-def test_line_dedup_long_lines_of_repeated_rows(spark):
+def test_line_dedup_recall(spark):
+    """Share of edited lines of 40 words that share blocks enough with their original."""
+    rng = random.Random(8)
+    rows = []
+    for _ in range(150):
+        line = prose(40, rng).split()
+        rows.append((len(rows), " ".join(line)))
+        for changed in (1, 2, 4):
+            new = list(line)
+            for at in rng.sample(range(40), changed):
+                new[at] = "".join(rng.choice("abcdefgh") for _ in range(6))
+            rows.append((len(rows), " ".join(new)))
+    keys = {r.doc_id: set(r["keys"]) for r in line_dedup.lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    found = [sum(len(keys[i] & keys[i + k]) >= line_dedup.SHARED for i in range(0, 600, 4)) / 150 for k in (1, 2, 3)]
+    assert found[0] >= 0.98 and found[1] >= 0.95 and found[2] >= 0.7
+
+
+def test_line_dedup_edge_rows(spark):
     line = prose(150, random.Random(4))
     near = line[:300] + "q" + line[300:]
-    d = spark.createDataFrame([(1, line)] * 3 + [(2, near)], "doc_id bigint, text string")
-    assert sorted((r.doc_id, r.n_removed) for r in line_dedup.line_dedup(d).collect()) == [(1, 0), (1, 0), (1, 0), (2, 1)]
+    rows = [(1, line, 7, "x")] * 9 + [(2, near, 7, None), (None, line, 7, "x"), (3, "same id\n" + line, 7, "x"), (3, "same id too", 7, "x"), (4, "", 7, None), (5, None, 7, None)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, n_lines int, gone string")
+    got = line_dedup.line_dedup(d, counts=False)
+    assert got.columns == d.columns and {r.n_lines for r in got.collect()} == {7}
+    assert sorted((repr(r.doc_id), r.text) for r in got.collect()) == sorted((repr(i), t) for i, t in [(1, line)] * 9 + [(2, ""), (None, line), (3, "same id"), (3, "same id too"), (4, ""), (5, None)])
+    assert sorted((repr(r.doc_id), r.n_lines, r.n_removed) for r in line_dedup.line_dedup(d).collect()) == sorted([("1", 1, 0)] * 9 + [("2", 1, 1), ("None", 1, 0), ("3", 2, 1), ("3", 1, 0), ("4", 1, 0), ("5", 0, 0)])
 
 
-def test_similar_very_long_lines(spark):
-    x = "abcdefghij" * 700
-    pairs = [(x, "q" * 1200 + x[1200:]), (x, "q" * 1500 + x[1500:])]
-    d = spark.createDataFrame(pairs, "x string, y string")
-    assert [r[0] for r in d.select(line_dedup.similar(d.x, d.y)).collect()] == [True, False]
+def test_similar_lines(spark):
+    x, w = "abcdefghi " * 9, " ".join(f"word{i}" for i in range(5000))
+    pairs = [(x.strip(), "q" * 10 + x[12:].strip()), (x.strip(), "q" * 25 + x[25:].strip()), (w, w.replace("word", "w", 1000)), (w, w.replace("word", "w", 1001))]
+    d = spark.createDataFrame(pairs, "x string, y string").select(line_dedup.forms(F.col("x")).alias("x"), line_dedup.forms(F.col("y")).alias("y"))
+    assert [r[0] for r in d.select(line_dedup.similar(F.col("x"), F.col("y"))).collect()] == [True, False, True, False]
 
 
 def test_lm_scores(docs, none):
@@ -251,6 +284,46 @@ def test_lm_scores(docs, none):
     assert len(got) == len(rows) and lm_score.lm_scores(none, RANKS).count() == 0
 
 
+def test_lm_scores_token_by_token(spark, monkeypatch):
+    """The network's part against a plain loop over tokens, with fixed weights and classes."""
+    ranks, par = byte_bpe.load_ranks(RANKS), lm_score.initial()
+    classes = {ranks[bytes([c])]: 2 + i for i, c in enumerate(b"abcdefgh")}
+    classes |= {ranks[x]: 10 + i for i, x in enumerate((b"th", b"in", b"re", b"er"))}
+    monkeypatch.setattr(lm_score, "_fit", lambda learned, ranks: (classes, par))
+    rows = [(i, t) for i, t in enumerate([prose(3), prose(70), "", None, "a" * 400 + " in", "The THE the"])] + [(100 + i, prose(40)) for i in range(30)]
+    got = lm_score.lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string"), RANKS).collect()
+    low = lambda t: [w.lower().encode() for w in split(t)]
+    kind = lambda w: classes.get(lm_score.subwords(w, ranks)[0], lm_score.OTHER) if w is not None else lm_score.END
+    counts: dict = {}
+    for i, t in rows:
+        for w in [*low(t), None] if zlib.crc32(str(i).encode()) % 7 != 2 else ():
+            counts[w] = counts.get(w, 0) + 1
+    size = {k: sum(c + 1 for w, c in counts.items() if kind(w) == k) + 1 for k in range(lm_score.CLASSES)}
+    soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    scores = {r.doc_id: r.score for r in got}
+    for i, t in rows:
+        words, total = low(t), 0.0
+        inputs = [par["start"].astype(float)]
+        for w in words:
+            ids = lm_score.subwords(w, ranks)
+            inputs.append(sum(par["piece"][j % lm_score.BUCKETS] for j in ids) / math.sqrt(len(ids)) + par["cls"][kind(w)])
+        for place, w in enumerate([*words, None]):
+            window = max(0, -(-(place + 1 - lm_score.CONTEXT) // (lm_score.CONTEXT - lm_score.OVERLAP))) * (lm_score.CONTEXT - lm_score.OVERLAP)
+            x = np.array([inputs[p] + par["pos"][p - window] for p in range(window, place + 1)])
+            weights = soft(x @ par["k"] @ (x[-1] @ par["q"]) / math.sqrt(lm_score.DIM))
+            z = np.tanh((x[-1] + weights @ (x @ par["v"])) @ par["hid"]) @ par["out"] + par["bias"]
+            total += math.log10(soft(z)[kind(w)] * (counts.get(w, 0) + 1) / size[kind(w)])
+        assert scores[i] == pytest.approx(total, rel=1e-4)
+
+
+def test_lm_beats_counts_on_held_out_texts(spark):
+    rng = random.Random(2)
+    kinds = [[f"{c}{w}" for w in WORDS[:60]] for c in "aeiou"]
+    rows = [(i, " ".join(rng.choice(kinds[i % 5]) for _ in range(500))) for i in range(800)]
+    held = [r for r in lm_score.lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string"), RANKS).collect() if r.held_out]
+    assert len(held) > 20 and sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
 def test_causal():
     par, x = lm_score.initial(), np.random.default_rng(1).normal(size=(1, lm_score.CONTEXT, lm_score.DIM)).astype(np.float32)
     y = x.copy()

@@ -11,7 +11,8 @@ Fitted by AdaGrad in numpy on a bounded sample of labelled rows, broadcast (buck
 whole texts where they are read.
 
 Defined results: null, empty and blank texts have no terms and get sigmoid(w0). Null labels are not learned from; a document
-labelled more than once is toxic if any label says so. With no labels or one class, every score is that class's share.
+labelled more than once is toxic if any label says so. With no labels or one class, every score is that class's share. Rows are scored one by
+one: repeated rows give repeated scores, a null doc_id is not held out and has no label. No documents: no rows.
 """
 
 from __future__ import annotations
@@ -48,29 +49,34 @@ def machine(ids: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray) -> float:
     return w0 + float(w[ids].sum()) + 0.5 * float(total @ total - (chosen * chosen).sum()) / float(np.sqrt(len(ids)))
 
 
-def train(texts: list[str], labels: list[int], prior: float, epochs: int = 8, rate: float = 0.3, shrink: float = 5e-4, start: float = 3.0, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
-    w, rng = np.zeros(BUCKETS, np.float32), np.random.default_rng(seed)
+def train(texts: list[str], labels: list[int], prior: float, epochs: int = 12, rate: float = 0.5, pair_rate: float = 0.1, shrink: float = 5e-4, start: float = 10.0, pair_start: float = 1.0, spread: float = 0.1, settled: float = 0.003, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
+    """w0, w and v by AdaGrad, one document at a time, until an epoch lowers the loss by a share of `settled` or less."""
+    w, v, rng = np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, FACTORS), np.float32), np.random.default_rng(seed)
     if len(set(labels)) < 2:
         p = min(max(prior, 1e-3), 1 - 1e-3)
-        return float(np.log(p / (1 - p))), w, np.zeros((BUCKETS, FACTORS), np.float32)
-    v = rng.normal(0, 0.01, (BUCKETS, FACTORS)).astype(np.float32)
-    # accumulators start high, so that a term moves far only if many documents push it the same way
-    gw, gv, w0, g0 = np.full(BUCKETS, start, np.float32), np.full((BUCKETS, FACTORS), start, np.float32), 0.0, start
+        return float(np.log(p / (1 - p))), w, v
     docs = [terms(t) for t in texts]
     y = np.array(labels)
-    # terms of one or two documents cannot be told from these documents' labels; they are not learned
+    # terms of one or two documents cannot be told from these documents' labels; they are not learned, and stay out of the pairs
     seen = np.zeros(BUCKETS, np.int32)
     for ids in docs:
         seen[ids] += 1
     docs = [ids[seen[ids] > 2] for ids in docs]
+    # factors of some size from the start: at nought, a pair's pull on either side is nought too
+    # (accumulators start high, so that a term moves far only if many documents push it the same way)
+    v[seen > 2] = rng.normal(0, spread, (int((seen > 2).sum()), FACTORS))
+    gw, gv, w0, g0 = np.full(BUCKETS, start, np.float32), np.full((BUCKETS, FACTORS), pair_start, np.float32), 0.0, start
     share = y.mean()
     # half of the way (by logarithm) back from the sample's shares to those of all labelled rows: rare insults count more
     weight = np.sqrt(np.where(y == 1, prior / share, (1 - prior) / (1 - share)))
+    before = np.inf
     for _ in range(epochs):
+        loss = 0.0
         for i in rng.permutation(len(y)):
             ids = docs[i]
-            p = 1 / (1 + np.exp(-np.clip(machine(ids, w0, w, v), -30, 30)))
-            error = float((p - y[i]) * weight[i])
+            z = np.clip(machine(ids, w0, w, v), -30, 30)
+            loss += float(np.logaddexp(0, -z if y[i] else z) * weight[i])
+            error = float((1 / (1 + np.exp(-z)) - y[i]) * weight[i])
             g0 += error * error
             w0 -= rate * error / np.sqrt(g0)
             if not len(ids):
@@ -81,8 +87,10 @@ def train(texts: list[str], labels: list[int], prior: float, epochs: int = 8, ra
             chosen = v[ids]
             pull = error * (chosen.sum(0) - chosen) / np.sqrt(len(ids)) + shrink * chosen
             gv[ids] += pull * pull
-            v[ids] -= 0.3 * rate * pull / np.sqrt(gv[ids])
-    v[seen < 3] = 0
+            v[ids] -= pair_rate * pull / np.sqrt(gv[ids])
+        if loss > before * (1 - settled):
+            break
+        before = loss
     return float(w0), w, v
 
 

@@ -358,6 +358,19 @@ def test_classifiers(spark):
         assert model(docs, labels.where("false")).count() == 402 and model(docs.where("false"), labels).count() == 0
 
 
+def test_toxicity_learns_pairs():
+    """An insult together with a group is toxic, either alone is not: the weights alone do worse than weights and pairs."""
+    rng = random.Random(6)
+    rows = []
+    for _ in range(1500):
+        group, insult = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((prose(30, rng) + (" grobvolk" if group else "") + (" dumbskull" if insult else ""), int(group and insult)))
+    learn, held = rows[:1200], rows[1200:]
+    w0, w, v = toxicity_model.train([t for t, _ in learn], [y for _, y in learn], 0.25)
+    right = lambda v: sum((toxicity_model.machine(toxicity_model.terms(t), w0, w, v) > 0) == bool(y) for t, y in held) / len(held)
+    assert right(v) >= 0.9 and right(v) > right(np.zeros_like(v)) + 0.05
+
+
 def test_language_id(spark, none):
     rng = random.Random(9)
     en, xx = ["the", "and", "with", "house", "green"], ["ża", "ćmił", "śnieg", "łąka", "źdźbło"]

@@ -82,9 +82,13 @@ def words_of(text: Column) -> Column:
 def bounded_sample(df: DataFrame, key: str, kind: str, per_kind: int, max_kinds: int = 1000) -> DataFrame:
     """About per_kind rows of each value of kind, chosen by a hash of key: the same rows at every run and partitioning.
 
-    A class with fewer rows is taken whole. The rows returned number about per_kind x classes, whatever df's size.
+    A class with fewer rows is taken whole. The rows returned number about per_kind x classes, whatever df's size; more than max_kinds
+    classes are refused, not cut.
     """
-    counts = df.where(F.col(kind).isNotNull()).groupBy(kind).count().orderBy(F.desc("count"), kind).limit(max_kinds).collect()
+    counts = df.where(F.col(kind).isNotNull()).groupBy(kind).count().limit(max_kinds + 1).collect()
+    if len(counts) > max_kinds:
+        raise ValueError(f"{kind!r} has more than {max_kinds} values")
+    counts.sort(key=lambda r: (-r["count"], str(r[kind])))
     if not counts:
         return df.where(F.lit(False))
     keep = F.lit(False)

@@ -17,7 +17,9 @@ The benchmark is a query set held against all documents in blocks of at most BLO
 neighbouring places share most words; of a stretch of them every few words one is embedded.
 
 Defined results: null and empty texts match nothing. Items of fewer than MIN_ITEM words are too short to tell and are not
-looked for. Words are compared in lower case without the punctuation around them. Repeated items are reported by each id.
+looked for. Words are compared in lower case without the punctuation around them. Repeated items are reported by each id, and repeated
+documents by each row; a document with a null doc_id is reported with a null id (and stays in decontaminate()). Items without an id are not looked for. Of
+several runs that match an item the nearest gives the distance, so ties make no difference. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import without
 
 SIMILARITY, MIN_ITEM, BLOCK = 0.8, 5, 10_000
-WALKS, PLACES, RECALL, MOST_TABLES = 5, 3, 0.98, 60
+WALKS, PLACES, RECALL = 5, 3, 0.98
 AROUND = ".,;:!?\"'()[]{}<>*#|-_`~¡¿«»“”‘’…"
 REMEMBERED, SEED = 600_000, 20_240_607
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -150,9 +152,10 @@ class Index:
             rows = np.stack([h, np.array(words, np.uint64)])
             equal = [np.equal(*walk(rows, r[: 3 * len(h)])).mean() for r in self.rand]
             shares.append(float(np.mean(equal)))
-        p = float(np.quantile(shares, 0.25)) if shares else 1.0
+        # unrelated walks agree on no place; the floor bounds the tables at some 500
+        p = max(0.2, float(np.quantile(shares, 0.25))) if shares else 1.0
         miss = max(1e-9, 1 - p**PLACES)
-        return int(min(MOST_TABLES, max(2 * WALKS, math.ceil(math.log(1 - RECALL) / math.log(miss))))) if miss < 1 else 2 * WALKS
+        return max(2 * WALKS, math.ceil(math.log(1 - RECALL) / math.log(miss))) if miss < 1 else 2 * WALKS
 
     def keys(self, rows: np.ndarray) -> list[np.ndarray]:
         """The LSH keys of windows of one size, by table."""

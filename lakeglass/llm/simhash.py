@@ -15,7 +15,8 @@
 Links then give connected components. Nothing grows with the square of a group.
 
 Defined results: null, empty and blank texts have the fingerprint zero and are linked like any other. Rows with the same doc_id
-are separate rows of one document. Every row of the input gets its component.
+are separate rows of one document. Every row of the input gets its component; a row with a null doc_id has that of the rows of its fingerprint
+that have one, and null if there are none. Ties cannot arise: a component is named by its smallest doc_id.
 """
 
 from __future__ import annotations

@@ -178,6 +178,26 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.contamination(none, bench).count() == 0 and decontaminate.contamination(docs, bench.where("false")).count() == 0
 
 
+def test_decontamination_recall():
+    """Items edited as far as the rule allows, planted in longer texts, by their number of words."""
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(3000)]
+    found = {}
+    for n in (8, 16, 30, 50, 80):
+        items = [[rng.choice(words) for _ in range(n)] for _ in range(60)]
+        index = decontaminate.Index([(i, " ".join(x)) for i, x in enumerate(items)])
+        docs = []
+        for item in items:
+            near = list(item)
+            for _ in range(decontaminate.allowed(n)):
+                at, kind = rng.randrange(len(near)), rng.randrange(3)
+                near[at : at + (kind != 0)] = [] if kind == 1 else [rng.choice(words)]
+            text = [rng.choice(words) for _ in range(40)] + near + [rng.choice(words) for _ in range(40)]
+            docs.append(decontaminate.word_hashes(" ".join(text).encode(), decontaminate._Hashes()))
+        found[n] = len({(d, i) for d, i, _, _ in index.search(docs) if d == i}) / 60
+    assert min(found.values()) >= 0.9 and sum(found.values()) / len(found) >= 0.95, found
+
+
 def test_line_dedup(spark, none):
     a, b = prose(14), prose(14)
     d = spark.createDataFrame([(1, f"{a}\n{b}\n\n!!!"), (2, f"{a.upper()}.\n{prose(14)}"), (3, b), (4, None), (5, ""), (6, f"{b}x")], "doc_id bigint, text string")

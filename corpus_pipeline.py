@@ -2,6 +2,11 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next stage's docs. All stages but the last return the columns of documents.
+
+Defined results: empty tables give no rows. A null text fails the quality rules, so nothing after them meets one. Documents with a null doc_id
+are judged by the base rules alone, keep their lines, are no near-duplicate of any and are not held against the benchmark; they
+are encoded like the others. Rows of one doc_id go together in every stage but line dedup, where rows of other texts are documents of
+their own. Of equal or tied documents the smallest doc_id stays. Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one, exactly or nearly, go; n_chars counts what is left."""
-    return line_dedup.line_dedup(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
+    return line_dedup.line_dedup(docs, counts=False).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
 
 
 def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -153,6 +153,14 @@ def kpi_comparison(spark, sf_dir):
     return query.kpi_comparison(orders(spark, sf_dir), Kpi("sales", Metric("sum", "o_totalprice")), "o_orderdate", "month")
 
 
+@query_of("SELECT 'either' AS kpi, round(sum(o_totalprice) FILTER (o_orderstatus = 'F' OR o_custkey < 50), 2) AS value, true AS available, NULL AS reason FROM orders WHERE o_totalprice > 100000 UNION ALL SELECT 'unknown', NULL, false, 'unknown column ''o_weight''' UNION ALL SELECT 'text', NULL, false, 'sum needs a number, and ''o_orderstatus'' is string' UNION ALL SELECT 'nothing', NULL, false, 'no value'")
+def kpi_availability(spark, sf_dir):
+    either = where(Condition("o_orderstatus", "equals", "F"), Condition("o_custkey", "less_than", 50), combine="or")
+    dear, none = where(Condition("o_totalprice", "greater_than", 100000)), where(Condition("o_totalprice", "less_than", 0))
+    price = Metric("sum", "o_totalprice")
+    return query.evaluate_kpis(orders(spark, sf_dir), [Kpi("either", Metric("sum", "o_totalprice", either), filters=dear), Kpi("unknown", Metric("sum", "o_weight")), Kpi("text", Metric("sum", "o_orderstatus")), Kpi("nothing", price, filters=none)])
+
+
 # grouped analytics
 
 
@@ -166,6 +174,29 @@ def seg_bottom(spark, sf_dir):
     return ranking.ranking(wide(spark, sf_dir), "p_brand", Metric("sum", "revenue"), top=False, limit=5).select("rank", "label", "value", "share_pct", "group_count")
 
 
+@query_of("SELECT CAST(o_custkey AS VARCHAR) AS label, round(sum(o_totalprice), 2) AS value, round(100 * sum(o_totalprice) / sum(sum(o_totalprice)) OVER (), 2) AS share_pct, count(*) OVER () AS group_count FROM orders GROUP BY 1 ORDER BY sum(o_totalprice) DESC, 1 LIMIT 20")
+def seg_customers(spark, sf_dir):
+    return ranking.segment(orders(spark, sf_dir), "o_custkey", Metric("sum", "o_totalprice"))
+
+
+_BUYERS = "WITH g AS (SELECT CAST(o_custkey AS VARCHAR) AS label, sum(o_totalprice) AS v FROM orders GROUP BY 1), c AS (SELECT row_number() OVER (ORDER BY v DESC, label) AS rank, label, v, 100 * v / sum(v) OVER () AS share, 100 * sum(v) OVER (ORDER BY v DESC, label ROWS UNBOUNDED PRECEDING) / sum(v) OVER () AS cum, count(*) OVER () AS group_count FROM g) "
+
+
+@query_of(_BUYERS + "SELECT rank, label, round(v, 2) AS value, round(share, 2) AS share_pct, round(cum, 2) AS cumulative_pct, group_count FROM c ORDER BY rank LIMIT 500")
+def contribution_customers(spark, sf_dir):
+    return ranking.contribution(orders(spark, sf_dir), "o_custkey", Metric("sum", "o_totalprice"))
+
+
+@query_of(_BUYERS + "SELECT CASE WHEN cum <= 80 + 1e-9 THEN 'A' WHEN cum <= 95 + 1e-9 THEN 'B' ELSE 'C' END AS class, count(*) AS groups, round(sum(v), 2) AS value, round(100 * sum(v) / sum(sum(v)) OVER (), 2) AS value_pct FROM c GROUP BY 1")
+def abc_customers(spark, sf_dir):
+    return ranking.abc_summary(ranking.abc(orders(spark, sf_dir), "o_custkey", Metric("sum", "o_totalprice")))
+
+
+@query_of(f"SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY price NULLS LAST, o_orderkey) AS rn FROM {N}) WHERE rn = 1")
+def clean_dedupe_null_order(spark, sf_dir):
+    return cleaning.remove_duplicates(holed(spark, sf_dir).select("o_custkey", "o_orderkey", "price"), ["o_custkey"], "price").select("o_custkey", "o_orderkey")
+
+
 _CUM = f"WITH g AS (SELECT p_brand AS label, sum(revenue) AS v FROM {W} GROUP BY 1), c AS (SELECT row_number() OVER (ORDER BY v DESC, label) AS rank, label, v, 100 * v / sum(v) OVER () AS share, 100 * sum(v) OVER (ORDER BY v DESC, label ROWS UNBOUNDED PRECEDING) / sum(v) OVER () AS cum, count(*) OVER () AS group_count FROM g) "
 
 

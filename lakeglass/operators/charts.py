@@ -61,6 +61,7 @@ def chart(df: DataFrame, kind: str, x: str | None = None, y: str | None = None,
     """Data of any chart."""
     need(kind in CHARTS, f"unknown chart {kind!r}")
     rows = apply_filters(df, filters)
+    need(not filters or not rows.isEmpty(), "no rows pass the filters")
     if kind == "histogram":
         return histogram(rows, x, bins)
     if kind == "box":

@@ -145,6 +145,7 @@ def validate(df: DataFrame, model: Model, plan: Plan) -> Plan:
 def execute(df: DataFrame, plan: Plan) -> DataFrame:
     """The answer's rows: metric and value, or label, value, share and rank, or label and value by period."""
     rows = apply_filters(df, plan.filters)
+    need(not plan.filters or not rows.isEmpty(), "no rows pass the filters")
     name = lambda m: f"{m.name}_{m.column or 'rows'}"
     if plan.intent in ("metric", "multi_metric"):
         return metrics(rows, {name(m): m for m in plan.measures})
@@ -209,4 +210,4 @@ def suggestions(model: Model, most: int = 10) -> list[str]:
     return out[:most]
 
 
-__all__ = ["Model", "answer_text", "ask", "describe", "execute", "metric", "plan_by_rules", "semantic_model", "suggestions", "untraceable", "validate", "F"]
+__all__ = ["Model", "answer_text", "ask", "describe", "execute", "plan_by_rules", "semantic_model", "suggestions", "untraceable", "validate"]

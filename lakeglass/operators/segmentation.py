@@ -51,6 +51,14 @@ def cluster_profiles(df: DataFrame, columns: list[str], k: int = 4, entity: str
     return out.withColumn("members_pct", share(F.col("members"), F.sum("members").over(Window.partitionBy()))).orderBy("cluster")
 
 
+def cluster_features(profiles: DataFrame, most: int = 3) -> DataFrame:
+    """cluster, rank, feature, z of the features that tell each cluster most from the whole, by cluster_profiles()."""
+    names = [c[2:] for c in profiles.columns if c.startswith("z_")]
+    each = F.array(*(F.struct(F.abs(quoted(f"z_{c}")).alias("size"), F.lit(c).alias("feature"), quoted(f"z_{c}").alias("z")) for c in names))
+    first = F.slice(F.sort_array(each, asc=False), 1, most)
+    return profiles.select("cluster", F.posexplode(first).alias("at", "x")).select("cluster", (F.col("at") + 1).alias("rank"), "x.feature", "x.z")
+
+
 def principal_components(df: DataFrame, columns: list[str], entity: str | None = None) -> tuple[DataFrame, float]:
     """x, y of each complete row on the first two components (signs such that the largest loading is positive), and the share explained."""
     rows, used = features(df, columns, entity)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, conversation_repair, decontaminate, language_model_id, line_dedup, lm_score, quality_model, quality_rules, simhash, source_divergence, substring_dedup, toxicity_model
+from . import byte_bpe, conversation_repair, decontaminate, language_model_id, line_dedup, lm_score, quality_model, quality_rules, secret_scan, simhash, source_divergence, substring_dedup, toxicity_model
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.secrets(table(spark, sf_dir, "documents")))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
 
@@ -71,7 +75,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.divergence(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_quality_rules, op2_substring_dedup, op3_lm_scoring, op4_decontamination, op5_simhash, op6_quality_classifier, op7_toxicity, op8_language_id, op9_line_dedup, op10_byte_bpe, op12_conversation_repair, op13_source_divergence)
+QUERIES = (op1_quality_rules, op2_substring_dedup, op3_lm_scoring, op4_decontamination, op5_simhash, op6_quality_classifier, op7_toxicity, op8_language_id, op9_line_dedup, op10_byte_bpe, op11_secret_scan, op12_conversation_repair, op13_source_divergence)
 
 
 def queries() -> dict[str, Query]:

@@ -13,6 +13,8 @@ DATE_SHARE, DATE_LEAST = 0.9, 5
 
 #: Formats that text dates are read by, in order; month first, as ISO is not ambiguous.
 FORMATS = ("yyyy-M-d", "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy/M/d", "M/d/yyyy", "M-d-yyyy", "d.M.yyyy", "d MMM yyyy", "MMM d, yyyy", "MMM d yyyy")
+#: What any text that one of them fits begins with: a number and then nothing or a separator, or a month and a number.
+POSSIBLE = r"^(?:[-+]?\d{1,6}(?:[-/.T :].*)?|\d{1,2} [A-Za-z]{3}\b.*|[A-Za-z]{3} \d.*)$"
 
 _STEP = {"day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAYS", "month": "INTERVAL 1 MONTH", "quarter": "INTERVAL 3 MONTHS", "year": "INTERVAL 1 YEAR"}
 
@@ -26,6 +28,11 @@ def check_period(period: str) -> str:
 def parse_date(c: Column) -> Column:
     """A timestamp from text by the first format that fits, else null."""
     text = F.trim(c.cast("string"))
+    # a format that does not fit costs an exception; most text cannot fit any
+    return F.when(text.rlike(POSSIBLE), _by_format(text))
+
+
+def _by_format(text: Column) -> Column:
     return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in FORMATS), F.try_to_timestamp(text))
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.compile import aggregate, apply_filters, kind_of, label_of, number, quoted
+from ..plans.compile import apply_filters, kind_of, label_of, number, quoted
+from ..plans.grouping import aggregates
 from ..plans.requests import Aggregate, FilterSet, need
 from .distribution import box_stats, histogram
 
@@ -18,14 +19,14 @@ CATEGORY_ROWS = 1000
 CHARTS = ("bar", "line", "area", "pie", "donut", "scatter", "histogram", "box")
 
 
-def _measure(df: DataFrame, y: str | None, function: str):
-    return aggregate(df, Aggregate(function, y, "value") if y else Aggregate("count", None, "value"))
+def _measured(df: DataFrame, keys: dict[str, Column], y: str | None, function: str) -> DataFrame:
+    return aggregates(df, keys, {"value": Aggregate(function, y) if y else Aggregate("count")})
 
 
 def category_chart(df: DataFrame, x: str, y: str | None = None, function: str = "sum", max_categories: int = 20, by_label: bool = False) -> DataFrame:
     """position, label, value: the largest categories and 'Other' with the sum of the rest. Line charts go by label."""
     kind_of(df, x)
-    groups = df.groupBy(label_of(quoted(x)).alias("label")).agg(_measure(df, y, function)).where("value IS NOT NULL").withColumn("value", F.col("value").cast("double"))
+    groups = _measured(df, {"label": label_of(quoted(x))}, y, function).where("value IS NOT NULL").withColumn("value", F.col("value").cast("double"))
     need(1 <= max_categories <= CATEGORY_ROWS, f"1 to {CATEGORY_ROWS} categories")
     top = groups.orderBy(F.desc("value"), "label").limit(max_categories).withColumn("rest", F.lit(False))
     # top: max_categories rows; the rest is pre-aggregated where the groups are
@@ -38,7 +39,7 @@ def category_chart(df: DataFrame, x: str, y: str | None = None, function: str =
 def series_chart(df: DataFrame, x: str, group: str, y: str | None = None, function: str = "sum", max_series: int = 20) -> DataFrame:
     """label, series, value for the first groups (in label order) of a column; nulls have a series of their own."""
     kind_of(df, x), kind_of(df, group)
-    cells = df.groupBy(label_of(quoted(x)).alias("label"), label_of(quoted(group)).alias("series")).agg(_measure(df, y, function)).withColumn("value", F.col("value").cast("double"))
+    cells = _measured(df, {"label": label_of(quoted(x)), "series": label_of(quoted(group))}, y, function).withColumn("value", F.col("value").cast("double"))
     first = cells.select("series").distinct().orderBy("series").limit(max_series)
     return cells.join(F.broadcast(first), "series").select("label", "series", "value")  # first: max_series rows
 
@@ -78,7 +79,7 @@ def suggest_charts(columns: list[dict[str, Any]], limit: int = SUGGESTIONS) -> l
     """Charts that suit a frame, from describe_columns(): trends, comparisons, relations, distributions, counts."""
     numbers = [c["column"] for c in columns if c["numeric"]]
     dates = [c["column"] for c in columns if c["temporal"]]
-    groups = [c["column"] for c in columns if c["type"] in ("string", "boolean") and 0 < c["distinct"] <= CATEGORY_VALUES]
+    groups = [c["column"] for c in columns if c["type"] in ("string", "boolean") and 0 < (c["distinct"] or 0) <= CATEGORY_VALUES]
     out: list[dict[str, Any]] = []
     if dates and numbers:
         out.append({"kind": "line", "x": dates[0], "y": numbers[0], "function": "sum"})

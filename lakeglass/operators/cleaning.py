@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import as_timestamp
 from ..plans.compile import fresh, is_number, kind_of, number, quoted
+from ..plans.grouping import group_by
 from ..plans.requests import RequestError, need
 from ..sources.storage import written
 from .distribution import bounds
@@ -55,7 +56,7 @@ def fill_missing(df: DataFrame, column: str, strategy: str, value: Any = None, o
         counts = df.where(c.isNotNull()).groupBy(c.alias("v")).agg(F.count("*").alias("n"))
         stat = counts.agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias(fill))
     else:
-        stat = df.agg((F.avg if strategy == "mean" else F.median)(number(df, column)).alias(fill))
+        stat = df.agg(F.avg(number(df, column)).alias(fill)) if strategy == "mean" else group_by(df, {}, {}, {fill: number(df, column)})
     filled = F.coalesce(c, F.col(fill)) if strategy == "mode" else F.coalesce(c.cast("double"), F.col(fill))
     return df.join(F.broadcast(stat)).withColumn(column, filled).drop(fill)  # stat: one row
 

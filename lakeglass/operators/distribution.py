@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
 from ..functions.stats import bin_of, correlation, fences, share
 from ..plans.compile import apply_filters, fresh, kind_of, label_of, number, quoted
 from ..plans.requests import FilterSet, need
@@ -14,13 +15,16 @@ from ..plans.requests import FilterSet, need
 # The reported percentiles, and Tukey's factor.
 PERCENTILES = (0.10, 0.25, 0.50, 0.75, 0.90, 0.95)
 FENCE = 1.5
+#: Most groups of a box chart: two rows for each of their quartiles are broadcast.
+MAX_BOXES = 1000
 
 
 def distribution_stats(df: DataFrame, column: str, filters: FilterSet | None = None) -> DataFrame:
-    """One row: n, mean, median, min, max, standard deviation and percentiles, in one pass and exact."""
+    """One row: n, mean, median, min, max, standard deviation and exact percentiles."""
     v = number(df, column)
     rows = apply_filters(df, filters).select(v.alias("v")).where("v IS NOT NULL")
-    out = rows.agg(F.count("v").alias("n"), F.avg("v").alias("mean_value"), F.min("v").alias("min_value"), F.max("v").alias("max_value"), F.stddev_samp("v").alias("std_dev"), F.percentile("v", F.array(*map(F.lit, PERCENTILES))).alias("p"))
+    out = rows.agg(F.count("v").alias("n"), F.avg("v").alias("mean_value"), F.min("v").alias("min_value"), F.max("v").alias("max_value"), F.stddev_samp("v").alias("std_dev"))
+    out = out.join(F.broadcast(quantiles(rows, [], "v", PERCENTILES, few=True).select(F.col("q").alias("p"))))  # both one row
     named = [F.col("p")[i].alias(f"p{round(100 * q)}") for i, q in enumerate(PERCENTILES)]
     return out.select("n", "mean_value", F.col("p")[PERCENTILES.index(0.50)].alias("median_value"), "min_value", "max_value", "std_dev", *named)
 
@@ -43,15 +47,17 @@ def histogram(df: DataFrame, column: str, bins: int = 10, filters: FilterSet | N
 def box_stats(df: DataFrame, column: str, group: str | None = None, limit: int = 20) -> DataFrame:
     """label, quartiles, whiskers (the extreme values inside the fences), outliers and n, by group in label order.
 
-    The quartiles, one row a group, are joined back to the rows; Spark broadcasts them if they are small.
+    The first groups are found before their quartiles, which are a row a group and joined back to the rows.
     """
+    need(1 <= limit <= MAX_BOXES, f"1 to {MAX_BOXES} groups")
     key = label_of(quoted(group)) if group else F.lit("all")
     rows = df.select(key.alias("label"), number(df, column).alias("v")).where("v IS NOT NULL")
-    q = rows.groupBy("label").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.orderBy("label").limit(limit)
+    if group:
+        rows = rows.join(F.broadcast(rows.select("label").distinct().orderBy("label").limit(limit)), "label")  # limit rows
+    q = quantiles(rows, ["label"], "v", (0.25, 0.5, 0.75), few=True).select("label", "q")
     low, high = fences(F.col("q")[0], F.col("q")[2], FENCE)
     inside = F.col("v").between(low, high)
-    out = rows.join(q, "label").groupBy("label").agg(F.first("q").alias("q"), F.min(F.when(inside, F.col("v"))).alias("whisker_low"), F.max(F.when(inside, F.col("v"))).alias("whisker_high"), F.count_if(~inside).alias("outliers"), F.count("*").alias("n"))
+    out = rows.join(F.broadcast(q), "label").groupBy("label").agg(F.first("q").alias("q"), F.min(F.when(inside, F.col("v"))).alias("whisker_low"), F.max(F.when(inside, F.col("v"))).alias("whisker_high"), F.count_if(~inside).alias("outliers"), F.count("*").alias("n"))
     return out.select("label", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median_value"), F.col("q")[2].alias("q3"), "whisker_low", "whisker_high", "outliers", "n")
 
 
@@ -59,7 +65,7 @@ def bounds(df: DataFrame, v: Column, method: str, threshold: float) -> DataFrame
     """One row with lo and hi, beyond which a value is an outlier; null where the values do not spread."""
     need(method in ("iqr", "zscore") and 0 < threshold <= 10, "method 'iqr' or 'zscore', threshold over 0 and up to 10")
     if method == "iqr":
-        q = df.agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+        q = quantiles(df.select(v.alias("v")), [], "v", (0.25, 0.75), few=True)
         low, high = fences(F.col("q")[0], F.col("q")[1], threshold)
         spread = F.col("q")[1] - F.col("q")[0]
         return q.select(F.when(spread > 0, low).alias("lo"), F.when(spread > 0, high).alias("hi"))
@@ -71,8 +77,8 @@ def outliers(df: DataFrame, column: str, method: str = "iqr", threshold: float =
     """One row: n, outliers and their share, the bounds, and the five-number summary. Strictly beyond a bound counts."""
     need(method in ("iqr", "zscore") and 0 < threshold <= 10, "method 'iqr' or 'zscore', threshold over 0 and up to 10")
     rows = df.select(number(df, column).alias("v")).where("v IS NOT NULL")
-    # the five numbers, of which two give the fences, come from one pass
-    five = rows.agg(F.percentile("v", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("p"), F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
+    five = quantiles(rows, [], "v", (0.0, 0.25, 0.5, 0.75, 1.0), few=True).select(F.col("q").alias("p"))
+    five = five.join(F.broadcast(rows.agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))))  # both one row
     low, high = fences(F.col("p")[1], F.col("p")[3], threshold) if method == "iqr" else (F.col("m") - threshold * F.col("s"), F.col("m") + threshold * F.col("s"))
     spread = F.col("p")[3] - F.col("p")[1] if method == "iqr" else F.col("s")
     b = five.select("p", F.when(spread > 0, low).alias("lo"), F.when(spread > 0, high).alias("hi"))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import DATE_LEAST, DATE_SHAPE, DATE_SHARE, as_timestamp, parse_date
+from ..functions.quantiles import quantiles
 from ..functions.stats import percent
 from ..plans.compile import is_date, is_number, kind_of, number, quoted
 from ..plans.requests import need
@@ -21,8 +24,16 @@ MISSING_CRITICAL, MISSING_WARNING, DUPLICATE_CRITICAL, WRONG_TYPE, MIXED_TYPES =
 PLACEHOLDERS = ("n/a", "na", "null", "none", "nil", "-", "--", "?", "unknown", "#n/a", "nan", "")
 PENALTY = {"critical": 20, "warning": 8, "info": 2}
 
-#: Distinct counts in one pass; more would multiply the rows too often.
-DISTINCT_AT_ONCE = 8
+#: Distinct values that a column's sketch holds, 8 bytes each; and how far an estimate beyond may be off.
+LOG_SKETCHED = 14
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+SKETCHED, SKETCH_ERROR = 1 << LOG_SKETCHED, 4 / (1 << LOG_SKETCHED) ** 0.5
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if it comes from fewer files than there are: work that is heavy for each row would keep to the few tasks that read them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df._jdf.inputFiles()) < cores else df
 
 
 def _atomic(df: DataFrame) -> list[str]:
@@ -47,38 +58,68 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("column").agg(F.count("*").alias("distinct_count"))
 
 
-def detect_types(df: DataFrame) -> dict[str, str]:
-    """integer, float, boolean, datetime, string or empty for each scalar column. Text is read for dates in the same pass."""
-    columns = _atomic(df)
+def _surveyed(df: DataFrame, columns: list[str], counted: list[str]) -> dict[str, dict[str, Any]]:
+    """For each column in one read: rows, n (values; of columns that are neither text nor counted only whether there are any), for text the shares of numbers and of dates, and for those in `counted` the distinct values.
+
+    Each row gives a row a column, so that one small expression, which compiles well, tests all text. Grouping by column, it is pre-aggregated
+    where the rows are.
+    """
     kinds = dict(df.dtypes)
-    tests: list[Column] = []
-    for i, c in enumerate(columns):
-        v = quoted(c)
-        tests.append(F.count(v).alias(f"n{i}"))
-        if kinds[c] == "string":
-            t = F.trim(v)
-            tests += [F.avg(t.rlike(r"^[-+]?\d*\.?\d+$").cast("int")).alias(f"num{i}"), F.avg(t.rlike(DATE_SHAPE).cast("int")).alias(f"shape{i}")]
-            tests.append(F.avg((t.rlike(DATE_SHAPE) & parse_date(t).isNotNull()).cast("int")).alias(f"date{i}"))
-    r = df.agg(*tests).first() if tests else {}
-    out = {}
-    for i, c in enumerate(columns):
+    read = [c for c in columns if kinds[c] == "string" or c in counted]
+    # of the other columns all that counts is whether they hold anything: a bit each
+    rest = [c for c in columns if c not in read]
+    words = [rest[i : i + 63] for i in range(0, len(rest), 63)]
+    bits = [reduce(lambda a, b: a + b, (F.when(quoted(c).isNotNull(), F.lit(1 << j)).otherwise(F.lit(0)).cast("long") for j, c in enumerate(word))).alias(f"b{w}") for w, word in enumerate(words)]
+    dealt = spread(df.select(*(quoted(c).alias(f"c{i}") for i, c in enumerate(read)), *bits))
+    cell = lambda c, v: F.struct(F.lit(columns.index(c)).alias("i"), F.lit(kinds[c] == "string").alias("text"), F.lit(c in counted).alias("counted"), v.alias("v"), F.lit(0).cast("long").alias("bits"))
+    cells = [cell(c, F.col(f"c{i}").cast("string")) for i, c in enumerate(read)]
+    cells += [F.struct(F.lit(-1 - w).alias("i"), F.lit(False).alias("text"), F.lit(False).alias("counted"), F.lit(None).cast("string").alias("v"), F.col(f"b{w}").alias("bits")) for w in range(len(words))]
+    long = dealt.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    t = F.when(F.col("text"), F.trim("v"))
+    # most text is told by its first character, without a pattern; dates may begin with a month of three letters
+    head = F.ascii(t)
+    numeric = head.between(ord("0"), ord("9")) | head.isin(*map(ord, "+-."))
+    share = lambda found: F.avg(F.when(t.isNotNull(), F.coalesce(found.cast("int"), F.lit(0))))
+    number_like = F.when(numeric, t.rlike(r"^[-+]?\d*\.?\d+$"))
+    date_like = F.when(numeric | (F.substring(t, 4, 1) == " "), t.rlike(DATE_SHAPE) & parse_date(t).isNotNull())
+    # values go in by their hash, as the sketch leaves out empty text
+    sketch = F.theta_sketch_estimate(F.theta_sketch_agg(F.when(F.col("counted") & F.col("v").isNotNull(), F.xxhash64("v")), LOG_SKETCHED))
+    out = long.groupBy("i").agg(F.count(F.lit(1)).alias("rows"), F.count("v").alias("n"), share(number_like).alias("num"), share(date_like).alias("date"), sketch.alias("distinct"), F.bit_or("bits").alias("bits"))
+    rows = {r["i"]: r.asDict() for r in out.collect()}  # a row a column
+    none = {"rows": 0, "n": 0, "num": None, "date": None, "distinct": 0, "bits": 0}
+    found = {c: rows.get(columns.index(c), none) for c in read}
+    for w, word in enumerate(words):
+        r = rows.get(-1 - w, none)
+        found |= {c: r | {"n": r["bits"] >> j & 1} for j, c in enumerate(word)}
+    return {c: found[c] for c in columns}
+
+
+def _types(df: DataFrame, found: Mapping[str, Mapping[str, Any]]) -> dict[str, str]:
+    kinds, out = dict(df.dtypes), {}
+    for c, r in found.items():
         k = kinds[c]
-        if r[f"n{i}"] == 0:
+        if r["n"] == 0:
             out[c] = "empty"
         elif k == "boolean":
             out[c] = "boolean"
-        elif k in ("tinyint", "smallint", "int", "bigint"):
+        elif k in WHOLE:
             out[c] = "integer"
         elif is_number(k):
             out[c] = "float"
         elif is_date(k):
             out[c] = "datetime"
         else:
-            dates = k == "string" and r[f"n{i}"] >= DATE_LEAST and r[f"num{i}"] < 1 and r[f"shape{i}"] >= DATE_SHARE and r[f"date{i}"] >= DATE_SHARE
+            dates = k == "string" and r["n"] >= DATE_LEAST and r["num"] < 1 and r["date"] >= DATE_SHARE
             out[c] = "datetime" if dates else "string"
     return out
 
 
+def detect_types(df: DataFrame) -> dict[str, str]:
+    """integer, float, boolean, datetime, string or empty for each scalar column. Text is read for dates in the same pass."""
+    columns = _atomic(df)
+    return _types(df, _surveyed(df, columns, [])) if columns else {}
+
+
 def profile_columns(df: DataFrame) -> DataFrame:
     """column, row_count, null_count, null_pct, non_null_count, distinct_count, distinct_pct."""
     columns = _atomic(df)
@@ -89,10 +130,11 @@ def profile_columns(df: DataFrame) -> DataFrame:
 
 
 def numeric_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, n, min, max, mean, median, std, sum and quartiles of numeric columns in one pass."""
-    q = lambda c: F.percentile(number(df, c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    made = {"n": lambda c: F.count(number(df, c)), "min_value": lambda c: F.min(number(df, c)), "max_value": lambda c: F.max(number(df, c)), "mean_value": lambda c: F.avg(number(df, c)), "std_dev": lambda c: F.stddev_samp(number(df, c)), "sum_value": lambda c: F.sum(number(df, c)), "q": q}
-    out = _long(df, columns, made)
+    """column, n, min, max, mean, median, std, sum and exact quartiles of numeric columns, all columns together."""
+    made = {"n": lambda c: F.count(number(df, c)), "min_value": lambda c: F.min(number(df, c)), "max_value": lambda c: F.max(number(df, c)), "mean_value": lambda c: F.avg(number(df, c)), "std_dev": lambda c: F.stddev_samp(number(df, c)), "sum_value": lambda c: F.sum(number(df, c))}
+    values = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), number(df, c).alias("v")) for c in columns)))
+    q = quantiles(df.select(values.alias("x")).select("x.*"), ["column"], "v", (0.25, 0.5, 0.75), few=True)
+    out = _long(df, columns, made).join(F.broadcast(q.select("column", "q")), "column", "left")  # a row a column
     return out.select("column", "n", "min_value", "max_value", "mean_value", "std_dev", "sum_value", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median_value"), F.col("q")[2].alias("p75"))
 
 
@@ -135,19 +177,38 @@ def profile_dataset(df: DataFrame) -> DataFrame:
 
 
 def describe_columns(df: DataFrame) -> list[dict[str, Any]]:
-    """For each scalar column what it can be used for: numeric, temporal, categorical, identifier, measure."""
-    types = detect_types(df)
-    rows = {r["column"]: r for r in profile_columns(df).collect()}  # one row a column
+    """For each scalar column what it can be used for: numeric, temporal, categorical, identifier, measure; distinct is None where no use depends on it.
+
+    One read of the frame tells all columns: their types, and a sketch of each one's distinct values that holds SKETCHED at most. A count up to that is
+    exact; beyond, it is an estimate within SKETCH_ERROR (4 standard errors), and only a column whose share of distinct values an estimate cannot
+    tell from the limit is counted in a second read.
+    """
+    columns = _atomic(df)
+    if not columns:
+        return []
+    counted = [c for c, k in df.dtypes if c in columns and not is_date(k) and (not is_number(k) or k in WHOLE and not ID_NAME.search(c))]
+    found = _surveyed(df, columns, counted)
+    types, n = _types(df, found), max(found[columns[0]]["rows"], 1)
+    counts = {c: found[c]["distinct"] or 0 for c in counted}
+
+    def unclear(c: str) -> bool:
+        limit = KEY_SHARE if types[c] == "integer" else TEXT_KEY_SHARE
+        matters = types[c] in ("integer", "string", "boolean") and not ID_NAME.search(c) and (types[c] == "integer" or counts.get(c, 0) <= MAX_DIMENSION)
+        return matters and counts.get(c, 0) > SKETCHED and abs(counts[c] / n - limit) <= SKETCH_ERROR * counts[c] / n
+
+    if again := [c for c in columns if unclear(c)]:
+        counts |= {x["column"]: x["distinct_count"] for x in distinct_counts(df, again).collect()}  # a row a column
     out = []
     for c, kind in types.items():
-        n, distinct = max(rows[c]["row_count"], 1), rows[c]["distinct_count"]
         numeric, temporal = kind in ("integer", "float"), kind == "datetime"
-        named, unique = bool(ID_NAME.search(c)), distinct / n
+        # numbers that are told by type or name are not counted
+        named, distinct = bool(ID_NAME.search(c)), counts.get(c)
+        unique = min(1.0, (distinct or 0) / n)
         if numeric:
-            identifier = named or (kind == "integer" and distinct > 1 and unique >= KEY_SHARE)
+            identifier = named or (kind == "integer" and (distinct or 0) > 1 and unique >= KEY_SHARE)
         else:
-            identifier = not temporal and distinct > 1 and (named or distinct > MAX_DIMENSION or unique > TEXT_KEY_SHARE)
-        categorical = not numeric and not temporal and not identifier and 0 < distinct <= MAX_DIMENSION
+            identifier = not temporal and distinct is not None and distinct > 1 and (named or distinct > MAX_DIMENSION or unique > TEXT_KEY_SHARE)
+        categorical = not numeric and not temporal and not identifier and 0 < (distinct or 0) <= MAX_DIMENSION
         out.append({"column": c, "type": kind, "distinct": distinct, "numeric": numeric, "temporal": temporal, "identifier": identifier, "categorical": categorical, "measure": numeric and not identifier})
     return out
 
@@ -162,7 +223,7 @@ def filter_options(df: DataFrame, values: int = 100, most: int = 200) -> dict[st
     for r in numeric_stats(df, numbers).collect() if numbers else []:
         out[r["column"]] = {"kind": "number", "min": r["min_value"], "max": r["max_value"]}
     for r in roles:
-        if not r["numeric"] and not r["temporal"] and 0 < r["distinct"] <= most:
+        if not r["numeric"] and not r["temporal"] and 0 < (r["distinct"] or 0) <= most:
             out[r["column"]] = {"kind": "values", "values": [x["value"] for x in top_values(df, r["column"], values).collect()]}
     return out
 

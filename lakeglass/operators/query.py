@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import change
-from ..plans.compile import aggregate, apply_filters, formula, kind_of, label_of, metric, predicate, quoted
-from ..plans.requests import Formula, Kpi, Metric, Query, RequestError, need
+from ..plans.compile import apply_filters, kind_of, label_of, predicate, quoted
+from ..plans.grouping import aggregates, check, grouped
+from ..plans.requests import Aggregate, Formula, Kpi, Metric, Query, RequestError, need
 from .timeseries import growth
 
 KPI_GROUPS, PAGE_ROWS = 25, 200
@@ -26,8 +27,8 @@ def run_query(df: DataFrame, q: Query) -> DataFrame:
     for c in (*q.group_by, *q.columns):
         kind_of(df, c)
     if q.group_by or q.aggregations:
-        made = [aggregate(df, a) for a in q.aggregations] or [F.count(F.lit(1)).alias("count_rows")]
-        out = rows.groupBy(*(quoted(c) for c in q.group_by)).agg(*made) if q.group_by else rows.agg(*made)
+        made = {a.name: a for a in q.aggregations or (Aggregate("count"),)}
+        out = aggregates(rows, {c: quoted(c) for c in q.group_by}, made)
     else:
         out = rows.select(*(quoted(c) for c in q.columns)) if q.columns else rows
     if q.sort_by:
@@ -59,7 +60,7 @@ def preview(df: DataFrame, page: int, size: int, order: str) -> DataFrame:
 
 def metrics(df: DataFrame, wanted: dict[str, Metric | Formula]) -> DataFrame:
     """metric, value: any number of ungrouped metrics and formulas, all in one pass over df."""
-    one = df.agg(*(formula(df, m).alias(f"m{i}") for i, m in enumerate(wanted.values())))
+    one = grouped(df, {}, {f"m{i}": m for i, m in enumerate(wanted.values())})
     pairs = F.array(*(F.struct(F.lit(name).alias("metric"), F.col(f"m{i}").alias("value")) for i, name in enumerate(wanted)))
     return one.select(F.explode(pairs).alias("x")).select("x.metric", "x.value")
 
@@ -71,17 +72,20 @@ def evaluate_kpis(df: DataFrame, wanted: list[Kpi]) -> DataFrame:
     limit is not available, for the reason given; the others are worked out all the same. So is one whose value is null.
     """
     need(1 <= len(wanted) <= KPI_GROUPS, f"1 to {KPI_GROUPS} KPIs")
-    cells, reasons = [], []
-    for k in wanted:
+    cells: dict[str, Formula] = {}
+    filters, reasons = {}, []
+    for i, k in enumerate(wanted):
         try:
             need(k.formula or k.metric, "no metric")
-            cells.append(formula(df, k.formula or k.metric, also=predicate(df, k.filters)))
+            filters[f"k{i}"] = predicate(df, k.filters)
+            check(df, k.formula or k.metric)
+            cells[f"k{i}"] = k.formula or k.metric
             reasons.append(None)
         except RequestError as e:
-            cells.append(F.max(F.lit(None).cast("double")))
             reasons.append(str(e))
-    one = df.agg(*(c.alias(f"k{i}") for i, c in enumerate(cells)))
-    pairs = F.array(*(F.struct(F.lit(k.name).alias("kpi"), F.col(f"k{i}").alias("value"), F.lit(why).cast("string").alias("why")) for i, (k, why) in enumerate(zip(wanted, reasons, strict=True))))
+    one = grouped(df, {}, cells or {"none": Metric("count")}, filters)
+    value = lambda i: F.col(f"k{i}") if f"k{i}" in cells else F.lit(None).cast("double")
+    pairs = F.array(*(F.struct(F.lit(k.name).alias("kpi"), value(i).alias("value"), F.lit(why).cast("string").alias("why")) for i, (k, why) in enumerate(zip(wanted, reasons, strict=True))))
     out = one.select(F.explode(pairs).alias("x")).select("x.*")
     reason = F.coalesce("why", F.when(F.col("value").isNull(), "no value"))
     return out.select("kpi", "value", reason.isNull().alias("available"), reason.alias("reason"))
@@ -97,7 +101,7 @@ def kpi_groups(df: DataFrame, k: Kpi) -> DataFrame:
     need(k.group_by, "this KPI has no group_by")
     rows = apply_filters(df, k.filters)
     kind_of(df, k.group_by)
-    out = rows.groupBy(quoted(k.group_by).alias("key")).agg(formula(df, k.formula or k.metric).alias("value")).where("value IS NOT NULL")
+    out = grouped(rows, {"key": quoted(k.group_by)}, {"value": k.formula or k.metric}).where("value IS NOT NULL")
     return out.select(label_of(F.col("key")).alias("label"), "value").orderBy(F.desc("value"), "label").limit(KPI_GROUPS)
 
 
@@ -139,4 +143,4 @@ def kpi_catalog(columns: list[dict[str, Any]]) -> list[CatalogEntry]:
     return out
 
 
-__all__ = ["run_query", "total_matched", "preview", "metrics", "metric", "evaluate_kpis", "kpis", "kpi_groups", "kpi_comparison", "kpi_catalog"]
+__all__ = ["run_query", "total_matched", "preview", "metrics", "evaluate_kpis", "kpis", "kpi_groups", "kpi_comparison", "kpi_catalog"]

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import share
-from ..plans.compile import apply_filters, fresh, kind_of, label_of, metric, number, quoted
+from ..plans.compile import apply_filters, fresh, kind_of, label_of, number, quoted
+from ..plans.grouping import grouped
 from ..plans.requests import FilterSet, Metric, need
 from ..sources.storage import written
 
@@ -19,7 +20,7 @@ MAX_GROUPS = 500
 def grouped_metric(df: DataFrame, dimension: str, m: Metric, filters: FilterSet | None = None) -> DataFrame:
     """label, value for every group, the null key among them; groups without a value are left out."""
     kind_of(df, dimension)
-    out = apply_filters(df, filters).groupBy(quoted(dimension).alias("key")).agg(metric(df, m).alias("value")).where("value IS NOT NULL")
+    out = grouped(apply_filters(df, filters), {"key": quoted(dimension)}, {"value": m}).where("value IS NOT NULL")
     return out.select(label_of(F.col("key")).alias("label"), "value")
 
 

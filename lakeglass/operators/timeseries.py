@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import as_timestamp, bucket, label, spine
 from ..functions.stats import change
-from ..plans.compile import kind_of, label_of, metric, quoted
+from ..plans.compile import kind_of, label_of, quoted
+from ..plans.grouping import grouped
 from ..plans.requests import Metric, need
 
 MAX_POINTS = 500
@@ -26,7 +27,8 @@ def time_series(df: DataFrame, date_column: str, period: str, m: Metric, max_poi
     executors; only the calendar, at most one row a period, is joined to it.
     """
     need(2 <= max_points <= 2000, "2 to 2000 points")
-    found = df.withColumn("bucket", bucket(when_of(df, date_column), period)).where(F.col("bucket").isNotNull()).groupBy("bucket").agg(metric(df, m).alias("value"))
+    found = df.withColumn("bucket", bucket(when_of(df, date_column), period)).where(F.col("bucket").isNotNull())
+    found = grouped(found, {"bucket": F.col("bucket")}, {"value": m})
     ends = found.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).where("lo IS NOT NULL")
     axis = ends.select(F.explode(spine(F.col("lo"), F.col("hi"), period)).alias("bucket"))
     value = F.coalesce("value", F.lit(0.0)) if m.name in ("count", "distinct_count") else F.col("value")
@@ -38,7 +40,7 @@ def grouped_series(df: DataFrame, date_column: str, period: str, m: Metric, grou
     """bucket, label, series, value: one series for each value of a column, observed periods only."""
     kind_of(df, group)
     rows = df.withColumn("bucket", bucket(when_of(df, date_column), period)).where(F.col("bucket").isNotNull())
-    out = rows.groupBy("bucket", label_of(quoted(group)).alias("series")).agg(metric(df, m).alias("value"))
+    out = grouped(rows, {"bucket": F.col("bucket"), "series": label_of(quoted(group))}, {"value": m})
     return out.select("bucket", label(F.col("bucket"), period).alias("label"), "series", "value")
 
 
@@ -87,7 +89,7 @@ def seasonality(df: DataFrame, date_column: str, column: str) -> DataFrame:
 def trends(df: DataFrame, date_column: str, period: str, wanted: dict[str, Metric]) -> DataFrame:
     """For each named metric: first and last value, change, direction, peak and trough over the observed periods, in one pass."""
     rows = df.withColumn("bucket", bucket(when_of(df, date_column), period)).where(F.col("bucket").isNotNull())
-    cells = rows.groupBy("bucket").agg(*(metric(df, m).alias(f"m{i}") for i, m in enumerate(wanted.values())))
+    cells = grouped(rows, {"bucket": F.col("bucket")}, {f"m{i}": m for i, m in enumerate(wanted.values())})
     pairs = F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"m{i}").alias("value")) for i, n in enumerate(wanted)))
     long = cells.select("bucket", F.explode(pairs).alias("x")).select("bucket", "x.name", "x.value").where("value IS NOT NULL")
     ends = long.groupBy("name").agg(

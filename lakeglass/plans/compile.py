@@ -1,4 +1,4 @@
-"""Requests to Column expressions: filters, metrics and formulas. Nothing here starts a job."""
+"""Requests to Column expressions: filters, metrics and aggregations. Nothing here starts a job."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import as_timestamp
 from ..functions.stats import all_of, any_of, clean_number
-from .requests import MAX_FORMULA_DEPTH, NUMERIC_METRICS, Aggregate, Binary, Condition, Constant, FilterSet, Formula, Metric, need
+from .requests import NUMERIC_METRICS, Aggregate, Condition, FilterSet, Metric, need
 
 _NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 _DATES = ("date", "timestamp", "timestamp_ntz")
@@ -164,50 +164,46 @@ def number(df: DataFrame, column: str) -> Column:
     return clean_number(quoted(column)) if kind in ("float", "double", "string") else F.lit(None).cast("double")
 
 
-def metric(df: DataFrame, m: Metric, also: Column | None = None) -> Column:
-    """A metric as an aggregate; a sum of nothing is null. A filtered metric sees only its own rows, of those that pass `also`."""
+def held(df: DataFrame, m: Metric, c: Column, also: Column | None = None) -> Column:
+    """c where a metric's own filters and `also` hold, null elsewhere."""
     own = predicate(df, m.filters)
     keep = own if also is None else also if own is None else own & also
+    return c if keep is None else F.when(keep, c)
+
+
+def is_median(df: DataFrame, m: Metric) -> bool:
+    """Whether a metric is a median, which is no aggregate here (see grouping.py); refused for what is no number."""
+    if m.name == "median":
+        kind = kind_of(df, m.column)
+        need(is_number(kind), f"median needs a number, and {m.column!r} is {kind}")
+    return m.name == "median"
 
-    def held(c: Column) -> Column:
-        return c if keep is None else F.when(keep, c)
 
+def metric(df: DataFrame, m: Metric, also: Column | None = None) -> Column:
+    """A metric, other than a median, as an aggregate; a sum of nothing is null. A filtered metric sees only its own rows, of those that pass `also`."""
     if m.column is None:
-        return F.count(held(F.lit(1))).cast("double")
-    kind, raw = kind_of(df, m.column), held(quoted(m.column))
+        return F.count(held(df, m, F.lit(1), also)).cast("double")
+    kind, raw = kind_of(df, m.column), held(df, m, quoted(m.column), also)
     need(is_number(kind) or m.name not in NUMERIC_METRICS, f"{m.name} needs a number, and {m.column!r} is {kind}")
     if m.name == "count":
         return F.count(raw).cast("double")
     if m.name == "distinct_count":
         return F.count_distinct(raw).cast("double")
-    c = held(number(df, m.column))
-    return {"sum": F.sum, "average": F.avg, "median": F.median, "min": F.min, "max": F.max, "std_dev": F.stddev_samp, "range": lambda x: F.max(x) - F.min(x)}[m.name](c)
-
-
-def formula(df: DataFrame, f: Formula, depth: int = 0, also: Column | None = None) -> Column:
-    """A formula tree as one aggregate: a null operand or a zero divisor gives null."""
-    need(depth <= MAX_FORMULA_DEPTH, f"a formula may nest {MAX_FORMULA_DEPTH} deep")
-    if isinstance(f, Constant):
-        return F.lit(float(f.value))
-    if isinstance(f, Metric):
-        return metric(df, f, also)
-    assert isinstance(f, Binary)
-    a, b = formula(df, f.left, depth + 1, also), formula(df, f.right, depth + 1, also)
-    return F.try_divide(a, b) if f.op == "/" else {"+": a + b, "-": a - b, "*": a * b}[f.op]
+    c = held(df, m, number(df, m.column), also)
+    return {"sum": F.sum, "average": F.avg, "min": F.min, "max": F.max, "std_dev": F.stddev_samp, "range": lambda x: F.max(x) - F.min(x)}[m.name](c)
 
 
 def aggregate(df: DataFrame, a: Aggregate) -> Column:
-    """An aggregation of the generic query; here a sum of nothing is 0, and the extremes of dates are dates."""
+    """An aggregation of the generic query; here a sum of nothing is 0, and the extremes of dates are dates. Of a median it is the values."""
     if a.column is None:
-        return F.count(F.lit(1)).alias(a.name)
+        return F.count(F.lit(1))
     kind, c = kind_of(df, a.column), quoted(a.column)
     if a.function == "count":
-        return F.count(c).alias(a.name)
+        return F.count(c)
     need(is_number(kind) or (is_date(kind) and a.function in ("min", "max")), f"{a.function} does not apply to {a.column!r}, which is {kind}")
     if is_number(kind):
         c = number(df, a.column)
-    made = {"sum": lambda x: F.coalesce(F.sum(x), F.lit(0.0)), "mean": F.avg, "median": F.median, "min": F.min, "max": F.max}[a.function](c)
-    return made.alias(a.name)
+    return {"sum": lambda x: F.coalesce(F.sum(x), F.lit(0.0)), "mean": F.avg, "median": lambda x: x, "min": F.min, "max": F.max}[a.function](c)
 
 
 def label_of(c: Column) -> Column:

@@ -200,10 +200,11 @@ def links(distinct: DataFrame, limit: int = 2, crowd: int = CROWD) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, limit: int = 2) -> DataFrame:
-    """doc_id, f, component_id for each row of docs (doc_id must be an integer that is not null)."""
+    """doc_id, f, component_id for each row of docs; doc_id is an integer or null, which has the component of its fingerprint."""
     marked = durable(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle))
     distinct = durable(marked.groupBy("f").agg(F.min("doc_id").alias("rep")))
-    joined = durable(connected_components(links(distinct, limit)))
+    # fingerprints of rows without an id only have nothing to name their links by
+    joined = durable(connected_components(links(distinct.where("rep IS NOT NULL"), limit)))
     classes = distinct.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("f", F.coalesce("component", "rep").alias("component_id"))
     return marked.join(classes, "f")
 

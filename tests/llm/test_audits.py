@@ -254,3 +254,24 @@ def test_divergence(spark):
     c = duckdb.connect()
     c.register("documents", docs.drop("spans", "n").toArrow())
     assert set(map(tuple, c.sql(source_divergence.oracle_sql()).fetchall())) == want
+
+
+# ids
+
+
+def test_large_ids_beside_null(spark):
+    """Ids beyond 2^53 come back as they are where a null id is in the same batch."""
+    import public_tokenizers
+
+    from lakeglass.llm import byte_bpe, language_model_id, lm_score, simhash
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    text = " ".join(f"word{i}" for i in range(200))
+    rows = [(None, "something else", "en", None, None, None), (BIG, text, "en", None, None, None), (BIG + 2, text, "en", None, None, None), (3, "other words again", "de", None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS).coalesce(1)
+    ids = {r[0] for r in rows}
+    assert {r.doc_id for r in lm_score.lm_scores(docs, ranks).collect()} == ids
+    found = {r.doc_id: r.component_id for r in simhash.simhash_components(docs).collect()}
+    assert found == {None: None, BIG: BIG, BIG + 2: BIG, 3: 3}
+    assert {r.doc_id for r in byte_bpe.byte_bpe(docs, ranks, public_tokenizers.PATTERN).collect()} == ids
+    assert {r.doc_id for r in language_model_id.language_id(docs).collect()} == ids

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from .operators import charts, cleaning, customers, distribution, forecast, insights, profile, query, questions, ranking, segmentation, timeseries
 from .plans.compile import apply_filters
 from .plans.requests import Aggregate, Binary, Condition, Constant, FilterSet, Kpi, Metric, Query
+from .sources.storage import Datasets, shared_dir
 from .sources.tables import events, lineitem, orders, wide
 
 Make = Callable[[SparkSession, str], DataFrame]
@@ -539,3 +541,46 @@ def insight_findings(spark, sf_dir):
 def health_score(spark, sf_dir):
     h = insights.health(asked(spark, sf_dir))
     return spark.createDataFrame([("overall", float(h["score"]), 1.0), *((f["factor"], float(f["score"]), float(f["weight"])) for f in h["factors"])], "factor string, score double, weight double")
+
+
+# what cleaning did, versions, datasets
+
+_CLEANED = f"""WITH a AS (SELECT o_orderkey, o_custkey, priority, price, o_orderstatus FROM {N}),
+m AS (SELECT median(price) AS m FROM a), b AS (SELECT o_orderkey, o_custkey, priority, coalesce(price, m) AS price, o_orderstatus FROM a, m),
+c AS (SELECT * FROM b WHERE priority IS NOT NULL), d AS (SELECT o_custkey, o_orderstatus, min_by(price, o_orderkey) AS price, min(o_orderkey) AS o_orderkey FROM c GROUP BY ALL),
+q AS (SELECT quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM d),
+n AS (SELECT (SELECT count(*) FROM a WHERE price IS NULL) AS f0, (SELECT count(*) FROM b) - (SELECT count(*) FROM c) AS f1, (SELECT count(*) FROM c) - (SELECT count(*) FROM d) AS f2,
+    (SELECT count(*) FROM d, q WHERE price < q1 - 0.5 * (q3 - q1) OR price > q3 + 0.5 * (q3 - q1)) AS f3, (SELECT count(*) FROM d WHERE o_orderstatus IS NOT NULL) AS f4)"""
+_STEPS = [
+    cleaning.Operation("fill_missing", "price", {"strategy": "median"}),
+    cleaning.Operation("drop_missing_rows", "priority"),
+    cleaning.Operation("remove_duplicates", None, {"subset": ["o_custkey", "o_orderstatus"]}),
+    cleaning.Operation("handle_outliers", "price", {"action": "cap", "threshold": 0.5}),
+    cleaning.Operation("convert_type", "o_orderstatus", {"to_type": "integer", "errors_to_null": True}),
+]
+
+
+@query_of(
+    _CLEANED
+    + " SELECT unnest(range(5)) AS index, unnest(['fill_missing', 'drop_missing_rows', 'remove_duplicates', 'handle_outliers', 'convert_type']) AS operation, unnest(['price', 'priority', NULL, 'price', 'o_orderstatus']) AS \"column\","
+    + " unnest([f0, f1, f2, f3, f4]) AS rows_affected, unnest([NULL, NULL, NULL, NULL, f4 || ' values of ''o_orderstatus'' could not be converted and are now empty']) AS warning FROM n"
+)
+def clean_outcomes(spark, sf_dir):
+    """A row for each operation: what it did to how many rows or cells."""
+    d = holed(spark, sf_dir).select("o_orderkey", "o_custkey", "priority", "price", "o_orderstatus")
+    done = cleaning.run_tracked(d, _STEPS, "o_orderkey")[1]
+    return spark.createDataFrame([(o.index, o.operation, o.column, o.rows_affected, o.warning) for o in done], "index bigint, operation string, `column` string, rows_affected bigint, warning string")
+
+
+@query_of(f"SELECT unnest([1, 2, 3]) AS version, unnest([0, 1, 2]) AS source, unnest([n, m, m]) AS rows_held FROM (SELECT (SELECT count(*) FROM {N}) AS n, (SELECT count(*) FROM {N} WHERE priority IS NOT NULL) AS m)")
+def dataset_versions(spark, sf_dir):
+    """An upload, a version of it, one cleaned from that, and one from the latest: their lineage and rows, read back by name."""
+    root = f"{shared_dir(spark)}/datasets/{uuid.uuid4().hex}"
+    known = Datasets(spark, root)
+    known.register("orders", f"{sf_dir}/orders.parquet")
+    held = known.versions("orders")
+    held.add(known.resolve("orders")[0].join(holed(spark, sf_dir).select("o_orderkey", "priority", "price"), "o_orderkey"), [])
+    cleaning.apply_as_version(held, [cleaning.Operation("drop_missing_rows", "priority")])
+    cleaning.apply_as_version(held, [cleaning.Operation("rename_column", "price", {"new_name": "amount"})])
+    rows = [(r["version"], r["source"] or 0, known.resolve("orders", r["version"])[0].count()) for r in held.list()]
+    return spark.createDataFrame(rows, "version bigint, source bigint, rows_held bigint")

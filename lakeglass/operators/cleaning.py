@@ -5,18 +5,19 @@ Row order is semantic for fills and for which duplicate stays; it is given by an
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import as_timestamp
 from ..plans.compile import fresh, is_number, kind_of, number, quoted
 from ..plans.grouping import group_by
 from ..plans.requests import RequestError, need
-from ..sources.storage import written
+from ..sources.storage import Versions, written
 from .distribution import bounds
 
 # Texts that mean true and false, target types, the most operations of a pipeline.
@@ -24,6 +25,8 @@ TRUE, FALSE = ("true", "yes", "y", "1", "t"), ("false", "no", "n", "0", "f")
 TYPES = ("string", "integer", "float", "boolean", "date", "datetime")
 STRATEGIES = ("mean", "median", "mode", "forward_fill", "backward_fill", "custom")
 MAX_OPERATIONS = 100
+#: Operations that change cells of their column.
+CELLS = ("fill_missing", "convert_type", "handle_outliers")
 NUMBER = r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
 
 
@@ -202,6 +205,74 @@ def run_pipeline(df: DataFrame, operations: list[Operation], order: str | None =
     return df
 
 
+@dataclass
+class Outcome:
+    """What one operation of a run did."""
+
+    index: int
+    operation: str
+    column: str | None
+    rows_affected: int
+    warning: str | None = None
+
+
+def run_tracked(df: DataFrame, operations: list[Operation], order: str | None = None) -> tuple[DataFrame, list[Outcome]]:
+    """The cleaned frame, written to the shared folder, and what each operation did. Counts are gathered while the frame is written, in no pass of their own.
+
+    Rows affected are cells filled, values lost by a conversion (with a warning), values moved to the bounds, or rows removed. Each
+    operation gets observed aggregates behind it: how many rows are left and, where it changes cells, how many of these differ from what they
+    were. What they were is a column that goes right after.
+    """
+    need(len(operations) <= MAX_OPERATIONS, f"at most {MAX_OPERATIONS} operations")
+    run, before = uuid.uuid4().hex, fresh(df, "before")
+    seen = [Observation(f"rows-{run}-start")]
+    out = df.observe(seen[0], F.count(F.lit(1)).alias("rows"), F.lit(0).cast("long").alias("cells"))
+    for i, op in enumerate(operations):
+        now = Observation(f"rows-{run}-{i}")
+        changed = F.lit(0).cast("long")
+        if op.name in CELLS and not (op.name == "handle_outliers" and op.options.get("action", "remove") == "remove"):
+            while before in out.columns:
+                before += "_"
+            c = quoted(op.column)
+            done = apply_operation(out.withColumn(before, c), op, order)
+            was = quoted(before)
+            changed = F.count_if({"fill_missing": was.isNull() & c.isNotNull(), "convert_type": was.isNotNull() & c.isNull(), "handle_outliers": was.cast("double") != c}[op.name])
+            out = done.observe(now, F.count(F.lit(1)).alias("rows"), changed.alias("cells")).drop(before)
+        else:
+            out = apply_operation(out, op, order).observe(now, F.count(F.lit(1)).alias("rows"), changed.alias("cells"))
+        seen.append(now)
+    cleaned = written(out)
+    counts = [x.get for x in seen]
+    made = []
+    for i, op in enumerate(operations):
+        rows, cells = counts[i]["rows"] - counts[i + 1]["rows"], counts[i + 1]["cells"]
+        affected = cells if op.name in CELLS and cells else rows
+        lost = op.name == "convert_type" and cells
+        made.append(Outcome(i, op.name, op.column, affected, f"{cells} values of {op.column!r} could not be converted and are now empty" if lost else None))
+    return cleaned, made
+
+
+def affected_columns(before: DataFrame, after: DataFrame, operations: list[Operation]) -> list[str]:
+    """Columns that an operation names, or that came, went or changed their type."""
+    old, new = dict(before.dtypes), dict(after.dtypes)
+    return sorted({op.column for op in operations if op.column} | (set(old) ^ set(new)) | {c for c in new if c in old and old[c] != new[c]})
+
+
+def preview_operations(df: DataFrame, operations: list[Operation], order: str | None = None, sample: int = 20) -> dict[str, Any]:
+    """preview() of a run that is not kept as a version, with outcomes, warnings, rows removed and affected columns."""
+    after, outcomes = run_tracked(df, operations, order)
+    shown = preview(df, after, sample)
+    removed = max(shown["before"]["row_count"] - shown["after"]["row_count"], 0)
+    return shown | {"rows_removed": removed, "affected_columns": affected_columns(df, after, operations), "operations": [asdict(x) for x in outcomes], "warnings": [x.warning for x in outcomes if x.warning]}
+
+
+def apply_as_version(versions: Versions, operations: list[Operation], source: int | None = None, order: str | None = None) -> tuple[int, list[Outcome]]:
+    """Clean a version (the latest if none is named) into a new one; both its number and the outcomes."""
+    base = versions.get(source)["version"]
+    cleaned, outcomes = run_tracked(versions.read(base), operations, order)
+    return versions.add(cleaned, as_manifest(operations), base), outcomes
+
+
 def preview(before: DataFrame, after: DataFrame, sample: int = 20) -> dict[str, Any]:
     """Rows, columns, missing cells and duplicates before and after, changed types, and a few rows."""
     from .profile import profile_dataset

@@ -48,7 +48,12 @@ def ranking(df: DataFrame, dimension: str, m: Metric, filters: FilterSet | None
 def contribution(df: DataFrame, dimension: str, m: Metric, filters: FilterSet | None = None, limit: int = MAX_GROUPS) -> DataFrame:
     """label, value, share_pct, cumulative_pct, group_count, from the largest group down. Sums run over the `limit` rows that are asked for."""
     need(1 <= limit <= MAX_GROUPS, f"limit must be 1 to {MAX_GROUPS}")
-    top = _with_total(grouped_metric(df, dimension, m, filters)).orderBy(F.desc("value"), "label").limit(limit)
+    return contribution_of(grouped_metric(df, dimension, m, filters), limit)
+
+
+def contribution_of(groups: DataFrame, limit: int = MAX_GROUPS) -> DataFrame:
+    """contribution() of groups that are there already (label, value)."""
+    top = _with_total(groups).orderBy(F.desc("value"), "label").limit(limit)
     order = Window.orderBy(F.desc("value"), "label")
     out = top.withColumn("running", F.sum("value").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(order))
     return out.select("rank", "label", "value", share(F.col("value"), F.col("total")).alias("share_pct"), share(F.col("running"), F.col("total")).alias("cumulative_pct"), "group_count")

@@ -66,8 +66,21 @@ def _advanced(df: DataFrame, c: dict[str, Any], model: questions.Model) -> Any:
     return made[c["analysis"]]()
 
 
-def resolve(df: DataFrame, widget: Widget, model: questions.Model) -> Any:
+class Shared:
+    """What the widgets of one refresh have in common: the findings, worked out by the first widget that shows them."""
+
+    def __init__(self) -> None:
+        self.found: insights.Report | None = None
+
+    def report(self, df: DataFrame, model: questions.Model) -> insights.Report:
+        if self.found is None:
+            self.found = insights.detect_all(df, model)
+        return self.found
+
+
+def resolve(df: DataFrame, widget: Widget, model: questions.Model, shared: Shared | None = None) -> Any:
     """A widget's data."""
+    shared = shared or Shared()
     c = widget.config
     if widget.kind == "text":
         return c.get("text", "")
@@ -89,7 +102,7 @@ def resolve(df: DataFrame, widget: Widget, model: questions.Model) -> Any:
         need(found is not None, answer.clarification or "the question has no plan")
         return rows_of(found)
     if widget.kind in ("insight", "recommendation"):
-        report = insights.detect_all(df, model)
+        report = shared.report(df, model)
         return report.recommendations if widget.kind == "recommendation" else [f.__dict__ for f in report.findings[: c.get("limit", 5)]]
     return _advanced(df, c, model)
 
@@ -98,10 +111,10 @@ def refresh(df: DataFrame, widgets: list[Widget], filters: FilterSet | None = No
     """Every widget's data over the filtered frame, which is read once and kept (spilling to disk) for the refresh."""
     rows = apply_filters(df, merge_filters(filters, own)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model, out = questions.semantic_model(rows), []
+        model, shared, out = questions.semantic_model(rows), Shared(), []
         for w in widgets:
             try:
-                out.append({"title": w.title, "kind": w.kind, "data": resolve(rows, w, model)})
+                out.append({"title": w.title, "kind": w.kind, "data": resolve(rows, w, model, shared)})
             except (RequestError, KeyError) as e:
                 out.append({"title": w.title, "kind": w.kind, "error": str(e)})
         return out
@@ -129,7 +142,8 @@ def dashboard_template(name: str, model: questions.Model) -> list[Widget]:
     return out
 
 
-def _sections(df: DataFrame, model: questions.Model) -> dict[str, Callable[[], Any]]:
+def _sections(s: insights.Figures) -> dict[str, Callable[[], Any]]:
+    df, model = s.df, s.model
     value, date, customer, product = (model.get(r) for r in ("revenue", "date", "customer", "product"))
 
     def needs(*roles: str) -> None:
@@ -145,9 +159,9 @@ def _sections(df: DataFrame, model: questions.Model) -> dict[str, Callable[[], A
 
     measures = model.of("measure")
     return {
-        "summary": lambda: [f.title for f in insights.detect_all(df, model).findings[:5]],
+        "summary": lambda: [f.title for f in insights.detect(s).findings[:5]],
         "overview": lambda: rows_of(profile.profile_dataset(df)),
-        "quality": lambda: profile.quality_issues(df)[:TABLE_ROWS],
+        "quality": lambda: s.issues[:TABLE_ROWS],
         "kpis": lambda: rows_of(insights.headline_kpis(df, model)),
         "statistics": lambda: rows_of(profile.numeric_stats(df, measures)),
         "trends": with_roles(("date",), lambda: rows_of(insights.headline_trends(df, model))),
@@ -160,12 +174,12 @@ def _sections(df: DataFrame, model: questions.Model) -> dict[str, Callable[[], A
         "inactive_customers": with_roles(("customer", "date"), lambda: rows_of(customers.most_inactive(customers.churn_customers(df, customer, date, value), TABLE_ROWS))),
         "segmentation": lambda: rows_of(segmentation.cluster_profiles(df, measures[:5])),
         "correlation": lambda: [r for r in rows_of(distribution.correlation_matrix(df, measures[:10]), 100) if abs(r["r"]) >= CORRELATION],
-        "outliers": lambda: [{k: v for k, v in a.items() if k != "groups"} for a in insights.anomalies(df, model)],
+        "outliers": lambda: [{k: v for k, v in a.items() if k not in ("groups", "examples")} for a in s.anomalies],
         "forecast": with_roles(("date", "revenue"), lambda: rows_of(forecast.forecast(df, date, "month", Metric("sum", value)))),
-        "health": lambda: insights.health(df, model)["factors"],
-        "findings": lambda: [{"title": f.title, "priority": f.priority, "score": f.score} for f in insights.detect_all(df, model).findings],
-        "risks": lambda: [{"title": f.title, "priority": f.priority} for f in insights.detect_all(df, model).findings if f.severity in ("critical", "high")],
-        "recommendations": lambda: insights.detect_all(df, model).recommendations,
+        "health": lambda: insights.health_of(s)["factors"],
+        "findings": lambda: [{"title": f.title, "priority": f.priority, "score": f.score} for f in insights.detect(s).findings],
+        "risks": lambda: [{"title": f.title, "priority": f.priority} for f in insights.detect(s).findings if f.severity in ("critical", "high")],
+        "recommendations": lambda: insights.detect(s).recommendations,
     }
 
 
@@ -179,16 +193,18 @@ def capabilities(model: questions.Model) -> dict[str, str | None]:
 
 
 def build_report(df: DataFrame, sections: list[str] | None = None, template: str = "executive") -> dict[str, Any]:
-    """Sections by name with their data; those that fail are listed with the reason."""
-    model = questions.semantic_model(df)
-    made, out = _sections(df, model), {"sections": {}, "skipped": {}}
+    """Sections by name with their data; those that fail are listed with the reason. Sections share the frame and what is worked out from it."""
     need(sections or template in TEMPLATES, f"unknown template {template!r}")
-    for name in sections or TEMPLATES[template]:
-        need(name in made, f"unknown section {name!r}")
-        try:
-            out["sections"][name] = made[name]()
-        except RequestError as e:
-            out["skipped"][name] = str(e)
+    wanted = sections or TEMPLATES[template]
+    with insights.Figures(df) as s:
+        made, out = _sections(s), {"sections": {}, "skipped": {}}
+        for name in wanted:
+            need(name in made, f"unknown section {name!r}")
+        for name in wanted:
+            try:
+                out["sections"][name] = made[name]()
+            except RequestError as e:
+                out["skipped"][name] = str(e)
     return out
 
 

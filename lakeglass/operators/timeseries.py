@@ -28,7 +28,11 @@ def time_series(df: DataFrame, date_column: str, period: str, m: Metric, max_poi
     """
     need(2 <= max_points <= 2000, "2 to 2000 points")
     found = df.withColumn("bucket", bucket(when_of(df, date_column), period)).where(F.col("bucket").isNotNull())
-    found = grouped(found, {"bucket": F.col("bucket")}, {"value": m})
+    return gap_filled(grouped(found, {"bucket": F.col("bucket")}, {"value": m}), period, m, max_points)
+
+
+def gap_filled(found: DataFrame, period: str, m: Metric, max_points: int = MAX_POINTS) -> DataFrame:
+    """bucket, label, value for every period from the first to the last bucket of `found` (bucket, value)."""
     ends = found.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).where("lo IS NOT NULL")
     axis = ends.select(F.explode(spine(F.col("lo"), F.col("hi"), period)).alias("bucket"))
     value = F.coalesce("value", F.lit(0.0)) if m.name in ("count", "distinct_count") else F.col("value")
@@ -55,14 +59,21 @@ def growth(df: DataFrame, date_column: str, period: str, m: Metric, max_points:
 def period_for(df: DataFrame, date_column: str) -> str:
     """The period that suits a date column's span: up to 31 days day, 120 week, 1095 month, else quarter."""
     t = when_of(df, date_column)
-    days = df.agg(F.datediff(F.max(t), F.min(t)).alias("d")).first()["d"]
+    return period_of(df.agg(F.datediff(F.max(t), F.min(t)).alias("d")).first()["d"], date_column)
+
+
+def period_of(days: int | None, date_column: str) -> str:
     need(days is not None, f"{date_column!r} has no dates")
     return "day" if days <= 31 else "week" if days <= 120 else "month" if days <= 1095 else "quarter"
 
 
 def dimension_movement(df: DataFrame, date_column: str, period: str, m: Metric, dimension: str) -> DataFrame:
     """label, latest_value, previous_value, change_pct: each group in the last two observed periods."""
-    series = grouped_series(df, date_column, period, m, dimension)
+    return movement(grouped_series(df, date_column, period, m, dimension))
+
+
+def movement(series: DataFrame) -> DataFrame:
+    """dimension_movement() of a series by group (bucket, series, value)."""
     # the observed periods are few: one row each
     ranked = series.select("bucket").distinct().withColumn("age", F.row_number().over(Window.orderBy(F.desc("bucket")))).where("age <= 2")
     cells = series.join(F.broadcast(ranked), "bucket")
@@ -79,7 +90,11 @@ def seasonality(df: DataFrame, date_column: str, column: str) -> DataFrame:
 
     t = when_of(df, date_column)
     rows = df.select(F.date_trunc("month", t).alias("m"), number(df, column).alias("v")).where("m IS NOT NULL AND v IS NOT NULL")
-    by_month = rows.groupBy("m").agg(F.sum("v").alias("s"), F.count("v").alias("k"))
+    return season(rows.groupBy("m").agg(F.sum("v").alias("s"), F.count("v").alias("k")))
+
+
+def season(by_month: DataFrame) -> DataFrame:
+    """seasonality() of monthly sums (m, s of k values)."""
     out = by_month.groupBy(F.month("m").alias("month")).agg((F.sum("s") / F.sum("k")).alias("mean_value"), F.sum("k").alias("n"), F.count("*").alias("months"))
     whole = Window.partitionBy()
     out = out.withColumn("all_months", F.sum("months").over(whole)).withColumn("mean_of_means", F.avg("mean_value").over(whole)).where("all_months >= 24")
@@ -91,7 +106,11 @@ def trends(df: DataFrame, date_column: str, period: str, wanted: dict[str, Metri
     rows = df.withColumn("bucket", bucket(when_of(df, date_column), period)).where(F.col("bucket").isNotNull())
     cells = grouped(rows, {"bucket": F.col("bucket")}, {f"m{i}": m for i, m in enumerate(wanted.values())})
     pairs = F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"m{i}").alias("value")) for i, n in enumerate(wanted)))
-    long = cells.select("bucket", F.explode(pairs).alias("x")).select("bucket", "x.name", "x.value").where("value IS NOT NULL")
+    return trend_ends(cells.select("bucket", F.explode(pairs).alias("x")).select("bucket", "x.name", "x.value").where("value IS NOT NULL"), period)
+
+
+def trend_ends(long: DataFrame, period: str) -> DataFrame:
+    """trends() of series by name (bucket, name, value)."""
     ends = long.groupBy("name").agg(
         F.count("*").alias("periods"),
         F.min_by("value", "bucket").alias("first_value"),

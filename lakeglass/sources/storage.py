@@ -10,6 +10,7 @@ import atexit
 import csv
 import io
 import json
+import os
 import re
 import shutil
 import tempfile
@@ -233,34 +234,123 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("error").csv(path, header=True)
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """A path and its file system, as Hadoop has them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def commit_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file, whole, unless it is there: of several writers exactly one gets True.
+
+    The text goes to a file of its own first. On a local disk a hard link gives it its name, elsewhere a rename that does not overwrite; both are one
+    step that fails if the name is taken. (A store whose rename is a copy gives no such promise.)
+    """
+    where, fs = _hadoop(spark, path)
+    made, _ = _hadoop(spark, f"{where.getParent().toString()}/_{uuid.uuid4().hex}")
+    out = fs.create(made)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if fs.getScheme() == "file":
+            try:
+                os.link(made.toUri().getPath(), where.toUri().getPath())
+            except FileExistsError:
+                return False
+            return True
+        jvm = spark.sparkContext._jvm
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            files.rename(made, where, none)
+        except Exception as e:
+            if "FileAlreadyExists" in str(e) or fs.exists(where):
+                return False
+            raise
+        return True
+    finally:
+        fs.delete(made, False)
+
+
+def read_lines(spark: SparkSession, folder: str) -> list[dict[str, Any]]:
+    """The JSON objects in a folder's files, one a line; none if there is no folder. For small bookkeeping only."""
+    where, fs = _hadoop(spark, folder)
+    return [json.loads(r["value"]) for r in spark.read.text(folder).collect()] if fs.exists(where) else []
+
+
 class Versions:
-    """Immutable versions of a dataset: Parquet in <root>/versions/<n>, a manifest with lineage and operations in <root>/manifest."""
+    """Immutable versions of a dataset: Parquet in <root>/versions/<unique name>, and for each number a manifest with lineage and operations.
+
+    Writers do not wait for each other. Data comes first, under a name of its own; the version exists from the moment its manifest does, and a number goes to the first who
+    commits it. The others take the next.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def list(self) -> list[dict[str, Any]]:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
-        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-            return []
-        rows = [json.loads(r["value"]) for r in self.spark.read.text(f"{self.root}/manifest").collect()]  # a row for each version
-        return sorted(rows, key=lambda r: r["version"])
+        return sorted(read_lines(self.spark, f"{self.root}/manifest"), key=lambda r: r["version"])  # a line for each version
 
     def add(self, df: DataFrame, operations: list[dict[str, Any]], source: int | None = None) -> int:
-        """Write a frame as the next version; data first, so a version that is listed is whole."""
-        number = max((r["version"] for r in self.list()), default=0) + 1
-        df.write.mode("error").parquet(f"{self.root}/versions/{number}")
-        row = {"version": number, "source": source, "operations": operations, "schema": json.loads(df.schema.json())}
-        self.spark.createDataFrame([(json.dumps(row),)], "value string").coalesce(1).write.mode("append").text(f"{self.root}/manifest")
-        return number
+        """Write a frame as a new version, and say which it became."""
+        need(source is None or any(r["version"] == source for r in self.list()), f"there is no version {source}")
+        name = uuid.uuid4().hex
+        df.write.mode("error").parquet(f"{self.root}/versions/{name}")
+        row = {"source": source, "operations": operations, "schema": json.loads(df.schema.json()), "data": name}
+        number = max((r["version"] for r in self.list()), default=0)
+        while True:
+            number += 1
+            if commit_once(self.spark, f"{self.root}/manifest/{number:08d}.json", json.dumps({"version": number} | row) + "\n"):
+                return number
+
+    def get(self, number: int | None = None) -> dict[str, Any]:
+        """The manifest of a version, of the latest if no number is given."""
+        known = {r["version"]: r for r in self.list()}
+        need(known, "there is no version yet")
+        wanted = max(known) if number is None else number
+        need(wanted in known, f"there is no version {wanted}")
+        return known[wanted]
 
     def read(self, number: int | None = None) -> DataFrame:
-        known = self.list()
-        need(known, "there is no version yet")
-        wanted = number if number is not None else known[-1]["version"]
-        need(any(r["version"] == wanted for r in known), f"there is no version {wanted}")
-        return self.spark.read.parquet(f"{self.root}/versions/{wanted}")
+        row = self.get(number)
+        return self.spark.read.parquet(f"{self.root}/versions/{row.get('data', row['version'])}")
+
+    def lineage(self, number: int | None = None) -> list[int]:
+        """A version's number, that of its source, and so on back to the first."""
+        row, out = self.get(number), []
+        while True:
+            out.append(row["version"])
+            if row["source"] is None:
+                return out
+            row = self.get(row["source"])
+
+
+class Datasets:
+    """Datasets by name under one folder: where each was uploaded, and its versions."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _folder(self, name: str) -> str:
+        need(re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]*", name), f"{name!r} is no name of a dataset")
+        return f"{self.root}/{name}"
+
+    def register(self, name: str, path: str) -> None:
+        """Name an uploaded file or folder; a name is given once."""
+        taken = not commit_once(self.spark, f"{self._folder(name)}/source/source.json", json.dumps({"path": path}) + "\n")
+        need(not taken, f"there is a dataset {name!r} already")
+
+    def versions(self, name: str) -> Versions:
+        return Versions(self.spark, self._folder(name))
+
+    def resolve(self, name: str, version: int | None = None) -> tuple[DataFrame, dict[str, Any] | None]:
+        """The upload's frame and None, or that of one of its versions and its manifest."""
+        source = read_lines(self.spark, f"{self._folder(name)}/source")
+        need(source, f"there is no dataset {name!r}")
+        if version is None:
+            return read_frame(self.spark, source[0]["path"]), None
+        held = self.versions(name)
+        return held.read(version), held.get(version)
 
 
-__all__ = ["NUMBER_SHAPE", "Versions", "detect_delimiter", "detect_encoding", "export_csv", "metadata", "read_csv", "read_frame", "read_xlsx", "shared_dir", "written"]
+__all__ = ["NUMBER_SHAPE", "Datasets", "Versions", "commit_once", "detect_delimiter", "detect_encoding", "export_csv", "metadata", "read_csv", "read_frame", "read_lines", "read_xlsx", "shared_dir", "written"]

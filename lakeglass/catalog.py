@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import charts, cleaning, customers, distribution, forecast, insights, profile, query, questions, ranking, segmentation, timeseries
+from .operators import charts, cleaning, customers, distribution, forecast, insights, profile, query, questions, ranking, runs, segmentation, timeseries
 from .plans.compile import apply_filters
 from .plans.requests import Aggregate, Binary, Condition, Constant, FilterSet, Kpi, Metric, Query
-from .sources.storage import Datasets, shared_dir
+from .sources.storage import Datasets, Versions, shared_dir
 from .sources.tables import events, lineitem, orders, wide
 
 Make = Callable[[SparkSession, str], DataFrame]
@@ -525,7 +525,15 @@ def insight_kpis(spark, sf_dir):
     return insights.headline_kpis(d, questions.semantic_model(d))
 
 
-@query_of()
+_MOVED = "(last_value - first_value) / first_value * 100"
+
+
+@query_of(
+    f"WITH w AS (SELECT revenue, l_quantity, l_discount, date_trunc('quarter', o_orderdate) AS b FROM {W}), s AS (SELECT 'revenue' AS name, b, sum(revenue) AS v FROM w GROUP BY b UNION ALL SELECT 'quantity', b, sum(l_quantity) FROM w GROUP BY b UNION ALL SELECT 'discount', b, avg(l_discount) FROM w GROUP BY b),"
+    " e AS (SELECT name, count(*) AS periods, arg_min(v, b) AS first_value, arg_max(v, b) AS last_value, arg_max(b, v) AS pb, max(v) AS pv, arg_min(b, v) AS tb, min(v) AS tv FROM s GROUP BY name)"
+    f" SELECT name, periods, round(first_value, 2) AS first_value, round(last_value, 2) AS last_value, round({_MOVED}, 2) AS change_pct, CASE WHEN periods < 3 THEN 'insufficient_data' WHEN {_MOVED} > 5 THEN 'increasing' WHEN {_MOVED} < -5 THEN 'decreasing' ELSE 'stable' END AS direction,"
+    " year(pb) || '-Q' || quarter(pb) AS peak_label, round(pv, 2) AS peak_value, year(tb) || '-Q' || quarter(tb) AS trough_label, round(tv, 2) AS trough_value FROM e"
+)
 def insight_trends(spark, sf_dir):
     d = asked(spark, sf_dir)
     return insights.headline_trends(d, questions.semantic_model(d))
@@ -543,6 +551,78 @@ def health_score(spark, sf_dir):
     return spark.createDataFrame([("overall", float(h["score"]), 1.0), *((f["factor"], float(f["score"]), float(f["weight"])) for f in h["factors"])], "factor string, score double, weight double")
 
 
+_ASKED = f"(SELECT revenue, l_quantity AS quantity, l_discount AS discount, p_brand AS label, o_orderdate AS at FROM {W})"
+_FAR = (
+    f"WITH a AS (SELECT * FROM {_ASKED}), l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS v, label, at FROM a" for c in ("revenue", "quantity", "discount")) + "),"
+    ' q AS (SELECT "column", count(*) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM l GROUP BY 1), f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q WHERE q3 > q1),'
+    ' o AS (SELECT l.*, n, lo, hi, greatest(lo - v, v - hi) AS far FROM l JOIN f USING ("column") WHERE v < lo OR v > hi)'
+)
+
+
+@query_of(f"""{_FAR}, g AS (SELECT "column", label, count(*) AS k, any_value(n) AS n, any_value(lo) AS lo, any_value(hi) AS hi FROM o GROUP BY 1, 2), r AS (SELECT *, sum(k) OVER (PARTITION BY "column") AS outliers, row_number() OVER (PARTITION BY "column" ORDER BY k DESC, label) AS rank FROM g)
+SELECT "column", n, CAST(outliers AS BIGINT) AS outliers, round(100.0 * outliers / n, 2) AS outlier_pct, round(lo, 2) AS lower_bound, round(hi, 2) AS upper_bound, rank, label, CAST(k AS DOUBLE) AS value, round(100.0 * k / outliers, 2) AS share_pct FROM r WHERE rank <= 3""")
+def anomaly_groups(spark, sf_dir):
+    """The groups that most outliers of each measure are in."""
+    d = asked(spark, sf_dir)
+    rows = [(a["column"], a["n"], a["outliers"], a["outlier_pct"], a["lower_bound"], a["upper_bound"], g["rank"], g["label"], g["value"], g["share_pct"]) for a in insights.anomalies(d, questions.semantic_model(d)) for g in a.get("groups", ())]
+    return spark.createDataFrame(rows, "`column` string, n bigint, outliers bigint, outlier_pct double, lower_bound double, upper_bound double, rank bigint, label string, value double, share_pct double")
+
+
+@query_of(f"""{_FAR} SELECT "column", row_number() OVER (PARTITION BY "column" ORDER BY far DESC, v DESC, label, at) AS rank, round(v, 2) AS value, label, strftime(at, '%Y-%m-%d %H:%M:%S') AS at FROM o QUALIFY rank <= 5""")
+def anomaly_examples(spark, sf_dir):
+    """The five rows of each measure that lie farthest beyond its fences."""
+    d = asked(spark, sf_dir)
+    rows = [(a["column"], k, x["value"], x["label"], x["date"]) for a in insights.anomalies(d, questions.semantic_model(d)) for k, x in enumerate(a.get("examples", ()), 1)]
+    return spark.createDataFrame(rows, "`column` string, rank bigint, value double, label string, at string")
+
+
+@query_of(" UNION ALL ".join(f"SELECT '{a}-{b}' AS roles, '{a}' AS left_column, '{b}' AS right_column, round(corr({a}, {b}), 4) AS r, count(*) AS n FROM {_ASKED}" for a, b in (("revenue", "discount"), ("revenue", "quantity"), ("quantity", "discount"))), 4)
+def insight_relationships(spark, sf_dir):
+    """The pairs of measures that relationship findings look at, all in one pass."""
+    with insights.Figures(asked(spark, sf_dir)) as s:
+        rows = [(roles, a, b, s.base[f"r{i}"], s.base[f"both{i}"]) for i, (roles, a, b, _) in enumerate(s.pairs)]
+    return spark.createDataFrame(rows, "roles string, left_column string, right_column string, r double, n bigint")
+
+
+@query_of(f"SELECT unnest([1, 1]) AS version, unnest([n, n]) AS analysed, unnest(['before', 'after']) AS moment, unnest([false, true]) AS stale FROM (SELECT count(*) AS n FROM {W})")
+def insight_runs(spark, sf_dir):
+    """A run on a version, read back as it is, and again when the dataset has moved on."""
+    versions = Versions(spark, f"{shared_dir(spark)}/runs/{uuid.uuid4().hex}")
+    versions.add(asked(spark, sf_dir), [])
+    kept = runs.InsightRuns(versions)
+    kept.generate()
+    before = kept.latest()
+    versions.add(versions.read(1).where("quantity > 10"), [], 1)
+    found = [("before", before), ("after", kept.latest())]
+    return spark.createDataFrame([(r["version"], r["result"]["overview"]["rows"], moment, r["stale"]) for moment, r in found], "version bigint, analysed bigint, moment string, stale boolean")
+
+
+@query_of(f"SELECT coalesce(priority, '(empty)') AS label, round(median(price) / avg(price), 4) AS value FROM {N} WHERE price > 20000 GROUP BY 1", 4)
+def kpi_median_ratio(spark, sf_dir):
+    """A formula with a median by group."""
+    ratio = Binary("/", Metric("median", "price"), Metric("average", "price"))
+    return query.kpi_groups(holed(spark, sf_dir), Kpi("middle", formula=ratio, filters=where(Condition("price", "greater_than", 20000)), group_by="priority"))
+
+
+@query_of(f"""WITH a AS (SELECT count(*) AS n, count_if(priority IS NULL) AS priority, count_if(price IS NULL) AS price FROM {N}), l AS (UNPIVOT a ON priority, price INTO NAME "column" VALUE rows)
+SELECT 'missing_values' AS kind, CASE WHEN 100.0 * rows / n > 5 THEN 'warning' ELSE 'info' END AS severity, "column", rows, round(100.0 * rows / n, 2) AS pct FROM l WHERE rows > 0""")
+def quality_rules(spark, sf_dir):
+    """What the quality rules say of a frame with two incomplete columns, with severities."""
+    d = holed(spark, sf_dir).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "priority", "price")
+    return spark.createDataFrame([(x["kind"], x["severity"], x["column"], x["rows"], x["pct"]) for x in profile.quality_issues(d)], "kind string, severity string, `column` string, rows bigint, pct double")
+
+
+_ROLE = "SELECT '{c}' AS \"column\", '{t}' AS type, {d} AS distinct_values, {d} > 1 AND {i} AS identifier, {d} BETWEEN 1 AND 1000 AND NOT ({d} > 1 AND {i}) AS categorical FROM orders"
+
+
+@query_of(" UNION ALL ".join(_ROLE.format(c=c, t="string", d=f"count(DISTINCT {c})", i=f"(count(DISTINCT {c}) > 1000 OR count(DISTINCT {c}) > 0.9 * count(*))") for c in ("o_orderstatus", "o_orderpriority", "word_free", "clerk")).replace("FROM orders", "FROM (SELECT *, 'x' || CAST(o_custkey AS VARCHAR) AS word_free, 'c' || CAST(o_custkey % 900 AS VARCHAR) AS clerk FROM orders)"))
+def column_roles(spark, sf_dir):
+    """What text columns can be used for, from one read of them all."""
+    d = orders(spark, sf_dir).select("o_orderstatus", "o_orderpriority", F.concat(F.lit("x"), F.col("o_custkey").cast("string")).alias("word_free"), F.concat(F.lit("c"), (F.col("o_custkey") % 900).cast("string")).alias("clerk"))
+    rows = [(c["column"], c["type"], c["distinct"], c["identifier"], c["categorical"]) for c in profile.describe_columns(d)]
+    return spark.createDataFrame(rows, "`column` string, type string, distinct_values bigint, identifier boolean, categorical boolean")
+
+
 # what cleaning did, versions, datasets
 
 _CLEANED = f"""WITH a AS (SELECT o_orderkey, o_custkey, priority, price, o_orderstatus FROM {N}),
@@ -551,7 +631,7 @@ c AS (SELECT * FROM b WHERE priority IS NOT NULL), d AS (SELECT o_custkey, o_ord
 q AS (SELECT quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM d),
 n AS (SELECT (SELECT count(*) FROM a WHERE price IS NULL) AS f0, (SELECT count(*) FROM b) - (SELECT count(*) FROM c) AS f1, (SELECT count(*) FROM c) - (SELECT count(*) FROM d) AS f2,
     (SELECT count(*) FROM d, q WHERE price < q1 - 0.5 * (q3 - q1) OR price > q3 + 0.5 * (q3 - q1)) AS f3, (SELECT count(*) FROM d WHERE o_orderstatus IS NOT NULL) AS f4)"""
-_STEPS = [
+_TRACKED = [
     cleaning.Operation("fill_missing", "price", {"strategy": "median"}),
     cleaning.Operation("drop_missing_rows", "priority"),
     cleaning.Operation("remove_duplicates", None, {"subset": ["o_custkey", "o_orderstatus"]}),
@@ -568,7 +648,7 @@ _STEPS = [
 def clean_outcomes(spark, sf_dir):
     """A row for each operation: what it did to how many rows or cells."""
     d = holed(spark, sf_dir).select("o_orderkey", "o_custkey", "priority", "price", "o_orderstatus")
-    done = cleaning.run_tracked(d, _STEPS, "o_orderkey")[1]
+    done = cleaning.run_tracked(d, _TRACKED, "o_orderkey")[1]
     return spark.createDataFrame([(o.index, o.operation, o.column, o.rows_affected, o.warning) for o in done], "index bigint, operation string, `column` string, rows_affected bigint, warning string")
 
 

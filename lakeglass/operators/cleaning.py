@@ -216,12 +216,18 @@ class Outcome:
     warning: str | None = None
 
 
+def _reads_again(op: Operation) -> bool:
+    """Whether an operation needs a statistic, an order or a check of its whole frame before it can change it."""
+    return op.name == "handle_outliers" or op.name == "fill_missing" and op.options.get("strategy") != "custom" or op.name == "convert_type" and not op.options.get("errors_to_null", False)
+
+
 def run_tracked(df: DataFrame, operations: list[Operation], order: str | None = None) -> tuple[DataFrame, list[Outcome]]:
-    """The cleaned frame, written to the shared folder, and what each operation did. Counts are gathered while the frame is written, in no pass of their own.
+    """The cleaned frame, written to the shared folder, and what each operation did. Counts are gathered while frames are written, in no pass of their own.
 
     Rows affected are cells filled, values lost by a conversion (with a warning), values moved to the bounds, or rows removed. Each
     operation gets observed aggregates behind it: how many rows are left and, where it changes cells, how many of these differ from what they
-    were. What they were is a column that goes right after.
+    were. What they were is a column that goes right after. An operation that reads its frame more than once gets it written first: observed
+    aggregates count what runs, so nothing above them may run twice.
     """
     need(len(operations) <= MAX_OPERATIONS, f"at most {MAX_OPERATIONS} operations")
     run, before = uuid.uuid4().hex, fresh(df, "before")
@@ -229,6 +235,8 @@ def run_tracked(df: DataFrame, operations: list[Operation], order: str | None =
     out = df.observe(seen[0], F.count(F.lit(1)).alias("rows"), F.lit(0).cast("long").alias("cells"))
     for i, op in enumerate(operations):
         now = Observation(f"rows-{run}-{i}")
+        if _reads_again(op):
+            out = written(out)
         changed = F.lit(0).cast("long")
         if op.name in CELLS and not (op.name == "handle_outliers" and op.options.get("action", "remove") == "remove"):
             while before in out.columns:

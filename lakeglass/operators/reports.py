@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 
 from ..plans.compile import apply_filters, merge_filters
 from ..plans.requests import FilterSet, Kpi, Metric, Plan, Query, RequestError, need
+from ..sources.storage import write_xlsx
 from . import charts, customers, distribution, forecast, insights, profile, query, questions, ranking, segmentation, timeseries
 
 TABLE_ROWS, CORRELATION = 25, 0.3
@@ -234,6 +235,16 @@ def render_csv(report: dict[str, Any]) -> str:
     return out.getvalue()
 
 
+def render_xlsx(report: dict[str, Any]) -> bytes:
+    """A workbook with a sheet for each section."""
+    sheets: dict[str, list[list[Any]]] = {}
+    plain = lambda v: v if v is None or isinstance(v, str | int | float) else json.dumps(v, default=str)
+    for name, rows in _tables(report):
+        keys = list(dict.fromkeys(k for r in rows for k in r))
+        sheets[name] = [keys, *([plain(r.get(k)) for k in keys] for r in rows)]
+    return write_xlsx(sheets or {"report": []})
+
+
 def render_html(report: dict[str, Any], title: str = "Report") -> str:
     parts = [f"<h1>{html.escape(title)}</h1>"]
     for name, rows in _tables(report):

@@ -1,7 +1,6 @@
 """Files: a text file's encoding and delimiter, CSV and XLSX scans, frames as Parquet, versions with a manifest.
 
-Paths go to Spark's own readers, so any store that Spark knows will do. Only the head of a text file, and workbooks (which are
-single compressed files, of a checked size), are read on the driver.
+Paths go to Spark's own readers, so any store that Spark knows will do. The driver reads no more than the head of a text file.
 """
 
 from __future__ import annotations
@@ -10,29 +9,34 @@ import atexit
 import csv
 import io
 import json
+import math
 import os
 import re
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta
 from typing import Any
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import NUMBER_SHAPE
-from ..plans.requests import RequestError, need
+from ..plans.requests import need
 
 # Encodings in the order in which they are tried, delimiters, and the texts that count as missing.
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
 DELIMITERS = ",;\t|"
 HEAD = 64 * 1024
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
-MAX_WORKBOOK = 50 << 20
+#: Rows of a sheet that go from a task to Spark at a time.
+SHEET_BATCH = 5000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -116,10 +120,39 @@ def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
     return not spark.read.text(path).where(F.regexp_count("value", F.lit('"')) % 2 == 1).isEmpty()
 
 
+def quoted_records(spark: SparkSession, path: str, charset: str) -> DataFrame:
+    """record (text) and head (whether it is its file's first) of CSV files with newlines in quotes, read by as many tasks as there are splits.
+
+    Whether a line begins inside quotes depends on how many there are before it, in its split and in all before. Splits give the parity of their own; a prefix over
+    these, a row each, gives the parity at which each begins. From there each split finds its lines' records. Only records of several lines are
+    brought together. Line ends in quotes come back as newlines. A file that ends inside quotes is refused.
+    """
+    value = F.col("value") if charset == "UTF-8" else F.decode(F.col("value").cast("binary"), F.lit(charset))
+    lines = written(spark.read.text(path).select(value.alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq")))
+    lines = lines.withColumn("odd", F.regexp_count("value", F.lit('"')) % 2)
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    splits = lines.groupBy("file", "block").agg((F.sum("odd") % 2).alias("odd"))
+    need(splits.groupBy("file").agg((F.sum("odd") % 2).alias("left")).where("left = 1").isEmpty(), "a quote is never closed")
+    starts = splits.select("file", "block", F.coalesce(F.sum("odd").over(earlier), F.lit(0)).alias("inside"))
+    own = Window.partitionBy("file", "block").orderBy("seq")  # the lines of one split
+    at = lines.join(starts, ["file", "block"])
+    at = at.withColumn("inside", (F.col("inside") + F.coalesce(F.sum("odd").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) % 2)
+    at = at.withColumn("first", F.when(F.col("inside") == 0, F.col("seq"))).withColumn("head", (F.col("block") == 0) & (F.row_number().over(own) == 1))
+    at = at.withColumn("record", F.last("first", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    alone = (F.col("inside") == 0) & (F.col("odd") == 0)
+    # what a split begins with, inside quotes, belongs to the last record that began before
+    last = at.groupBy("file", "block").agg(F.max("first").alias("last"))
+    carried = last.select("file", "block", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    rest = at.where(~alone).join(carried, ["file", "block"]).withColumn("record", F.coalesce("record", "carried"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "seq", "value"))), lambda x: x["value"]), "\n")
+    whole = rest.groupBy("file", "record").agg(text.alias("text"), F.max("head").alias("head"))
+    return at.where(alone).select(F.col("value").alias("text"), "head").unionByName(whole.select("text", "head"))
+
+
 def read_csv(spark: SparkSession, path: str, infer: bool = True, multi_line: bool | None = None) -> DataFrame:
     """A CSV file with header: encoding and delimiter are found out, missing-value texts are null, types are those of all rows.
 
-    A file with quoted newlines is read by one task, as it cannot be split; multi_line says whether it is one, None: find out.
+    Newlines in quotes do not keep a file from being split (see quoted_records); multi_line says whether there are any, None: find out.
     """
     data = head(spark, path)
     name = detect_encoding(data)
@@ -127,7 +160,13 @@ def read_csv(spark: SparkSession, path: str, infer: bool = True, multi_line: boo
     sep = detect_delimiter(text)
     # Spark reads no cp1252: it is read as latin-1, and the bytes that differ are put right afterwards
     charset = "UTF-8" if name.startswith("utf-8") else "ISO-8859-1"
-    df = spark.read.csv(path, header=True, sep=sep, encoding=charset, multiLine=has_quoted_newlines(spark, path) if multi_line is None else multi_line, escape='"', mode="PERMISSIVE", enforceSchema=True)
+    if has_quoted_newlines(spark, path) if multi_line is None else multi_line:
+        names = next(csv.reader(io.StringIO(text, newline=""), delimiter=sep), [])
+        schema = ", ".join(f"c{i} string" for i in range(len(names)))
+        records = quoted_records(spark, path, charset).where("NOT head AND text != ''")
+        df = records.select(F.from_csv("text", schema, {"sep": sep, "escape": '"', "mode": "PERMISSIVE"}).alias("r")).select("r.*").toDF(*(names if len(set(names)) == len(names) else [f"{n}{i}" for i, n in enumerate(names)]))
+    else:
+        df = spark.read.csv(path, header=True, sep=sep, encoding=charset, escape='"', mode="PERMISSIVE", enforceSchema=True)
     need(df.columns, "the file has no columns")
     clean = [c.lstrip("﻿").strip() or f"column_{i + 1}" for i, c in enumerate(df.columns)]
     other = bytes(b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))
@@ -136,77 +175,155 @@ def read_csv(spark: SparkSession, path: str, infer: bool = True, multi_line: boo
     return typed(df) if infer else df
 
 
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
-def _cells(book: zipfile.ZipFile) -> list[list[Any]]:
+def sheet_rows(data: bytes) -> Iterator[list[Any]]:
+    """The rows of a workbook's first sheet, one after the other: the sheet is never held as a whole."""
+    book = zipfile.ZipFile(io.BytesIO(data))
     shared: list[str] = []
     if "xl/sharedStrings.xml" in book.namelist():
-        for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).findall("m:si", _NS):
-            shared.append("".join(t.text or "" for t in item.iter(f"{{{_NS['m']}}}t")))
+        for _, item in ElementTree.iterparse(book.open("xl/sharedStrings.xml")):
+            if item.tag == f"{_NS}si":
+                shared.append("".join(t.text or "" for t in item.iter(f"{_NS}t")))
+                item.clear()
     dated: set[int] = set()
     if "xl/styles.xml" in book.namelist():
         styles = ElementTree.fromstring(book.read("xl/styles.xml"))
-        own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in styles.iter(f"{{{_NS['m']}}}numFmt")}
-        for i, x in enumerate(styles.findall("m:cellXfs/m:xf", _NS)):
+        own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in styles.iter(f"{_NS}numFmt")}
+        for i, x in enumerate(styles.findall(f"{_NS}cellXfs/{_NS}xf")):
             code = int(x.get("numFmtId", 0))
             if 14 <= code <= 22 or re.search(r"[dmyh]", re.sub(r'"[^"]*"|\[[^\]]*\]', "", own.get(code, "")), re.I):
                 dated.add(i)
     sheets = sorted((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
     need(sheets, "the workbook has no sheet")
-    rows = []
-    for row in ElementTree.fromstring(book.read(sheets[0])).iter(f"{{{_NS['m']}}}row"):
+
+    def value_of(c: ElementTree.Element) -> Any:
+        value, kind = c.find(f"{_NS}v"), c.get("t", "n")
+        if kind == "inlineStr":
+            return "".join(t.text or "" for t in c.iter(f"{_NS}t"))
+        if value is None or value.text is None or kind == "e":
+            return None
+        if kind in ("s", "str", "b"):
+            return {"s": lambda x: shared[int(x)], "str": str, "b": lambda x: x == "1"}[kind](value.text)
+        number = float(value.text)
+        return datetime(1899, 12, 30) + timedelta(days=number) if int(c.get("s", 0)) in dated else number
+
+    held: ElementTree.Element | None = None
+    for event, row in ElementTree.iterparse(book.open(sheets[0]), ("start", "end")):
+        if row.tag == f"{_NS}sheetData":
+            held = row
+        if event == "start" or row.tag != f"{_NS}row":
+            continue
         cells: dict[int, Any] = {}
-        for c in row.findall("m:c", _NS):
+        for c in row.findall(f"{_NS}c"):
             at = 0
             for ch in re.match(r"[A-Z]*", c.get("r", ""))[0]:
                 at = at * 26 + ord(ch) - 64
-            value, kind = c.find("m:v", _NS), c.get("t", "n")
-            if kind == "inlineStr":
-                found: Any = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
-            elif value is None or value.text is None:
-                found = None
-            elif kind == "s":
-                found = shared[int(value.text)]
-            elif kind == "b":
-                found = value.text == "1"
-            elif kind in ("str", "e"):
-                found = value.text if kind == "str" else None
-            else:
-                found = float(value.text)
-                if int(c.get("s", 0)) in dated:
-                    found = datetime(1899, 12, 30) + timedelta(days=found)
-            cells[(at or len(cells) + 1) - 1] = found
-        rows.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
-    return rows
+            cells[(at or len(cells) + 1) - 1] = value_of(c)
+        if held is not None:
+            held.clear()  # rows that were read
+        yield [cells.get(i) for i in range(max(cells, default=-1) + 1)]
+
+
+_UNREADABLE = (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, IndexError)
+
+
+def _survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each workbook a row for each column: its name and the kinds of its values; or one row with what is wrong."""
+    for batch in batches:
+        for content in batch.column(0):
+            try:
+                rows = sheet_rows(content.as_py())
+                header = next(rows, [])
+                need(any(x is not None for x in header), "the sheet has no header")
+                kinds: list[set[str]] = [set() for _ in header]
+                for r in rows:
+                    for i, x in enumerate(r[: len(header)]):
+                        if x is not None:
+                            kinds[i].add("whole" if isinstance(x, float) and x.is_integer() else type(x).__name__)
+                made = [(i, str(x) if x is not None else f"column_{i + 1}", sorted(k), None) for i, (x, k) in enumerate(zip(header, kinds, strict=True))]
+            except _UNREADABLE as e:
+                made = [(-1, None, [], f"the workbook cannot be read: {e}")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int32(), pa.string(), pa.list_(pa.string()), pa.string()), strict=True)], names=["i", "name", "kinds", "wrong"])
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet of a workbook (at most 50 MB, as the format cannot be split)."""
-    data = head(spark, path, MAX_WORKBOOK + 1)
-    need(len(data) <= MAX_WORKBOOK, "the workbook is larger than 50 MB")
-    try:
-        rows = _cells(zipfile.ZipFile(io.BytesIO(data)))
-    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError) as e:
-        raise RequestError(f"the workbook cannot be read: {e}") from e
-    need(rows and any(x is not None for x in rows[0]), "the sheet has no header")
-    names = [str(x) if x is not None else f"column_{i + 1}" for i, x in enumerate(rows[0])]
-    body = [(r + [None] * len(names))[: len(names)] for r in rows[1:]]
-    fields = []
-    for i, name in enumerate(names):
-        kinds = {type(r[i]) for r in body if r[i] is not None}
-        if kinds == {float}:
-            whole = all(r[i] is None or float(r[i]).is_integer() for r in body)
-            fields.append(T.StructField(name, T.LongType() if whole else T.DoubleType()))
-            for r in body:
-                r[i] = None if r[i] is None else int(r[i]) if whole else r[i]
-        elif kinds in ({bool}, {datetime}):
-            fields.append(T.StructField(name, T.BooleanType() if kinds == {bool} else T.TimestampType()))
-        else:
-            fields.append(T.StructField(name, T.StringType()))
-            for r in body:
-                r[i] = None if r[i] is None else str(r[i])
-    return spark.createDataFrame(body, T.StructType(fields))
+    """The first sheets of one or more workbooks (a file, a folder or a pattern), which have one header.
+
+    A workbook is a compressed stream, so one task reads it, row by row; several are read in parallel. The driver sees names and kinds of columns only. Types
+    are those of all rows of all workbooks: a column of whole numbers is bigint, of mixed kinds text.
+    """
+    files = spark.read.format("binaryFile").load(path).select("content")
+    found = files.mapInArrow(_survey, "i int, name string, kinds array<string>, wrong string").distinct().collect()  # a row a column and kind of workbook
+    for r in found:
+        need(r["wrong"] is None, r["wrong"])
+    names: dict[int, str] = {}
+    kinds: dict[int, set[str]] = {}
+    for r in sorted(found, key=lambda r: (r["i"], r["name"])):
+        need(names.setdefault(r["i"], r["name"]) == r["name"], "the workbooks have different headers")
+        kinds.setdefault(r["i"], set()).update(r["kinds"])
+    need(names, "there is no workbook")
+
+    def type_of(k: set[str]) -> T.DataType:
+        one = {frozenset({"whole"}): T.LongType(), frozenset({"float"}): T.DoubleType(), frozenset({"whole", "float"}): T.DoubleType(), frozenset({"bool"}): T.BooleanType(), frozenset({"datetime"}): T.TimestampType()}
+        return one.get(frozenset(k), T.StringType())
+
+    fields = [T.StructField(names[i], type_of(kinds[i])) for i in sorted(names)]
+    plain = [f.dataType.simpleString() for f in fields]
+    arrow = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "timestamp": pa.timestamp("us", "UTC"), "string": pa.string()}
+    as_kind = {"bigint": int, "double": float, "boolean": bool, "timestamp": lambda x: x, "string": str}
+
+    def body(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(rows: list[list[Any]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([None if r[i] is None else as_kind[k](r[i]) for r in rows], arrow[k]) for i, k in enumerate(plain)], names=[f.name for f in fields])
+
+        for batch in batches:
+            for content in batch.column(0):
+                rows, held = sheet_rows(content.as_py()), []
+                next(rows, None)
+                for r in rows:
+                    held.append((r + [None] * len(plain))[: len(plain)])
+                    if len(held) == SHEET_BATCH:
+                        yield batch_of(held)
+                        held = []
+                if held:
+                    yield batch_of(held)
+
+    return files.mapInArrow(body, T.StructType(fields))
+
+
+def write_xlsx(sheets: dict[str, list[list[Any]]]) -> bytes:
+    """A workbook of small tables, a sheet each, rows of texts and numbers. Texts are inline and never run as formulas."""
+
+    def cell(x: Any) -> str:
+        if x is None:
+            return "<c/>"
+        if isinstance(x, bool):
+            return f'<c t="b"><v>{int(x)}</v></c>'
+        if isinstance(x, int | float) and math.isfinite(x):
+            return f"<c><v>{x!r}</v></c>"
+        text = "".join(ch for ch in str(x) if ch in "\t\n\r" or ch >= " ")
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
+
+    main, office, package = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "http://schemas.openxmlformats.org/package/2006"
+    names: list[str] = []
+    for name in sheets:
+        short = (re.sub(r"[\[\]:*?/\\]", " ", name).strip("' ") or "Sheet")[:28]
+        names.append(short if short not in names else f"{short}_{len(names)}")
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(1, len(names) + 1))
+        book.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{parts}</Types>')
+        book.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        listed = "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(names, 1))
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets>{listed}</sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1)) + "</Relationships>")
+        for i, rows in enumerate(sheets.values(), 1):
+            body = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in rows)
+            book.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
+    return out.getvalue()
 
 
 def read_frame(spark: SparkSession, path: str) -> DataFrame:
@@ -353,4 +470,4 @@ class Datasets:
         return held.read(version), held.get(version)
 
 
-__all__ = ["NUMBER_SHAPE", "Datasets", "Versions", "commit_once", "detect_delimiter", "detect_encoding", "export_csv", "metadata", "read_csv", "read_frame", "read_lines", "read_xlsx", "shared_dir", "written"]
+__all__ = ["NUMBER_SHAPE", "Datasets", "Versions", "commit_once", "detect_delimiter", "detect_encoding", "export_csv", "metadata", "read_csv", "read_frame", "read_lines", "read_xlsx", "shared_dir", "write_xlsx", "written"]

@@ -177,3 +177,42 @@ def test_insight_runs(spark, declining, tmp_path):
 def test_every_section(declining):
     report = reports.build_report(declining, list(reports._sections(insights.Figures(declining))))
     assert report["skipped"] == {} and len(report["sections"]) == 21
+
+
+def test_quoted_newlines_in_many_splits(spark, tmp_path):
+    """Records that cross splits, quotes at their edges, doubled quotes, and an odd quote at the end; as one task reads them."""
+    rng, lines = np.random.default_rng(3), ["id,note,n"]
+    for i in range(400):
+        note = ["plain", '"a ""quoted"" word"', '"two\nlines"', '"' + "long\n" * int(rng.integers(1, 60)) + '"', '"\n"', '""', '"ends, with comma\n"'][int(rng.integers(0, 7))]
+        lines.append(f"{i},{note},{i % 5}")
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    path = f"file://{tmp_path}/a.csv"
+    want = {tuple(r) for r in spark.read.csv(path, header=True, multiLine=True, escape='"').collect()}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+        assert spark.read.text(path).rdd.getNumPartitions() > 20
+        got = storage.read_csv(spark, path, infer=False)
+        strip = lambda x: None if x is None or not x.strip() else x
+        assert {tuple(map(strip, r)) for r in got.collect()} == {tuple(map(strip, r)) for r in want} and got.count() == 400
+        (tmp_path / "b.csv").write_text('id,note\n1,"open\n2,x\n')
+        with pytest.raises(RequestError):
+            storage.read_csv(spark, f"file://{tmp_path}/b.csv")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_workbooks(spark, tmp_path):
+    rows = [["id", "name", "paid", "when", "mixed"], *([i, f"<n&{i}>", i % 2 == 0, i + 0.5, i if i % 3 else "x"] for i in range(12_000))]
+    (tmp_path / "w").mkdir()
+    for k in range(2):
+        (tmp_path / f"w/{k}.xlsx").write_bytes(storage.write_xlsx({"first": rows, "second": [["other"]]}))
+    d = storage.read_xlsx(spark, f"file://{tmp_path}/w")
+    assert d.dtypes == [("id", "bigint"), ("name", "string"), ("paid", "boolean"), ("when", "double"), ("mixed", "string")]
+    assert d.count() == 24_000 and d.where("id = 7").select("name").first()[0] == "<n&7>" and d.agg(F.sum("when")).first()[0] == 2 * sum(i + 0.5 for i in range(12_000))
+    (tmp_path / "w/2.xlsx").write_bytes(storage.write_xlsx({"a": [["id", "title"]]}))
+    with pytest.raises(RequestError):
+        storage.read_xlsx(spark, f"file://{tmp_path}/w")
+    report = {"sections": {"kpis": [{"metric": "rows", "value": 3}], "notes": ["=1+1"]}, "skipped": {}}
+    (tmp_path / "r.xlsx").write_bytes(reports.render_xlsx(report))
+    assert storage.read_xlsx(spark, f"file://{tmp_path}/r.xlsx").collect()[0].asDict() == {"metric": "rows", "value": 3}

@@ -407,6 +407,26 @@ def pca_points(spark, sf_dir):
     return segmentation.principal_components(orders(spark, sf_dir), ["o_totalprice", "o_custkey", "o_orderkey"])[0]
 
 
+@query_of("WITH c AS (SELECT corr(o_totalprice, o_custkey) AS a, corr(o_totalprice, o_orderkey) AS b, corr(o_custkey, o_orderkey) AS c FROM orders), p AS (SELECT *, sqrt((a * a + b * b + c * c) / 3) AS p FROM c) SELECT round(1 - (1 + 2 * p * cos(acos(greatest(-1, least(1, a * b * c / (p * p * p)))) / 3 + 2 * pi() / 3)) / 3, 4) AS explained FROM p", 4)
+def pca_share(spark, sf_dir):
+    """What the first two of three components explain: all but the least eigenvalue of the correlation matrix."""
+    return spark.createDataFrame([(segmentation.principal_components(orders(spark, sf_dir), ["o_totalprice", "o_custkey", "o_orderkey"])[1],)], "explained double")
+
+
+@query_of("SELECT CAST(4 AS BIGINT) AS clusters, count(*) AS members, 100.0 AS members_pct, 0.0 AS z_quantity, 0.0 AS z_price, round(avg(l_quantity), 2) AS mean_quantity FROM lineitem")
+def kmeans_invariants(spark, sf_dir):
+    """What holds for any clustering: all rows are members, and the members' means are the frame's."""
+    p = segmentation.cluster_profiles(lineitem(spark, sf_dir), ["l_quantity", "l_extendedprice"], 4)
+    mean = lambda c: F.sum(F.col("members") * F.col(c)) / F.sum("members")
+    near = lambda c: F.when(F.abs(mean(c)) < 1e-6, F.lit(0.0)).otherwise(mean(c))
+    return p.agg(F.count("*").alias("clusters"), F.sum("members").alias("members"), F.sum("members_pct").alias("members_pct"), near("z_l_quantity").alias("z_quantity"), near("z_l_extendedprice").alias("z_price"), mean("mean_l_quantity").alias("mean_quantity"))
+
+
+@query_of("SELECT label, row_number() OVER (ORDER BY label) AS position FROM (SELECT DISTINCT year(o_orderdate) || '-Q' || quarter(o_orderdate) AS label FROM orders) QUALIFY position <= 50")
+def period_labels(spark, sf_dir):
+    return spark.createDataFrame(list(enumerate(profile.period_labels(orders(spark, sf_dir), "o_orderdate"), 1)), "position bigint, label string")
+
+
 # profiles and quality
 
 _COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", "priority", "price")

@@ -76,20 +76,29 @@ def chart(df: DataFrame, kind: str, x: str | None = None, y: str | None = None,
 
 
 def suggest_charts(columns: list[dict[str, Any]], limit: int = SUGGESTIONS) -> list[dict[str, Any]]:
-    """Charts that suit a frame, from describe_columns(): trends, comparisons, relations, distributions, counts."""
+    """Charts that suit a frame, from describe_columns(): trends, comparisons, relations, distributions, counts; each with a title and the reason for it.
+
+    What is suggested depends on the kinds of columns there are, in the frame's order; groups are text or flags of up to CATEGORY_VALUES values.
+    """
     numbers = [c["column"] for c in columns if c["numeric"]]
     dates = [c["column"] for c in columns if c["temporal"]]
     groups = [c["column"] for c in columns if c["type"] in ("string", "boolean") and 0 < (c["distinct"] or 0) <= CATEGORY_VALUES]
     out: list[dict[str, Any]] = []
+
+    def add(kind: str, title: str, reason: str, **config: Any) -> None:
+        out.append({"kind": kind, **config, "title": title, "reason": reason})
+
     if dates and numbers:
-        out.append({"kind": "line", "x": dates[0], "y": numbers[0], "function": "sum"})
+        add("line", f"{numbers[0]} over {dates[0]}", "values with dates make a trend", x=dates[0], y=numbers[0], function="sum")
     if groups and numbers:
-        out.append({"kind": "bar", "x": groups[0], "y": numbers[0], "function": "sum"})
+        add("bar", f"{numbers[0]} by {groups[0]}", "groups are compared by a value's total", x=groups[0], y=numbers[0], function="sum")
     if len(numbers) > 1:
-        out.append({"kind": "scatter", "x": numbers[0], "y": numbers[1]})
+        add("scatter", f"{numbers[1]} against {numbers[0]}", "two values of each row show how they relate", x=numbers[0], y=numbers[1])
     for c in numbers[:2]:
-        out += [{"kind": "histogram", "x": c}, {"kind": "box", "y": c}]
-    out += [{"kind": "bar", "x": c, "function": "count"} for c in groups[:2]]
+        add("histogram", f"How {c} is distributed", "one value shows where most rows lie", x=c)
+        add("box", f"How far {c} spreads", "quartiles and fences show spread and outliers", y=c)
+    for c in groups[:2]:
+        add("bar", f"Rows by {c}", "a group alone is counted", x=c, function="count")
     return out[:limit]
 
 

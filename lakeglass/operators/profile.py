@@ -14,12 +14,13 @@ from ..functions.dates import DATE_LEAST, DATE_SHAPE, DATE_SHARE, as_timestamp,
 from ..functions.quantiles import quantiles
 from ..functions.stats import percent
 from ..plans.compile import is_date, is_number, kind_of, number, quoted
-from ..plans.requests import need
+from ..plans.requests import Metric, RequestError, need
 
 # What names an identifier, how many values make a dimension or a key, the quality rules' limits and placeholders.
 ID_NAME = re.compile(r"(_id$|^id$|code|number|no\.?$|uuid|key)", re.I)
 MAX_DIMENSION, KEY_SHARE, TEXT_KEY_SHARE = 1000, 0.95, 0.9
 TOP_VALUES = 10
+MAX_FILTER_VALUES = 50
 MISSING_CRITICAL, MISSING_WARNING, DUPLICATE_CRITICAL, WRONG_TYPE, MIXED_TYPES = 50.0, 5.0, 10.0, 90.0, 10.0
 PLACEHOLDERS = ("n/a", "na", "null", "none", "nil", "-", "--", "?", "unknown", "#n/a", "nan", "")
 PENALTY = {"critical": 20, "warning": 8, "info": 2}
@@ -228,6 +229,22 @@ def filter_options(df: DataFrame, values: int = 100, most: int = 200) -> dict[st
     return out
 
 
+def filter_values(df: DataFrame, column: str, most: int = MAX_FILTER_VALUES) -> list[str]:
+    """A column's most frequent values, for a filter to offer; ties by value."""
+    return [r["value"] for r in top_values(df, column, most).collect()]
+
+
+def period_labels(df: DataFrame, date_column: str, most: int = MAX_FILTER_VALUES) -> list[str]:
+    """Labels of a date column's first periods, of the length that suits its span; periods without rows are among them. None for a column without dates."""
+    from .timeseries import period_for, time_series
+
+    try:
+        series = time_series(df, date_column, period_for(df, date_column), Metric("count"))
+    except RequestError:
+        return []
+    return [r["label"] for r in series.orderBy("bucket").limit(most).collect()]
+
+
 def text_checks(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, n, numeric_count, placeholder_count of text columns, in one pass."""
     t = lambda c: F.trim(quoted(c).cast("string"))

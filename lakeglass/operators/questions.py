@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from collections.abc import Callable
+from datetime import UTC, datetime
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.compile import apply_filters, is_number, kind_of, metric, resolve
 from ..plans.requests import NUMERIC_METRICS, Answer, Metric, Plan, RequestError, need
+from ..sources.storage import commit_once, read_lines
 from .profile import describe_columns
 from .query import metrics
 from .ranking import ranking
@@ -89,6 +93,20 @@ class Model:
     def get(self, role: str) -> str | None:
         return self.roles.get(role)
 
+    def choose(self, role: str, override: str | None = None) -> str:
+        """The column of a role: the one that the caller names, if the frame has it, else the detected one; refused if there is neither."""
+        if override:
+            need(override in {c["column"] for c in self.columns}, f"unknown column {override!r}")
+            return override
+        found = self.get(role)
+        need(found, f"needs a {role} column, and none was found: name one")
+        return found
+
+    def present(self) -> dict[str, str | None]:
+        """What an analysis can start from: a customer (else any identifier), date, revenue, first dimension and measure."""
+        first = lambda use: next(iter(self.of(use)), None)
+        return {"customer": self.get("customer") or first("identifier"), "date": self.get("date"), "revenue": self.get("revenue"), "dimension": first("categorical"), "measure": first("measure")}
+
 
 def semantic_model(df: DataFrame) -> Model:
     return Model(describe_columns(df))
@@ -197,6 +215,36 @@ def untraceable(text: str, rows: list[dict[str, Any]]) -> list[str]:
     return out
 
 
+class QuestionLog:
+    """Questions asked of a dataset, each with its plan and a few rows of the answer: a small JSON file for each, never changed."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.folder = spark, f"{root.rstrip('/')}/questions"
+
+    def ask(self, df: DataFrame, question: str, version: int | None = None, planner: Callable[[Model, str], Answer] = plan_by_rules, rows: int = 20) -> dict[str, Any]:
+        """ask(), recorded: a question that has no plan too, with what was asked back."""
+        answer, found = ask(df, question, planner)
+        held = [] if found is None else [r.asDict() for r in found.limit(rows).collect()]
+        entry = {
+            "id": uuid.uuid4().hex,
+            "at": datetime.now(UTC).isoformat(),
+            "question": question,
+            "version": version,
+            "source": answer.source,
+            "plan": None if answer.plan is None else describe(answer.plan),
+            "clarification": answer.clarification,
+            "answer": None if answer.plan is None else answer_text(answer.plan, held),
+            "rows": held,
+        }
+        commit_once(self.spark, f"{self.folder}/{entry['id']}.json", json.dumps(entry, default=str) + "\n")
+        return entry
+
+    def history(self, limit: int = 20, offset: int = 0) -> tuple[list[dict[str, Any]], int]:
+        """A page of the questions, the newest first, and how many there are."""
+        known = sorted(read_lines(self.spark, self.folder), key=lambda r: (r["at"], r["id"]), reverse=True)
+        return known[offset : offset + limit], len(known)
+
+
 def suggestions(model: Model, most: int = 10) -> list[str]:
     """Questions that a frame can answer."""
     value, date = model.get("revenue"), model.get("date")
@@ -210,4 +258,4 @@ def suggestions(model: Model, most: int = 10) -> list[str]:
     return out[:most]
 
 
-__all__ = ["Model", "answer_text", "ask", "describe", "execute", "plan_by_rules", "semantic_model", "suggestions", "untraceable", "validate"]
+__all__ = ["Model", "QuestionLog", "answer_text", "ask", "describe", "execute", "plan_by_rules", "semantic_model", "suggestions", "untraceable", "validate"]

@@ -50,10 +50,7 @@ class Widget:
 
 
 def _advanced(df: DataFrame, c: dict[str, Any], model: questions.Model) -> Any:
-    def role(name: str) -> str:
-        found = c.get(name) or model.get(name)
-        need(found, f"needs a {name} column")
-        return found
+    role = lambda name: model.choose(name, c.get(name))
 
     made: dict[str, Callable[[], Any]] = {
         "rfm": lambda: rows_of(customers.rfm_segments(customers.rfm(df, role("customer"), role("date"), role("revenue")))),

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeglass.functions import quantiles as Q
-from lakeglass.operators import cleaning, insights, profile, query, questions, reports, runs
+from lakeglass.operators import charts, cleaning, insights, profile, query, questions, reports, runs
 from lakeglass.operators.cleaning import Operation
 from lakeglass.plans.requests import Binary, Condition, FilterSet, Kpi, Metric, RequestError
 from lakeglass.sources import storage
@@ -216,3 +216,31 @@ def test_workbooks(spark, tmp_path):
     report = {"sections": {"kpis": [{"metric": "rows", "value": 3}], "notes": ["=1+1"]}, "skipped": {}}
     (tmp_path / "r.xlsx").write_bytes(reports.render_xlsx(report))
     assert storage.read_xlsx(spark, f"file://{tmp_path}/r.xlsx").collect()[0].asDict() == {"metric": "rows", "value": 3}
+
+
+def test_question_log_and_roles(spark, declining, tmp_path):
+    log = questions.QuestionLog(spark, f"file://{tmp_path}/d")
+    assert log.history() == ([], 0)
+    first = log.ask(declining, "What is the total total_amount?", 1)
+    log.ask(declining, "Top 2 category by total_amount", 1)
+    asked = log.ask(declining.select("category"), "total")
+    rows, n = log.history(2)
+    assert n == 3 and [r["id"] for r in rows][0] == asked["id"] and asked["plan"] is None and asked["clarification"]
+    assert log.history(5, 2)[0][0] == first and first["rows"][0]["metric"] == "sum_total_amount" and first["answer"].startswith("sum_total_amount")
+    model = questions.semantic_model(declining)
+    assert model.choose("revenue") == "total_amount" and model.choose("revenue", "discount_pct") == "discount_pct"
+    for role, override in (("channel", None), ("revenue", "nope")):
+        with pytest.raises(RequestError):
+            model.choose(role, override)
+    assert model.present() == {"customer": "customer_id", "date": "order_date", "revenue": "total_amount", "dimension": "category", "measure": "total_amount"}
+
+
+def test_suggestions_labels_and_segments(spark, declining):
+    out = charts.suggest_charts(profile.describe_columns(declining))
+    assert [c["kind"] for c in out] == ["line", "bar", "scatter", "histogram", "box", "histogram", "box", "bar"] and all(c["title"] and c["reason"] for c in out)
+    assert profile.period_labels(declining, "order_date")[:2] == ["2023-01", "2023-02"] and profile.period_labels(declining.limit(0), "order_date") == []
+    assert profile.filter_values(declining, "region", 2) == ["North", "South"]
+    segments = insights.segments_overview(declining, questions.semantic_model(declining))
+    assert segments["product"]["note"] and segments["product"]["top"][0]["label"] == "Electronics" and segments["region"]["note"] is None
+    plain = insights.segments_overview(declining.select("category"), questions.Model([{"column": "category", "measure": False, "identifier": False, "categorical": True, "temporal": False}]))
+    assert plain["product"]["metric"] == "count" and plain["product"]["class_a"] is None and round(plain["product"]["total"]) == 900

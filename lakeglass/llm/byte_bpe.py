@@ -4,7 +4,9 @@ A text is cut by the vocabulary's pattern. A pre-token that is an entry itself i
 hash (hash and displace). Any other is merged from its bytes: the bytes form a linked list, a heap holds the ranks of the
 neighbouring pairs, and the lowest rank (leftmost of equals) is merged until no pair has a rank, in O(n log n).
 
-Defined results: a null text is empty, an empty text has no ids. Texts of any length are encoded whole.
+Defined results: a null text is empty, an empty text has no ids. Texts of any length are encoded whole. Each row gives
+a row, in the order and partitions of the input: repeated rows repeated ones, a null doc_id a null one. Equal ranks cannot arise, and of equal pairs the leftmost is merged. Extra
+columns are left out, whatever their names. An empty table gives none.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ Fitted by gradient descent on windows of a bounded sample (about per_language do
 applied to all windows of whole texts, in batches, where the rows are read.
 
 Defined results: 'und' with score 0 if a text is null, empty or has no letter, or if nothing can be learned. Null languages are
-not learned from. With one language in the sample, that one is predicted with score 1.
+not learned from. With one language in the sample, that one is predicted with score 1. Each row is predicted by its
+text alone: repeated rows get repeated results, a row with a null doc_id its own (and counts as not held out). Of languages that are equally likely the first in
+alphabetical order is taken. Extra columns are left out, whatever their names. An empty table gives none.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ broadcast; its size is fixed by buckets x dim. Scoring runs where the rows are r
 
 Defined results: null, empty and blank texts have no features and get the score of the output layer's bias. Rows with a null
 label are not learned from; a document labelled more than once counts as 1 if any label is 1. With no labels at all, or
-only one class, every score is that class's share (0.5 without labels).
+only one class, every score is that class's share (0.5 without labels). Each row is scored by its text alone: repeated rows get repeated results, a row with a
+null doc_id its own (it is not learned from, as it has no label). There are no ties to break. Extra columns are left out, whatever their names. An empty table gives none.
 """
 
 from __future__ import annotations

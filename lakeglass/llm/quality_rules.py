@@ -15,8 +15,8 @@ loses more than a share alpha of its good documents to all rules together.
 
 Defined results: a null text counts as empty (it fails the base rules). A null language is a stratum of its own, named ''.
 Null labels and labels of unknown documents are left out; a document labelled more than once counts once, as good if any
-of its labels says so. Rows of `documents` are judged one by one, so repeated rows give repeated results, and a labelled document of several
-rows counts by each; a null doc_id has no label and is judged like any other. A feature equal to its cutoff is rejected. No documents: no rows.
+of its labels says so. Rows of `documents` are judged one by one, so repeated rows give repeated results. In the test a labelled document of several
+rows counts once in a stratum, and as rejected by a step if any of its rows there is: copies are no evidence. A null doc_id has no label and is judged like any other. A feature equal to its cutoff is rejected. No documents: no rows.
 """
 
 from __future__ import annotations
@@ -153,8 +153,8 @@ def steps(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
         raise ValueError("the rules' cutoffs must be equally many, and fall along the path")
     path = range(length.pop())
     good = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality")).where(F.col("quality") == 1).select("doc_id")
-    held = measured.where(~F.col("base_failed")).join(good, "doc_id")
-    counted = held.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count_if(_rejected(i, rules)).alias(f"k{i}") for i in path))
+    held = measured.where(~F.col("base_failed")).join(good, "doc_id").groupBy("stratum", "doc_id").agg(*(F.max(_rejected(i, rules)).alias(f"r{i}") for i in path))
+    counted = held.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count_if(f"r{i}").alias(f"k{i}") for i in path))
     strata = measured.agg(F.count_distinct("stratum")).first()[0]
     fails = F.array(*(F.when(binomial_tail(F.col("n"), F.col(f"k{i}"), alpha) > delta / max(1, strata), F.lit(i)) for i in path))
     last = F.coalesce(F.array_min(fails), F.lit(len(path))) - 1
@@ -217,7 +217,7 @@ measured AS (
   FROM base),
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1),
 tests AS (
-  SELECT stratum, i AS step, count(*) AS n, count(*) FILTER (WHERE CASE i {" ".join(f"WHEN {i} THEN {rejected(i)}" for i in path)} END) AS k
+  SELECT stratum, i AS step, count(DISTINCT doc_id) AS n, count(DISTINCT doc_id) FILTER (WHERE CASE i {" ".join(f"WHEN {i} THEN {rejected(i)}" for i in path)} END) AS k
   FROM measured JOIN good USING (doc_id), range({len(path)}) AS s(i) WHERE NOT base_failed GROUP BY stratum, i),
 judged AS (SELECT stratum, step, k < n * {alpha!r} AND {tail} <= {delta!r} / (SELECT greatest(1, count(DISTINCT stratum)) FROM measured) AS passed FROM tests),
 certified AS (SELECT stratum, coalesce(min(step) FILTER (WHERE NOT passed), {len(path)}) - 1 AS step FROM judged GROUP BY stratum)

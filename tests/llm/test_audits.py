@@ -10,6 +10,7 @@ from math import inf, log2
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lakeglass.llm import conversation_repair, secret_scan, source_divergence
 
@@ -275,3 +276,15 @@ def test_large_ids_beside_null(spark):
     assert found == {None: None, BIG: BIG, BIG + 2: BIG, 3: 3}
     assert {r.doc_id for r in byte_bpe.byte_bpe(docs, ranks, public_tokenizers.PATTERN).collect()} == ids
     assert {r.doc_id for r in language_model_id.language_id(docs).collect()} == ids
+
+
+def test_copies_certify_nothing(spark):
+    """A good document of 200 rows is one document of evidence; it counts as rejected if any of its rows is."""
+    from lakeglass.llm import quality_rules
+
+    good = " ".join(f"plain{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    loud = good.replace(" ", " ! ! ")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 1)], "doc_id bigint, quality int")
+    docs = spark.createDataFrame([(1, good, "en")] * 200 + [(1, loud, "en"), (2, good, "en")], "doc_id bigint, text string, lang string")
+    measured = quality_rules.signals(docs.withColumn("stratum", F.col("lang"))).withColumn("base_failed", quality_rules.base_failed()).withColumns(quality_rules.features())
+    assert [(r.stratum, r.n, r.step) for r in quality_rules.steps(measured, labels).collect()] == [("en", 2, None)]

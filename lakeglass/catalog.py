@@ -565,7 +565,19 @@ def insight_findings(spark, sf_dir):
     return spark.createDataFrame(rows, "id string, severity string, priority string, score double, title string")
 
 
-@query_of()
+_BAND = "CASE WHEN c >= 20 THEN 100.0 WHEN c >= 5 THEN 80.0 WHEN c >= -5 THEN 60.0 WHEN c >= -20 THEN 35.0 ELSE 10.0 END"
+
+
+@query_of(
+    f"WITH w AS (SELECT o_custkey, revenue, l_quantity, l_discount, o_orderdate, date_trunc('quarter', o_orderdate) AS b FROM {W}), q AS (SELECT b, count(*) AS n, sum(revenue) AS v, count(DISTINCT o_custkey) AS k FROM w GROUP BY b),"
+    " t AS (SELECT 'order_trend' AS factor, 0.15 AS weight, (arg_max(n, b) - arg_min(n, b)) * 100.0 / arg_min(n, b) AS c FROM q UNION ALL SELECT 'revenue_trend', 0.25, (arg_max(v, b) - arg_min(v, b)) * 100.0 / arg_min(v, b) FROM q UNION ALL SELECT 'customer_trend', 0.15, (arg_max(k, b) - arg_min(k, b)) * 100.0 / arg_min(k, b) FROM q),"
+    " l AS (SELECT o_custkey, max(o_orderdate) AS at FROM w GROUP BY 1), z AS (SELECT 100.0 * count(*) FILTER (date_diff('second', at, (SELECT max(at) FROM l)) >= 90 * 86400) / count(*) AS rate FROM l),"
+    " v AS (SELECT 1 AS i, revenue AS x FROM w UNION ALL SELECT 2, l_quantity FROM w UNION ALL SELECT 3, l_discount FROM w), p AS (SELECT i, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM v GROUP BY i),"
+    " a AS (SELECT max(pct) AS most FROM (SELECT 100.0 * count(*) FILTER (x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) / count(*) AS pct FROM v JOIN p USING (i) WHERE q3 > q1 GROUP BY i)),"
+    f" f AS (SELECT factor, {_BAND} AS score, weight FROM t UNION ALL SELECT 'churn', greatest(0.0, least(100.0, 100 - 2 * rate)), 0.15 FROM z UNION ALL SELECT 'anomalies', greatest(0.0, least(100.0, 100 - 10 * most)), 0.10 FROM a),"
+    " s AS (SELECT factor, CAST(score AS DOUBLE) AS score, CAST(weight / sum(weight) OVER () AS DOUBLE) AS weight FROM f)"
+    " SELECT factor, round(score, 2) AS score, round(round(weight, 4), 2) AS weight FROM s UNION ALL SELECT 'overall', round(sum(score * weight)), 1.0 FROM s"
+)
 def health_score(spark, sf_dir):
     h = insights.health(asked(spark, sf_dir))
     return spark.createDataFrame([("overall", float(h["score"]), 1.0), *((f["factor"], float(f["score"]), float(f["weight"])) for f in h["factors"])], "factor string, score double, weight double")

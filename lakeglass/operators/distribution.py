@@ -53,7 +53,8 @@ def box_stats(df: DataFrame, column: str, group: str | None = None, limit: int =
     key = label_of(quoted(group)) if group else F.lit("all")
     rows = df.select(key.alias("label"), number(df, column).alias("v")).where("v IS NOT NULL")
     if group:
-        rows = rows.join(F.broadcast(rows.select("label").distinct().orderBy("label").limit(limit)), "label")  # limit rows
+        first = [r["label"] for r in rows.select("label").distinct().orderBy("label").limit(limit + 1).collect()]
+        rows = rows.where(F.col("label").isin(first[:limit])) if len(first) > limit else rows
     q = quantiles(rows, ["label"], "v", (0.25, 0.5, 0.75), few=True).select("label", "q")
     low, high = fences(F.col("q")[0], F.col("q")[2], FENCE)
     inside = F.col("v").between(low, high)

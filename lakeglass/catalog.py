@@ -571,7 +571,7 @@ _BAND = "CASE WHEN c >= 20 THEN 100.0 WHEN c >= 5 THEN 80.0 WHEN c >= -5 THEN 60
 @query_of(
     f"WITH w AS (SELECT o_custkey, revenue, l_quantity, l_discount, o_orderdate, date_trunc('quarter', o_orderdate) AS b FROM {W}), q AS (SELECT b, count(*) AS n, sum(revenue) AS v, count(DISTINCT o_custkey) AS k FROM w GROUP BY b),"
     " t AS (SELECT 'order_trend' AS factor, 0.15 AS weight, (arg_max(n, b) - arg_min(n, b)) * 100.0 / arg_min(n, b) AS c FROM q UNION ALL SELECT 'revenue_trend', 0.25, (arg_max(v, b) - arg_min(v, b)) * 100.0 / arg_min(v, b) FROM q UNION ALL SELECT 'customer_trend', 0.15, (arg_max(k, b) - arg_min(k, b)) * 100.0 / arg_min(k, b) FROM q),"
-    " l AS (SELECT o_custkey, max(o_orderdate) AS at FROM w GROUP BY 1), z AS (SELECT 100.0 * count(*) FILTER (date_diff('second', at, (SELECT max(at) FROM l)) >= 90 * 86400) / count(*) AS rate FROM l),"
+    " l AS (SELECT o_custkey, max(o_orderdate) AS t FROM w GROUP BY 1), z AS (SELECT 100.0 * count(*) FILTER (date_diff('second', t, (SELECT max(t) FROM l)) >= 90 * 86400) / count(*) AS rate FROM l),"
     " v AS (SELECT 1 AS i, revenue AS x FROM w UNION ALL SELECT 2, l_quantity FROM w UNION ALL SELECT 3, l_discount FROM w), p AS (SELECT i, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM v GROUP BY i),"
     " a AS (SELECT max(pct) AS most FROM (SELECT 100.0 * count(*) FILTER (x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) / count(*) AS pct FROM v JOIN p USING (i) WHERE q3 > q1 GROUP BY i)),"
     f" f AS (SELECT factor, {_BAND} AS score, weight FROM t UNION ALL SELECT 'churn', greatest(0.0, least(100.0, 100 - 2 * rate)), 0.15 FROM z UNION ALL SELECT 'anomalies', greatest(0.0, least(100.0, 100 - 10 * most)), 0.10 FROM a),"
@@ -583,29 +583,34 @@ def health_score(spark, sf_dir):
     return spark.createDataFrame([("overall", float(h["score"]), 1.0), *((f["factor"], float(f["score"]), float(f["weight"])) for f in h["factors"])], "factor string, score double, weight double")
 
 
-_ASKED = f"(SELECT revenue, l_quantity AS quantity, l_discount AS discount, p_brand AS label, o_orderdate AS at FROM {W})"
+_ASKED = f"(SELECT revenue, l_quantity AS quantity, l_discount AS discount, p_brand AS label, o_orderdate AS day FROM {W})"
 _FAR = (
-    f"WITH a AS (SELECT * FROM {_ASKED}), l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS v, label, at FROM a" for c in ("revenue", "quantity", "discount")) + "),"
+    f"WITH a AS (SELECT * REPLACE (revenue * revenue * revenue / 1e9 AS revenue) FROM {_ASKED}), l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS v, label, day FROM a" for c in ("revenue", "quantity", "discount")) + "),"
     ' q AS (SELECT "column", count(*) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM l GROUP BY 1), f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q WHERE q3 > q1),'
     ' o AS (SELECT l.*, n, lo, hi, greatest(lo - v, v - hi) AS far FROM l JOIN f USING ("column") WHERE v < lo OR v > hi)'
 )
 
 
+def skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """asked() with a measure that has outliers."""
+    return asked(spark, sf_dir).withColumn("revenue", F.col("revenue") * F.col("revenue") * F.col("revenue") / 1e9)
+
+
 @query_of(f"""{_FAR}, g AS (SELECT "column", label, count(*) AS k, any_value(n) AS n, any_value(lo) AS lo, any_value(hi) AS hi FROM o GROUP BY 1, 2), r AS (SELECT *, sum(k) OVER (PARTITION BY "column") AS outliers, row_number() OVER (PARTITION BY "column" ORDER BY k DESC, label) AS rank FROM g)
 SELECT "column", n, CAST(outliers AS BIGINT) AS outliers, round(100.0 * outliers / n, 2) AS outlier_pct, round(lo, 2) AS lower_bound, round(hi, 2) AS upper_bound, rank, label, CAST(k AS DOUBLE) AS value, round(100.0 * k / outliers, 2) AS share_pct FROM r WHERE rank <= 3""")
 def anomaly_groups(spark, sf_dir):
     """The groups that most outliers of each measure are in."""
-    d = asked(spark, sf_dir)
+    d = skewed(spark, sf_dir)
     rows = [(a["column"], a["n"], a["outliers"], a["outlier_pct"], a["lower_bound"], a["upper_bound"], g["rank"], g["label"], g["value"], g["share_pct"]) for a in insights.anomalies(d, questions.semantic_model(d)) for g in a.get("groups", ())]
     return spark.createDataFrame(rows, "`column` string, n bigint, outliers bigint, outlier_pct double, lower_bound double, upper_bound double, rank bigint, label string, value double, share_pct double")
 
 
-@query_of(f"""{_FAR} SELECT "column", row_number() OVER (PARTITION BY "column" ORDER BY far DESC, v DESC, label, at) AS rank, round(v, 2) AS value, label, strftime(at, '%Y-%m-%d %H:%M:%S') AS at FROM o QUALIFY rank <= 5""")
+@query_of(f"""{_FAR} SELECT "column", row_number() OVER (PARTITION BY "column" ORDER BY far DESC, v DESC, label, day) AS rank, round(v, 2) AS value, label, strftime(day, '%Y-%m-%d %H:%M:%S') AS day FROM o QUALIFY rank <= 5""")
 def anomaly_examples(spark, sf_dir):
     """The five rows of each measure that lie farthest beyond its fences."""
-    d = asked(spark, sf_dir)
+    d = skewed(spark, sf_dir)
     rows = [(a["column"], k, x["value"], x["label"], x["date"]) for a in insights.anomalies(d, questions.semantic_model(d)) for k, x in enumerate(a.get("examples", ()), 1)]
-    return spark.createDataFrame(rows, "`column` string, rank bigint, value double, label string, at string")
+    return spark.createDataFrame(rows, "`column` string, rank bigint, value double, label string, day string")
 
 
 @query_of(" UNION ALL ".join(f"SELECT '{a}-{b}' AS roles, '{a}' AS left_column, '{b}' AS right_column, round(corr({a}, {b}), 4) AS r, count(*) AS n FROM {_ASKED}" for a, b in (("revenue", "discount"), ("revenue", "quantity"), ("quantity", "discount"))), 4)

@@ -411,4 +411,4 @@ def test_pipeline(spark, tmp_path, docs):
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids = [r.doc_id for r in rows]
     assert 15 not in ids and {0, 3, 6} <= set(ids) and len(ids) == len(set(ids)) + 1  # 15 holds the benchmark item; both rows of document 3 are one document
-    assert len(queries()) == 10
+    assert len(queries()) == 13

@@ -11,9 +11,20 @@ from ..plans.compile import kind_of, number, quoted
 from ..plans.requests import need
 from .timeseries import when_of
 
-# The least number of customers, and the segment names.
+# Fixed value: the least number of customers.
 LEAST_CUSTOMERS = 10
-SEGMENTS = ("Champions", "Loyal Customers", "Potential Loyalists", "New Customers", "Can't Lose Them", "At Risk", "Lost", "Hibernating", "Others")
+# Segments by scores from 1 to 5, the first that fits. (least, most) of recency, frequency and monetary score.
+SEGMENTS = (
+    ("Champions", (4, 5), (4, 5), (4, 5)),
+    ("Loyal Customers", (3, 5), (4, 5), (1, 5)),
+    ("Potential Loyalists", (4, 5), (1, 3), (3, 5)),
+    ("New Customers", (4, 5), (1, 2), (1, 5)),
+    ("Can't Lose Them", (1, 2), (4, 5), (4, 5)),
+    ("At Risk", (1, 3), (3, 5), (1, 5)),
+    ("Lost", (1, 2), (1, 2), (1, 2)),
+    ("Hibernating", (1, 3), (1, 5), (1, 5)),
+)
+OTHER_SEGMENT = "Others"
 
 
 def _customers(df: DataFrame, customer: str, date: str, amount: str | None) -> DataFrame:
@@ -23,21 +34,12 @@ def _customers(df: DataFrame, customer: str, date: str, amount: str | None) -> D
 
 
 def rfm_segment(r: Column, f: Column, m: Column) -> Column:
-    """The segment by scores from 1 to 5, the first rule that holds."""
-    rules = (
-        (r >= 4) & (f >= 4) & (m >= 4),
-        (r >= 3) & (f >= 4),
-        (r >= 4) & (f <= 3) & (m >= 3),
-        (r >= 4) & (f <= 2),
-        (r <= 2) & (f >= 4) & (m >= 4),
-        (r <= 3) & (f >= 3),
-        (r <= 2) & (f <= 2) & (m <= 2),
-        r <= 3,
-    )
-    out = F.when(rules[0], SEGMENTS[0])
-    for rule, name in zip(rules[1:], SEGMENTS[1:-1], strict=True):
-        out = out.when(rule, name)
-    return out.otherwise(SEGMENTS[-1])
+    """The segment by scores from 1 to 5, the first that fits."""
+    out = F.lit(OTHER_SEGMENT)
+    for name, *bounds in reversed(SEGMENTS):
+        fits = [score.between(*ends) for score, ends in zip((r, f, m), bounds, strict=True)]
+        out = F.when(fits[0] & fits[1] & fits[2], name).otherwise(out)
+    return out
 
 
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ..plans.compile import apply_filters, merge_filters
-from ..plans.requests import FilterSet, Kpi, Metric, Plan, Query, RequestError, need
+from ..plans.requests import Aggregate, Binary, FilterSet, Kpi, Metric, Plan, Query, RequestError, need
 from ..sources.storage import write_xlsx
 from . import charts, customers, distribution, forecast, insights, profile, query, questions, ranking, segmentation, timeseries
 
@@ -83,7 +83,8 @@ def resolve(df: DataFrame, widget: Widget, model: questions.Model, shared: Share
     if widget.kind == "text":
         return c.get("text", "")
     if widget.kind == "kpi":
-        kpi = Kpi(widget.title, Metric(c.get("metric", "count"), c.get("column")), group_by=c.get("group_by"))
+        over = [Metric(*m) for m in c.get("ratio", ())]
+        kpi = Kpi(widget.title, formula=Binary("/", *over)) if over else Kpi(widget.title, Metric(c.get("metric", "count"), c.get("column")), group_by=c.get("group_by"))
         return rows_of(query.kpi_groups(df, kpi) if kpi.group_by else query.kpis(df, [kpi]))
     if widget.kind == "chart":
         if c.get("period"):
@@ -91,7 +92,7 @@ def resolve(df: DataFrame, widget: Widget, model: questions.Model, shared: Share
             return rows_of(timeseries.time_series(df, c["x"], c["period"], Metric(name, c.get("y"))).orderBy("bucket"), 500)
         return rows_of(charts.chart(df, c.get("chart", "bar"), c.get("x"), c.get("y"), c.get("function", "sum"), c.get("group"), limit=c.get("limit", 20), order=c.get("order")), 2000)
     if widget.kind == "table":
-        return rows_of(query.run_query(df, Query(columns=tuple(c.get("columns", ())), sort_by=c.get("sort_by"), sort_desc=c.get("sort_desc", False), limit=c.get("limit", TABLE_ROWS))))
+        return rows_of(query.run_query(df, Query(columns=tuple(c.get("columns", ())), group_by=tuple(c.get("group_by", ())), aggregations=tuple(Aggregate(*a) for a in c.get("aggregations", ())), sort_by=c.get("sort_by"), sort_desc=c.get("sort_desc", False), limit=c.get("limit", TABLE_ROWS))))
     if widget.kind == "question":
         plan = c.get("plan")
         if isinstance(plan, Plan):
@@ -101,7 +102,7 @@ def resolve(df: DataFrame, widget: Widget, model: questions.Model, shared: Share
         return rows_of(found)
     if widget.kind in ("insight", "recommendation"):
         report = shared.report(df, model)
-        return report.recommendations if widget.kind == "recommendation" else [f.__dict__ for f in report.findings[: c.get("limit", 5)]]
+        return report.recommendations if widget.kind == "recommendation" else [f.__dict__ for f in report.findings if not c.get("severities") or f.severity in c["severities"]][: c.get("limit", 5)]
     return _advanced(df, c, model)
 
 
@@ -120,23 +121,47 @@ def refresh(df: DataFrame, widgets: list[Widget], filters: FilterSet | None = No
         rows.unpersist()
 
 
+#: Ready-made dashboards: names of BLOCKS in the order they are shown.
+DASHBOARDS = {
+    "sales": ("records", "total", "average", "orders", "units", "trend", "by_product", "by_region", "top_products", "pareto", "forecast", "recommendations"),
+    "customer": ("records", "customers", "total", "per_customer", "rfm", "churn", "cohorts", "segmentation", "opportunities"),
+    "executive": ("records", "total", "orders", "customers", "trend", "by_region", "findings", "risks", "opportunities", "recommendations"),
+}
+#: What a dashboard is made of: the roles a widget needs, its kind, and its title and configuration by the columns of these roles.
+BLOCKS: dict[str, tuple[tuple[str, ...], str, Callable[..., tuple[str, dict[str, Any]]]]] = {
+    "records": ((), "kpi", lambda: ("Records", {"metric": "count"})),
+    "total": (("revenue",), "kpi", lambda v: (f"Total {v}", {"metric": "sum", "column": v})),
+    "average": (("revenue",), "kpi", lambda v: (f"Average {v}", {"metric": "average", "column": v})),
+    "orders": (("order",), "kpi", lambda o: ("Orders", {"metric": "distinct_count", "column": o})),
+    "customers": (("customer",), "kpi", lambda c: ("Customers", {"metric": "distinct_count", "column": c})),
+    "units": (("quantity",), "kpi", lambda q: (f"Total {q}", {"metric": "sum", "column": q})),
+    "per_customer": (("revenue", "customer"), "kpi", lambda v, c: (f"{v} for each customer", {"ratio": (("sum", v), ("distinct_count", c))})),
+    "trend": (("date", "revenue"), "chart", lambda d, v: (f"{v} by month", {"x": d, "y": v, "period": "month"})),
+    "by_product": (("product", "revenue"), "chart", lambda g, v: (f"{v} by {g}", {"chart": "bar", "x": g, "y": v})),
+    "by_region": (("region", "revenue"), "chart", lambda g, v: (f"{v} by {g}", {"chart": "bar", "x": g, "y": v})),
+    "top_products": (("product", "revenue"), "table", lambda g, v: (f"First ten {g}", {"group_by": [g], "aggregations": [("sum", v)], "sort_by": f"sum_{v}", "sort_desc": True, "limit": 10})),
+    "rfm": (("customer", "date", "revenue"), "advanced", lambda *_: ("RFM", {"analysis": "rfm"})),
+    "churn": (("customer", "date"), "advanced", lambda *_: ("Churn", {"analysis": "churn"})),
+    "cohorts": (("customer", "date"), "advanced", lambda *_: ("Retention", {"analysis": "cohort"})),
+    "forecast": (("date", "revenue"), "advanced", lambda *_: ("Forecast", {"analysis": "forecast"})),
+    "pareto": (("product", "revenue"), "advanced", lambda *_: ("Pareto", {"analysis": "pareto"})),
+    "segmentation": (("customer", "revenue", "quantity"), "advanced", lambda c, v, q: ("Segments", {"analysis": "segmentation", "columns": [v, q], "entity": c})),
+    "findings": ((), "insight", lambda: ("Findings", {})),
+    "risks": ((), "insight", lambda: ("Risks", {"severities": ("critical", "high"), "limit": 5})),
+    "opportunities": ((), "insight", lambda: ("Opportunities", {"severities": ("low", "info"), "limit": 5})),
+    "recommendations": ((), "recommendation", lambda: ("Recommendations", {})),
+}
+
+
 def dashboard_template(name: str, model: questions.Model) -> list[Widget]:
     """Widgets of a ready-made dashboard, without those that the frame's roles do not allow."""
-    value, date, product, region, customer = (model.get(r) for r in ("revenue", "date", "product", "region", "customer"))
-    out = [Widget("kpi", "Records", {"metric": "count"})]
-    if value:
-        out += [Widget("kpi", f"Total {value}", {"metric": "sum", "column": value})]
-        if date:
-            out.append(Widget("chart", f"{value} by month", {"x": date, "y": value, "period": "month"}))
-    groups = {"sales": (product, region), "customer": (), "executive": (region,)}
-    need(name in groups, f"unknown template {name!r}")
-    out += [Widget("chart", f"{value} by {g}", {"chart": "bar", "x": g, "y": value}) for g in groups[name] if g and value]
-    if name == "customer" and customer and date:
-        out.append(Widget("advanced", "Churn", {"analysis": "churn"}))
-        if value:
-            out.append(Widget("advanced", "RFM", {"analysis": "rfm"}))
-    if name == "executive":
-        out += [Widget("insight", "Findings"), Widget("recommendation", "Recommendations")]
+    need(name in DASHBOARDS, f"unknown template {name!r}")
+    out = []
+    for block in DASHBOARDS[name]:
+        roles, kind, make = BLOCKS[block]
+        columns = [model.get(r) for r in roles]
+        if None not in columns:
+            out.append(Widget(kind, *make(*columns)))
     return out
 
 

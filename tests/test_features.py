@@ -244,3 +244,20 @@ def test_suggestions_labels_and_segments(spark, declining):
     assert segments["product"]["note"] and segments["product"]["top"][0]["label"] == "Electronics" and segments["region"]["note"] is None
     plain = insights.segments_overview(declining.select("category"), questions.Model([{"column": "category", "measure": False, "identifier": False, "categorical": True, "temporal": False}]))
     assert plain["product"]["metric"] == "count" and plain["product"]["class_a"] is None and round(plain["product"]["total"]) == 900
+
+
+def test_dashboards(declining):
+    model = questions.semantic_model(declining.withColumn("quantity", F.col("order_id") % 5 + 1))
+    rows = declining.withColumn("quantity", F.col("order_id") % 5 + 1)
+    for name, most in (("sales", 12), ("customer", 9), ("executive", 10)):
+        widgets = reports.dashboard_template(name, model)
+        assert len(widgets) == most
+        shown = reports.refresh(rows, widgets)
+        assert [w["title"] for w in shown if "error" in w] == []
+        if name == "sales":
+            assert [r["category"] for r in next(w["data"] for w in shown if w["kind"] == "table")][0] == "Electronics"
+        if name == "executive":
+            assert {f["severity"] for w in shown if w["title"] == "Risks" for f in w["data"]} <= {"critical", "high"}
+    assert [w.title for w in reports.dashboard_template("customer", questions.Model([]))] == ["Records", "Opportunities"]
+    with pytest.raises(RequestError):
+        reports.dashboard_template("nope", model)

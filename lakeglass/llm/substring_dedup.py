@@ -50,6 +50,8 @@ MOST, CROWD = 4, 4096
 ORDERED = 4000
 
 MANY = np.uint32(0xFFFFFFFF)
+#: Added to an answer where a smaller document has the phrase, and what stands for that document.
+SMALLER, LEAST = 4, np.iinfo(np.int64).min
 PLACE = np.uint64((1 << PLACE_BITS) - 1)
 PRIME = 0x9E3779B97F4A7C15 | 1
 STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -220,36 +222,43 @@ def _by(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(group[places[0]]), places
 
 
-def _sender(buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _sent(blocks: Iterable[Phrases], ids: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What a slice sends: trigger, phrase (MANY for a trigger with more than MOST), document, and whether it is the smallest that has it here.
+
+    It depends on the slice's documents alone, so that a slice can work out again what it has sent, in which order.
+    """
+    found = [(p.gram[k], (p.body[k] & np.uint64(0xFFFFFFFF)).astype(np.uint32), ids[p.row[k]]) for p in blocks for k in [ok[p.row]]]
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool)
+    gram, body, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((doc, body, gram))
+    gram, body, doc = gram[order], body[order], doc[order]
+    if not len(gram):
+        return gram, body, doc, np.zeros(0, bool)
+    new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (body[1:] != body[:-1])])
+    start = np.flatnonzero(new)
+    g, b, lo, hi = gram[start], body[start], doc[start], doc[np.append(start[1:], len(doc)) - 1]
+    groups = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    sizes = np.diff(np.append(groups, len(g)))
+    many = np.repeat(sizes > MOST, sizes)
+    crowd = groups[sizes > MOST]
+    least, most = np.minimum.reduceat(lo, groups)[sizes > MOST], np.maximum.reduceat(hi, groups)[sizes > MOST]
+    twice = ~many & (hi > lo)
+    mark = np.full(len(crowd), MANY)
+    own = np.concatenate([np.ones((~many).sum(), bool), np.zeros(twice.sum(), bool), np.ones(len(crowd), bool), np.zeros(len(crowd), bool)])
+    return np.concatenate([g[~many], g[twice], g[crowd], g[crowd]]), np.concatenate([b[~many], b[twice], mark, mark]), np.concatenate([lo[~many], hi[twice], least, most]), own
+
+
+def _sender(buckets: int) -> Callable[[pa.Table], pa.Table]:
     """Step 2: the distinct phrases of a slice, by trigger bucket, with the smallest document (and the largest, if another)."""
 
-    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slices = batch.column(0).to_numpy()
-            for number, rows in _by(slices):
-                part = batch.take(pa.array(rows))
-                data, offsets = _flat(part.column(2))
-                ids, ok = _ids(part.column(1))
-                found = [(p.gram[k], (p.body[k] & np.uint64(0xFFFFFFFF)).astype(np.uint32), ids[p.row[k]]) for p in parse(data, offsets) for k in [ok[p.row]]]
-                if not found:
-                    continue
-                gram, body, doc = (np.concatenate(x) for x in zip(*found, strict=True))
-                order = np.lexsort((doc, body, gram))
-                gram, body, doc = gram[order], body[order], doc[order]
-                new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (body[1:] != body[:-1])])
-                start = np.flatnonzero(new)
-                g, b, lo, hi = gram[start], body[start], doc[start], doc[np.append(start[1:], len(doc)) - 1]
-                groups = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-                sizes = np.diff(np.append(groups, len(g)))
-                many = np.repeat(sizes > MOST, sizes)
-                crowd = groups[sizes > MOST]
-                least, most = np.minimum.reduceat(lo, groups)[sizes > MOST], np.maximum.reduceat(hi, groups)[sizes > MOST]
-                twice = ~many & (hi > lo)
-                mark = np.full(len(crowd), MANY)
-                g2, b2, d2 = np.concatenate([g[~many], g[twice], g[crowd], g[crowd]]), np.concatenate([b[~many], b[twice], mark, mark]), np.concatenate([lo[~many], hi[twice], least, most])
-                cells = [(k, (g2[at] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), b2[at].astype("<u4").tobytes(), _pack(d2[at])) for k, at in _by(_bucket(g2, buckets))]
-                k, x, y, z = zip(*cells, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array([number] * len(k), pa.int64()), pa.array(x, pa.binary()), pa.array(y, pa.binary()), pa.array(z, pa.binary())], names=["bucket", "slice", "g", "b", "doc"])
+    def send(texts: pa.Table) -> pa.Table:
+        data, offsets = _flat(texts.column("data"))
+        g, b, doc, _ = _sent(parse(data, offsets), *_ids(texts.column("doc_id")))
+        number = texts.column("slice")[0].as_py()
+        cells = [(k, number, (g[at] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), b[at].astype("<u4").tobytes(), _pack(doc[at])) for k, at in _by(_bucket(g, buckets))] if len(g) else []
+        columns = list(zip(*cells, strict=True)) or [()] * 5
+        return pa.table([pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "slice", "g", "b", "doc"])
 
     return send
 
@@ -264,34 +273,30 @@ def _unpack(packed: bytes, n: int) -> np.ndarray:
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """For each slice, its phrases whose trigger two documents share: smallest document, and 0 settled, 1 in doubt, 2 split."""
+    """For each slice a byte for each phrase it sent, in that order: 0 if no two documents share its trigger, else 1 settled, 2 in doubt, 3 split, and SMALLER more if a smaller document has the phrase.
+
+    Neither keys nor documents go back. Where all of a corpus is repeated, they would outweigh the texts.
+    """
     packed_g = table.column("g").to_pylist()
     sizes = np.array([len(x) // 4 for x in packed_g], np.int64)
     g, b = np.frombuffer(b"".join(packed_g), "<u4"), _join(table.column("b"), "<u4")
     doc = np.concatenate([_unpack(x, n) for x, n in zip(table.column("doc").to_pylist(), sizes.tolist(), strict=True)])
-    bucket = table.column("bucket")[0].as_py()
-    owner = np.repeat(table.column("slice").to_numpy(), sizes)
     order = np.lexsort((doc, b, g))
-    g, b, doc, owner = g[order], b[order], doc[order], owner[order]
+    g, b, doc = g[order], b[order], doc[order]
     groups = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
     count = np.diff(np.append(groups, len(g)))
     shared = np.minimum.reduceat(doc, groups) < np.maximum.reduceat(doc, groups)
     phrases = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (b[1:] != b[:-1])]))
-    in_phrase = np.diff(np.append(phrases, len(g)))
     of_group = np.repeat(np.arange(len(groups)), count)
     distinct = np.bincount(of_group[phrases], minlength=len(groups))
     split = (np.maximum.reduceat(b, groups) == MANY) | (count > CROWD)
-    flag = np.where(split, 2, np.where(distinct > 1, 1, 0)).astype(np.uint8)[of_group]
-    least = np.repeat(doc[phrases], in_phrase)
-    keep = shared[of_group]
-    g, b, least, flag, owner = g[keep], np.where(flag == 2, MANY, b)[keep], least[keep], flag[keep], owner[keep]
-    key = (g.astype(np.uint64) << np.uint64(32)) + b.astype(np.uint64) + np.array(bucket, np.uint64) * STEP
-    rows = []
-    for number, at in _by(owner):
-        _, first = np.unique(key[at], return_index=True)
-        at = at[first]
-        rows.append((number, 0, key[at].astype("<u8").tobytes(), least[at].astype("<i8").tobytes(), flag[at].tobytes()))
-    return _answers(rows)
+    least = np.repeat(doc[phrases], np.diff(np.append(phrases, len(g))))
+    told = np.where(split, 3, np.where(distinct > 1, 2, 1))[of_group] + SMALLER * (least < doc)
+    codes = np.empty(len(g), np.uint8)
+    codes[order] = np.where(shared[of_group], told, 0)
+    key = np.asarray(table.column("bucket")[0].as_py(), "<i4").tobytes()
+    ends = np.cumsum(sizes)
+    return _answers([(number, 0, key, b"", codes[end - n : end].tobytes()) for number, n, end in zip(table.column("slice").to_pylist(), sizes.tolist(), ends.tolist(), strict=True)])
 
 
 _ANSWER = "slice bigint, kind int, key binary, value binary, flag binary"
@@ -323,14 +328,29 @@ class _Slice:
         self.data, self.offsets = _flat(texts.column("data"))
         self.ids, self.ok = _ids(texts.column("doc_id"))
         self.buckets = buckets
+        self.blocks = list(parse(self.data, self.offsets)) if len(answers) else []
         kind = answers.column("kind").to_numpy() if len(answers) else np.zeros(0, np.int32)
         told, ordered = (answers.filter(pa.array(kind == k)) for k in (0, 1))
-        self.told = _Lookup(_join(told.column("key"), "<u8"), _join(told.column("value"), "<i8"), _join(told.column("flag"), np.uint8))
+        self.told = self._told(told)
         self.ordered = _Lookup(_join(ordered.column("key"), "<u8"), _join(ordered.column("value"), "<i8"))
 
+    def _told(self, told: pa.Table) -> _Lookup:
+        """By phrase: the smallest document known to have it (LEAST if that is in another slice), and 0 settled, 1 in doubt, 2 split."""
+        g, b, doc, own = _sent(self.blocks, self.ids, self.ok)
+        code = np.zeros(len(g), np.int64)
+        codes = {int(np.frombuffer(k, "<i4")[0]): np.frombuffer(c, np.uint8) for k, c in zip(told.column("key").to_pylist(), told.column("flag").to_pylist(), strict=True)}
+        for bucket, at in _by(_bucket(g, self.buckets)) if codes else ():
+            code[at] = codes[bucket]
+        # of a phrase sent twice, the smaller document tells
+        keep = own & (code > 0)
+        g, b, doc, code = g[keep], b[keep], doc[keep], code[keep]
+        smaller, flag = code >= SMALLER, code % SMALLER - 1
+        key = _key(g, np.where(flag == 2, MANY, b).astype(np.uint64), self.buckets)
+        return _Lookup(key, np.where(smaller, LEAST, doc), flag.astype(np.uint8))
+
     def phrases(self) -> Iterator[tuple[Phrases, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Blocks of phrases with: document, key, smallest document of the phrase, and -1 unshared, else the answer's flag."""
-        for p in parse(self.data, self.offsets):
+        for p in self.blocks:
             doc = self.ids[p.row]
             key = _key(p.gram, p.body, self.buckets)
             known, at = self.told.find(key)
@@ -487,9 +507,9 @@ def substring_dedup(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     slices, buckets, files = (max(1, -(-size // x)) for x in (SLICE_BYTES, BUCKET_BYTES, FILE_BYTES))
     dealt = slim.withColumn("slice", F.pmod(F.xxhash64("doc_id", "data"), F.lit(slices)).cast("long")).select("slice", "doc_id", "data")
     texts = _bucketed(dealt, files, "slice")
-    sent = texts.mapInArrow(_sender(buckets), "bucket int, slice bigint, g binary, b binary, doc binary")
+    sent = texts.groupBy("slice").applyInArrow(_sender(buckets), "bucket int, slice bigint, g binary, b binary, doc binary")
     answers = durable(sent.groupBy("bucket").applyInArrow(_answer, _ANSWER))
     doubts = texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_doubts(buckets), _DOUBT)
-    ordered = durable(durable(doubts).groupBy("bucket").applyInArrow(_orders, _ANSWER))
+    ordered = durable(doubts.groupBy("bucket").applyInArrow(_orders, _ANSWER))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,stop:bigint>>, kept_sha256 string" + (", kept binary" if keep_text else "")
     return texts.groupBy("slice").cogroup(answers.unionByName(ordered).groupBy("slice")).applyInArrow(_remover(buckets, keep_text, pa.int64()), schema)

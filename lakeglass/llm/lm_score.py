@@ -42,6 +42,8 @@ RATE, SHARD_WINDOWS, ROUNDS = 32, 8000, 2
 BUCKET_WORDS = 1_000_000
 #: Documents go into a batch row until their texts have this many bytes.
 BATCH_BYTES = 6 << 20
+#: Batch rows in a file.
+FILE_BATCHES = 4
 #: Words that a worker remembers.
 REMEMBERED = 300_000
 END, OTHER, PIECE_BYTES = 0, 1, 10
@@ -368,7 +370,7 @@ def lm_scores(docs: DataFrame, rank_path: str, modulus: int = 7, left_out: int =
                 at = stop
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    packed = durable(marked.select("doc_id", "held_out", "text").mapInArrow(pack, f"batch bigint, doc_id array<{kind}>, held_out array<boolean>, sizes array<int>, places array<int>, scores array<double>, h array<bigint>, cls array<tinyint>, seen array<int>"))
+    packed = durable(marked.select("doc_id", "held_out", "text").mapInArrow(pack, f"batch bigint, doc_id array<{kind}>, held_out array<boolean>, sizes array<int>, places array<int>, scores array<double>, h array<bigint>, cls array<tinyint>, seen array<int>"), FILE_BATCHES)
     in_all = packed.agg(F.sum(F.size("h"))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, in_all / BUCKET_WORDS)))))
     slices = packed.select("batch", "h", "cls", "seen").mapInArrow(_slices(bits), "batch bigint, bucket bigint, h array<bigint>, cls array<tinyint>, seen array<int>").where(F.size("h") > 0)

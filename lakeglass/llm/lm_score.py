@@ -8,9 +8,9 @@ token within the class: P(token | before) = P(class | before) * (c + 1) / (sum o
 - P(class | before) comes from one causal attention block over the words before, each embedded as the sum of its subwords' vectors,
   over the square root of their number. Texts are cut into windows of CONTEXT places that overlap by OVERLAP; a window scores the
   places that the one before it has not, so every token is scored once, windows in batches under a causal mask.
-- The network is fitted on 1 in RATE of the windows of every document that may be learned from, by a hash of document and window, at
-  every size of the corpus alike. It starts from the classes' shares. Shards train from common weights by Adam, and the weights are
-  averaged, ROUNDS times.
+- The network is fitted on every token of every document that may be learned from. It starts from the classes' shares. Documents are dealt by
+  a hash to ROUNDS rounds, and within one to shards of some SHARD_BYTES. The shards of a round train from common weights by Adam, once over their
+  windows, and the weights are averaged by the shards' tokens.
 - The counts c cover all documents that may be learned from. Each batch of documents is turned into one row: its distinct
   words' hashes in order and, by document, places in that list. The hashes are dealt to buckets by their leading bits, a slice of a batch
   being one row; a bucket adds up and sends each slice its counts back. A word that every document has is one number in a slice of each batch, so no
@@ -23,6 +23,7 @@ rows give repeated results and count each time, and rows with a null doc_id are
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ from .byte_bpe import load_ranks
 from .common import crc, durable
 
 DIM, CONTEXT, OVERLAP, CLASSES, BUCKETS = 16, 32, 8, 64, 8192
-RATE, SHARD_WINDOWS, ROUNDS = 32, 8000, 2
+SHARD_BYTES, ROUNDS, WEIGHTS_ROW = 16 << 20, 2, 4096
 #: Hashes of a bucket of the count.
 BUCKET_WORDS = 1_000_000
 #: Documents go into a batch row until their texts have this many bytes.
@@ -75,7 +76,8 @@ MASK = np.triu(np.full((CONTEXT, CONTEXT), -1e9, np.float32), 1)
 
 def forward(x: np.ndarray, par: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
     """Class logits after each place of windows x (windows, CONTEXT, DIM), under the causal mask."""
-    q, k, v = x @ par["q"], x @ par["k"], x @ par["v"]
+    flat = lambda z, w: (z.reshape(-1, z.shape[-1]) @ w).reshape(*z.shape[:-1], w.shape[1])  # noqa: E731  one product, not one for each window
+    q, k, v = (flat(x, par[n]) for n in ("q", "k", "v"))
     s = q @ k.transpose(0, 2, 1)
     s *= np.float32(1 / np.sqrt(DIM))
     np.minimum(s, 60, out=s)  # far above any fitted score; exp() of it is finite
@@ -83,8 +85,8 @@ def forward(x: np.ndarray, par: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]
     np.exp(s, out=s)
     s /= s.sum(2, keepdims=True)
     a = x + s @ v
-    h = np.tanh(a @ par["hid"])
-    return h @ par["out"] + par["bias"], h, a, s, q, k, v
+    h = np.tanh(flat(a, par["hid"]))
+    return flat(h, par["out"]) + par["bias"], h, a, s, q, k, v
 
 
 def cut(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,59 +104,6 @@ def embed(pieces: list[list[int]], par: dict[str, np.ndarray]) -> tuple[np.ndarr
     return (total * scale[:, None]).astype(np.float32), flat, np.repeat(np.arange(len(pieces)), sizes), scale
 
 
-def train_shard(windows: list[tuple[list[list[int]], list[int], bool, bool]], par: dict[str, np.ndarray], rate: float, batch: int = 16) -> dict[str, np.ndarray]:
-    """Adam over a shard's windows, once. A window: its words' subwords and classes, whether it begins its text (if not, the first
-    word is only read) and whether the end follows."""
-    par = {k: a.copy() for k, a in par.items()}
-    m, v2, t = {k: np.zeros_like(a) for k, a in par.items()}, {k: np.zeros_like(a) for k, a in par.items()}, 0
-    rng = np.random.default_rng(3)
-    scale = np.float32(1 / np.sqrt(DIM))
-    order = rng.permutation(len(windows))
-    for b in range(0, len(order), batch):
-        chosen = [windows[i] for i in order[b : b + batch]]
-        cls, gold = np.full((len(chosen), CONTEXT), -1), np.zeros((len(chosen), CONTEXT), np.int64)
-        real, word = np.zeros((len(chosen), CONTEXT), bool), np.full((len(chosen), CONTEXT), -1)
-        pieces: list[list[int]] = []
-        for i, (own, classes, first, last) in enumerate(chosen):
-            read = [-2, *classes] if first else classes
-            targets = [*(classes if first else classes[1:]), *([END] if last else [])][:CONTEXT]
-            n = len(targets)
-            cls[i, :n], gold[i, :n], real[i, :n] = read[:n], targets, True
-            word[i, int(first) : n] = len(pieces) + np.arange(n - int(first))
-            pieces += own[: n - int(first)]
-        x = np.where((cls >= 0)[..., None], par["cls"][cls], 0) + (cls == -2)[..., None] * par["start"] + par["pos"]
-        vectors, flat, owner, shrink = embed(pieces, par)
-        if pieces:
-            x = x + np.where((word >= 0)[..., None], vectors[word], 0)
-        x = x.astype(np.float32)
-        logits, h, a, s, q, k, v = forward(x, par)
-        prob = np.exp(logits - logits.max(2, keepdims=True))
-        prob /= prob.sum(2, keepdims=True)
-        np.put_along_axis(prob, gold[..., None], np.take_along_axis(prob, gold[..., None], 2) - 1, 2)
-        prob *= real[..., None] / max(1, real.sum())
-        g = {"out": np.einsum("ntd,ntc->dc", h, prob), "bias": prob.sum((0, 1))}
-        back = (prob @ par["out"].T) * (1 - h * h)
-        da = back @ par["hid"].T
-        g["hid"] = np.einsum("ntd,nte->de", a, back)
-        ds = da @ v.transpose(0, 2, 1)
-        ds = s * (ds - (ds * s).sum(2, keepdims=True)) * scale
-        dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ da
-        for name, d in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = np.einsum("ntd,nte->de", x, d)
-        dx = (da + dq @ par["q"].T + dk @ par["k"].T + dv @ par["v"].T).astype(np.float32)
-        g["pos"], g["start"] = dx.sum(0), dx[cls == -2].sum(0)
-        g["cls"], g["piece"] = np.zeros_like(par["cls"]), np.zeros_like(par["piece"])
-        np.add.at(g["cls"], cls[cls >= 0], dx[cls >= 0])
-        if pieces:
-            np.add.at(g["piece"], flat, (dx[word >= 0] * shrink[:, None])[owner])
-        t += 1
-        for name, d in g.items():
-            m[name] = 0.9 * m[name] + 0.1 * d
-            v2[name] = 0.99 * v2[name] + 0.01 * d * d
-            par[name] = (par[name] - rate * (m[name] / (1 - 0.9**t)) / (np.sqrt(v2[name] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
-    return par
-
-
 class _Places(dict):
     """Place of each word; a new word gets the next one and is noted."""
 
@@ -168,6 +117,98 @@ class _Places(dict):
         return place
 
 
+def lay_out(docs: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Documents in one row of places, each a start and then its words; first place, skipped places, document and end of every window."""
+    lengths = np.array([len(d) + 1 for d in docs])
+    begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    first, skip, whose = [], [], []
+    for i, (b, n) in enumerate(zip(begin, lengths, strict=True)):
+        s, k = cut(int(n))
+        first.append(s + b)
+        skip.append(k)
+        whose.append(np.full(len(s), i))
+    whose = np.concatenate(whose)
+    return lengths, begin, np.concatenate(first), np.concatenate(skip), whose, (begin + lengths)[whose]
+
+
+def _sums(rows: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by group (0 to n - 1)."""
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    if len(rows):
+        order = np.argsort(group, kind="stable")
+        found, starts = np.unique(group[order], return_index=True)
+        out[found] = np.add.reduceat(rows[order], starts, axis=0)
+    return out
+
+
+def train_shard(texts: list[bytes], ranks: dict[bytes, int], classes: dict[int, int], par: dict[str, np.ndarray], rate: float, batch: int = 128) -> tuple[dict[str, np.ndarray], int]:
+    """Adam over all windows of a shard's texts, once, each token a target once; and the number of tokens."""
+    place = _Places()
+    docs = []
+    for t in texts:
+        w = t.translate(LOWER).split()
+        docs.append(np.fromiter(map(place.__getitem__, w), np.int64, len(w)))
+    split = [subwords(w, ranks) for w in place.new]
+    word_cls = np.array([classes.get(ids[0], OTHER) for ids in split], np.int64)
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    pieces, at_piece = np.fromiter((j for i in split for j in i), np.int64, int(sizes.sum())) % BUCKETS, np.cumsum(sizes) - sizes
+    lengths, begin, first, skip, _, end = lay_out(docs)
+    word, gold = np.full(lengths.sum() + CONTEXT, -1), np.zeros(lengths.sum() + CONTEXT, np.int64)
+    for b, d in zip(begin, docs, strict=True):
+        word[b + 1 : b + 1 + len(d)] = d
+        gold[b : b + len(d)] = word_cls[d]
+        gold[b + len(d)] = END
+    starting = np.zeros(len(word), bool)
+    starting[begin] = True
+    par = {k: a.copy() for k, a in par.items()}
+    m, v2 = {k: np.zeros_like(a) for k, a in par.items()}, {k: np.zeros_like(a) for k, a in par.items()}
+    scale, wide = np.float32(1 / np.sqrt(DIM)), lambda z: z.reshape(-1, z.shape[-1])
+    order = np.random.default_rng(3).permutation(len(first))
+    steps = -(-len(order) // batch)
+    for t in range(1, steps + 1):
+        f = order[(t - 1) * batch : t * batch]
+        places = first[f][:, None] + np.arange(CONTEXT)
+        held = places < end[f][:, None]
+        real = held & (np.arange(CONTEXT) >= skip[f][:, None])
+        here, begins = np.where(held, word[places], -1), held & starting[places]
+        read = here >= 0
+        known, index = np.unique(here[read], return_inverse=True)
+        # the subwords of the batch's distinct words, one after another
+        n = sizes[known]
+        owner = np.repeat(np.arange(len(known)), n)
+        flat = pieces[np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at_piece[known], n)]
+        shrink = (1 / np.sqrt(n)).astype(np.float32)[:, None]
+        x = np.zeros((*here.shape, DIM), np.float32)
+        if len(known):
+            vectors = np.add.reduceat(par["piece"][flat], np.cumsum(n) - n, axis=0) * shrink + par["cls"][word_cls[known]]
+            x[read] = vectors[index]
+        x[begins] = par["start"]
+        x += par["pos"]
+        logits, h, a, s, q, k, v = forward(x, par)
+        prob = np.exp(logits - logits.max(2, keepdims=True))
+        prob /= prob.sum(2, keepdims=True)
+        wide(prob)[np.arange(here.size), gold[places].ravel()] -= 1
+        prob *= real[..., None] / np.float32(max(1, real.sum()))
+        back = (wide(prob) @ par["out"].T) * (1 - wide(h) ** 2)
+        da = (back @ par["hid"].T).reshape(x.shape)
+        g = {"out": wide(h).T @ wide(prob), "bias": prob.sum((0, 1)), "hid": wide(a).T @ back}
+        ds = da @ v.transpose(0, 2, 1)
+        ds = s * (ds - (ds * s).sum(2, keepdims=True)) * scale
+        dx = da.copy()
+        for name, d in (("q", ds @ k), ("k", ds.transpose(0, 2, 1) @ q), ("v", s.transpose(0, 2, 1) @ da)):
+            g[name] = wide(x).T @ wide(d)
+            dx += (wide(d) @ par[name].T).reshape(x.shape)
+        g["pos"], g["start"] = dx.sum(0), dx[begins].sum(0)
+        of_word = _sums(dx[read], index, len(known))
+        g["cls"], g["piece"] = _sums(of_word, word_cls[known], CLASSES), _sums((of_word * shrink)[owner], flat, BUCKETS)
+        step = rate * (1 - 0.8 * t / steps)
+        for name, d in g.items():
+            m[name] += 0.1 * (d - m[name])
+            v2[name] += 0.01 * (d * d - v2[name])
+            par[name] = (par[name] - step * (m[name] / (1 - 0.9**t)) / (np.sqrt(v2[name] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+    return par, int(lengths.sum())
+
+
 class Reader:
     """Turns words into hashes, classes and input vectors; remembers them by word."""
 
@@ -202,9 +243,7 @@ class Reader:
     def class_scores(self, docs: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each document's classes, end included."""
         par = self.par
-        # all places of all documents in one row: a start, then the words
-        lengths = np.array([len(d) + 1 for d in docs])
-        begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        lengths, begin, first, skip, whose, ends = lay_out(docs)
         x, y = np.empty((lengths.sum() + CONTEXT, DIM), np.float32), np.zeros(lengths.sum() + CONTEXT, np.int64)
         for b, d in zip(begin, docs, strict=True):
             x[b] = par["start"]
@@ -212,14 +251,6 @@ class Reader:
             y[b : b + len(d)] = self.cls[d]
             y[b + len(d)] = END
         x[lengths.sum() :] = 0
-        first, skip, whose = [], [], []
-        for i, (b, n) in enumerate(zip(begin, lengths, strict=True)):
-            s, k = cut(int(n))
-            first.append(s + b)
-            skip.append(k)
-            whose.append(np.full(len(s), i))
-        first, skip, whose = np.concatenate(first), np.concatenate(skip), np.concatenate(whose)
-        end = (begin + lengths)[whose]
         total = np.zeros(len(docs))
         for at in range(0, len(first), 256):
             f, k, o = first[at : at + 256], skip[at : at + 256], whose[at : at + 256]
@@ -227,7 +258,7 @@ class Reader:
             logits = forward(x[places] + par["pos"], par)[0]
             np.minimum(logits, 80, out=logits)  # tanh keeps them small
             gold = np.take_along_axis(logits, y[places][..., None], 2)[..., 0] - np.log(np.exp(logits).sum(2))
-            counted = (np.arange(CONTEXT) >= k[:, None]) & (places < end[at : at + 256, None])
+            counted = (np.arange(CONTEXT) >= k[:, None]) & (places < ends[at : at + 256, None])
             total += np.bincount(o, np.where(counted, gold, 0).sum(1), len(docs))
         return total / np.log(10)
 
@@ -236,66 +267,71 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def _trainer(shared: Broadcast, vocabulary: Broadcast, rate: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def train(frame: pd.DataFrame) -> pd.DataFrame:
-        par, classes = shared.value
-        windows = []
-        for row in frame.sort_values(["words", "first", "last"], kind="stable").itertuples():
-            own = [subwords(w, vocabulary.value) for w in row.words.split()]
-            windows.append((own, [classes.get(i[0], OTHER) for i in own], row.first, row.last))
-        new = train_shard(windows, par, rate)
-        return pd.DataFrame({"name": list(new), "w": [len(frame)] * len(new), "a": [x.astype(np.float64).ravel() for x in new.values()]})
+def _trainer(shared: Broadcast, rate: float) -> Callable[[tuple, pa.Table], pa.Table]:
+    """A shard's weights, end to end, as rows of WEIGHTS_ROW of them times the shard's tokens, with those tokens."""
+
+    def train(key: tuple, shard: pa.Table) -> pa.Table:
+        ranks, classes, par = shared.value
+        # in an order that no partitioning changes
+        texts = sorted((x or b"" for x in shard.column("text").cast(pa.binary()).to_pylist()), key=lambda x: xxhash.xxh64_intdigest(x, 77))
+        new, tokens = train_shard(texts, ranks, classes, par, rate)
+        flat = np.concatenate([new[k].ravel() for k in sorted(new)]).astype(np.float64) * tokens
+        rows = [flat[i : i + WEIGHTS_ROW] for i in range(0, len(flat), WEIGHTS_ROW)]
+        return pa.table({"shard": pa.array([key[0].as_py()] * len(rows), pa.int64()), "row": pa.array(range(len(rows)), pa.int32()), "tokens": pa.array([tokens] * len(rows), pa.int64()), "a": pa.array(rows, pa.list_(pa.float64()))})
 
     return train
 
 
-def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """words (read or scored in it), first, last of 1 in RATE windows of each document, and the window's shard as a hash."""
-    for batch in batches:
-        for at in range(0, len(batch), 2000):
-            part = batch.slice(at, 2000)
-            rows = []
-            for doc, text in zip(part.column(0).to_pylist(), _texts(part, 1), strict=True):
-                words, seed = text.translate(LOWER).split(), str(doc).encode()
-                starts, _ = cut(len(words) + 1)
-                for s in starts.tolist():
-                    pick = xxhash.xxh64_intdigest(b"%s %d" % (seed, s), 77)
-                    if pick % RATE == 0:
-                        rows.append((pick // RATE, b" ".join(words[max(0, s - 1) : s + CONTEXT]), s == 0, s + CONTEXT > len(words)))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.binary(), pa.bool_(), pa.bool_()), strict=True)], names=["pick", "words", "first", "last"])
+def _add_weights(key: tuple, rows: pa.Table) -> pa.Table:
+    """The mean of one row of weights over the shards."""
+    rows = rows.sort_by([("shard", "ascending")])
+    total = sum(x.values.to_numpy() for x in rows.column("a"))
+    return pa.table({"row": pa.array([key[0].as_py()], pa.int32()), "a": pa.array([total / sum(rows.column("tokens").to_pylist())], pa.list_(pa.float64()))})
 
 
 def _fit(learned: DataFrame, ranks: dict[bytes, int]) -> tuple[dict[int, int], dict[str, np.ndarray]]:
-    """Classes and weights from a share of the windows, in shards: only weights come to the driver."""
-    sample = durable(learned.select("doc_id", "text").mapInArrow(_windows, "pick bigint, words binary, first boolean, last boolean"))
-    shards = max(1, round(sample.count() / SHARD_WINDOWS))
-    vocabulary = sample.sparkSession.sparkContext.broadcast(ranks)
+    """Classes and weights from all documents, in shards: only counts and weights come to the driver."""
+    context = learned.sparkSession.sparkContext
+    vocabulary = context.broadcast(ranks)
 
     def first_pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece: dict[bytes, int] = {}
         for batch in batches:
-            words = [w for t in batch.column(0).to_pylist() for w in t.split()]
-            known, counts = np.unique(np.array(words, object), return_counts=True) if words else ([], [])
-            ids = [subwords(w, vocabulary.value, 1)[0] for w in known]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(list(counts), pa.int64())], names=["piece", "n"])
-
-    counts = durable(sample.select("words").mapInArrow(first_pieces, "piece int, n bigint").groupBy("piece").agg(F.sum("n").alias("n")))
+            for at in range(0, len(batch), 500):
+                counts: Counter[bytes] = Counter()
+                for t in _texts(batch.slice(at, 500), 0):
+                    counts.update(t.translate(LOWER).split())
+                if len(piece) > REMEMBERED:
+                    piece.clear()
+                found: Counter[int] = Counter()
+                for word, n in counts.items():
+                    if (p := piece.get(word)) is None:
+                        p = piece[word] = subwords(word, vocabulary.value, 1)[0]
+                    found[p] += n
+                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int32()), pa.array(found.values(), pa.int64())], names=["piece", "n"])
+
+    counts = durable(learned.select("text").mapInArrow(first_pieces, "piece int, n bigint").groupBy("piece").agg(F.sum("n").alias("n")))
     top = counts.orderBy(F.desc("n"), "piece").limit(CLASSES - 2).collect()
     classes = {r["piece"]: i + 2 for i, r in enumerate(top)}
     par = initial()
     # from the classes' shares, so that the network has only to learn what the words before say
+    rows, size = learned.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     seen = np.ones(CLASSES)
     seen[2 : 2 + len(top)] += [r["n"] for r in top]
     seen[OTHER] += (counts.agg(F.sum("n")).first()[0] or 0) - sum(r["n"] for r in top)
-    seen[END] += sample.where("last").count()
+    seen[END] += rows
     par["bias"] = np.log(seen / seen.sum()).astype(np.float32)
+    shards = max(1, round((size or 0) / ROUNDS / SHARD_BYTES))
+    dealt = learned.select("text", F.xxhash64(F.lit(77), "doc_id", "text").alias("hash"))
     for done in range(ROUNDS):
-        shared = sample.sparkSession.sparkContext.broadcast((par, classes))
-        trained = sample.groupBy(F.pmod("pick", F.lit(shards)).alias("shard")).applyInPandas(_trainer(shared, vocabulary, 0.005 / (1 + 2 * done)), "name string, w bigint, a array<double>")
-        # each shard's weights, added place by place
-        flat = trained.select("name", F.posexplode("a").alias("at", "x"), "w").groupBy("name", "at").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("x")).toPandas()
-        for name, part in flat.groupby("name"):
-            par[name] = part.sort_values("at")["x"].to_numpy(np.float32).reshape(par[name].shape)
+        shared = context.broadcast((ranks, classes, par))
+        mine = dealt.where(F.pmod("hash", F.lit(ROUNDS)) == done).select(F.pmod(F.floor(F.col("hash") / ROUNDS), F.lit(shards)).alias("shard"), "text")
+        trained = mine.groupBy("shard").applyInArrow(_trainer(shared, 0.01 / (1 + done)), "shard bigint, row int, tokens bigint, a array<double>")
+        got = sorted(trained.groupBy("row").applyInArrow(_add_weights, "row int, a array<double>").collect(), key=lambda r: r["row"])
+        if got:
+            flat, at = np.concatenate([r["a"] for r in got]).astype(np.float32), 0
+            for k in sorted(par):
+                par[k], at = flat[at : at + par[k].size].reshape(par[k].shape), at + par[k].size
     return classes, par
 
 

@@ -16,6 +16,8 @@ from ..plans.compile import kind_of, number, quoted
 from ..plans.requests import need
 
 SEED = 42
+#: Rows of a partition that k-means keeps: every pass of it reads them from one task's memory.
+KEPT_ROWS = 1_000_000
 
 
 def features(df: DataFrame, columns: list[str], entity: str | None = None) -> tuple[DataFrame, list[str]]:
@@ -37,7 +39,8 @@ def clusters(df: DataFrame, columns: list[str], k: int = 4, entity: str | None =
     need(2 <= k <= 10, "2 to 10 clusters")
     rows, used = features(df, columns, entity)
     vectors = VectorAssembler(inputCols=[f"z{i}" for i in range(len(used))], outputCol="features").transform(rows)
-    model = KMeans(k=k, seed=SEED, maxIter=100).fit(vectors)
+    held, parts = vectors.select("features"), -(-vectors.count() // KEPT_ROWS)
+    model = KMeans(k=k, seed=SEED, maxIter=100).fit(held.repartition(parts) if parts > held.rdd.getNumPartitions() else held)
     placed = model.transform(vectors)
     # k rows
     names = placed.groupBy("prediction").count().withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("count"), "prediction"))).select("prediction", "cluster")

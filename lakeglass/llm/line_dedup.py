@@ -14,7 +14,8 @@
 A block that more than CROWD classes share is not paired out. All are verified against its smallest member; those that are
 similar hang together by it. What is left meets the others again under two blocks, and where these are crowded too under three; as
 candidates share three blocks, no pair is lost. Only lines that share three blocks with a crowd, and are not like its smallest
-member, are held against all of it.
+member, are held against all of it: after LEADERS more leaders, and only
+against lines that nothing links them to yet and that lengths and parities (of words, or pairs of characters) allow to be similar.
 
 Defined results: a null text stays null, an empty one empty. A removed line goes with its newline. Rows without a doc_id stay as they
 are, and their lines count for nothing. Rows of one doc_id and one text are copies of one document: what goes from one goes from all, and none is a
@@ -35,6 +36,10 @@ SIMILARITY, BLOCKS, VOTES, SHARED, CROWD = 0.8, 8, 3, 3, 12
 SHORT, LONG = 24, 100
 #: Letters from which a word is a feature by itself.
 WORD = 4
+#: First hashes of the groups that features are dealt to.
+EDGES = [-(1 << 63) + (1 << 64) * j // BLOCKS for j in range(BLOCKS)]
+#: Numbers of 64 bits in a parity; leaders that the last level of crowds tries before all are compared.
+PARITY, LEADERS = 4, 2
 BANDS = (4, 16, 64, 250, 1000, 4000, 16000)
 #: Documents with candidates up to this number are broadcast (by id and hash).
 BROADCAST_IDS = 200_000
@@ -46,43 +51,37 @@ def normal_lines(text: Column) -> Column:
     return F.split(plain, "\n")
 
 
-def _features(norm: Column, short: bool) -> Column:
-    """Hashes of a line's features."""
-    pairs = lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.xxhash64(F.substring(s, i, F.lit(2))))
-    words = lambda w: F.transform(w, lambda x, i: F.when(F.length(x) >= WORD, F.xxhash64(x)).otherwise(F.xxhash64(x, F.get(w, i + 1))))
-    return let(F.concat(F.lit(" "), norm, F.lit(" ")), pairs) if short else let(F.split(norm, " "), words)
+def _votes(own: str, short: bool) -> list[Column]:
+    """The blocks of a line as keys; null for an empty block. own: column of its features' hashes, sorted, with EDGES, whose places are own0, own1, ..."""
 
+    def vote(j: int) -> Column:
+        at, n = F.col(f"{own}{j}"), F.col(f"{own}{j + 1}") - F.col(f"{own}{j}") - 1
+        # of two hashes those bits that both have, of one its own: the majority with a 0 or itself
+        a, b, c = F.get(own, at), F.get(own, F.when(n < 2, at).otherwise(at + 1)), F.when(n < VOTES, F.lit(0).cast("long")).otherwise(F.get(own, at + 2))
+        return F.when(n > 0, F.xxhash64(F.lit(short), F.lit(j), F.least(n, F.lit(VOTES)), a.bitwiseAND(b).bitwiseOR(c.bitwiseAND(a.bitwiseOR(b)))))
 
-def _fingerprint(norm: Column, short: bool) -> Column:
-    """The blocks of a line as keys; null for an empty block."""
-
-    edges = [-(1 << 63) + (1 << 64) * j // BLOCKS for j in range(BLOCKS)]
-
-    def vote(three: Column, j: int) -> Column:
-        a, b, c = (F.when(x < edges[j + 1], x) if j + 1 < BLOCKS else x for x in (F.get(three, i) for i in range(VOTES)))
-        both = a.bitwiseAND(b)
-        most = F.when(c.isNotNull(), both.bitwiseOR(c.bitwiseAND(a.bitwiseOR(b)))).otherwise(F.coalesce(both, a))
-        return F.when(a.isNotNull(), F.xxhash64(F.lit(short), F.lit(j), b.isNull(), c.isNull(), most))
-
-    # sorted together with the first hashes of the groups, which show where each begins
-    own = F.sort_array(F.array_distinct(F.concat(_features(norm, short), F.array(*map(F.lit, edges)))))
-    block = lambda s, j: let(F.slice(s, F.array_position(s, F.lit(edges[j])).cast("int") + 1, VOTES), lambda three: vote(three, j))
-    return let(own, lambda s: F.array(*(block(s, j) for j in range(BLOCKS))))
-
-
-def blocks(norm: Column) -> Column:
-    """The keys of a line's blocks; none where nothing but equal lines are similar."""
-    n = F.length(norm)
-    words, pairs = _fingerprint(norm, False), _fingerprint(norm, True)
-    kinds = F.when(n <= SHORT, pairs).when(n * SIMILARITY <= SHORT, F.concat(words, pairs)).otherwise(words)
-    return F.when(n * (1 - SIMILARITY) < 1, F.array().cast("array<bigint>")).otherwise(F.array_compact(kinds))
+    return [vote(j) for j in range(BLOCKS)]
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, t (hash of the text), line, h (hash of the normal form) and keys (of its blocks) of every line that has a word."""
+    """doc_id, t (hash of the text), line, h (hash of the normal form) and keys (of its blocks) of every line that has a word.
+
+    keys has none where nothing but equal lines are similar. The columns are made one by one, so that all but the features' hashes is compiled.
+    """
     held = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     each = held.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(normal_lines(F.col("text"))).alias("line", "norm"))
-    return each.select("doc_id", "t", "line", F.trim("norm").alias("norm")).where("norm != ''").select("doc_id", "t", "line", F.xxhash64("norm").alias("h"), blocks(F.col("norm")).alias("keys"))
+    told = each.select("doc_id", "t", "line", F.trim("norm").alias("norm")).where("norm != ''").select("doc_id", "t", "line", "norm", F.xxhash64("norm").alias("h"), F.length("norm").alias("n"))
+    able = F.col("n") * (1 - SIMILARITY) >= 1
+    by_word = told.withColumn("w", F.when(able & (F.col("n") > SHORT), F.split("norm", " ")))
+    by_pair = by_word.withColumn("p", F.when(able & (F.col("n") * SIMILARITY <= SHORT), F.concat(F.lit(" "), "norm", F.lit(" "))))
+    word = F.transform("w", lambda x, i: F.when(F.length(x) >= WORD, F.xxhash64(x)).otherwise(F.xxhash64(x, F.get("w", i + 1))))
+    pair = F.transform(F.sequence(F.lit(1), F.length("p") - 1), lambda i: F.xxhash64(F.substring("p", i, F.lit(2))))
+    # sorted together with the first hashes of the groups, which show where each begins
+    own = lambda features: F.sort_array(F.array_distinct(F.concat(features, F.array(*map(F.lit, EDGES)))))
+    sets = by_pair.select("doc_id", "t", "line", "h", own(word).alias("w"), own(pair).alias("p"))
+    place = lambda c, j: F.array_position(c, F.lit(EDGES[j])).cast("int") if j < BLOCKS else F.size(c) + 1
+    places = sets.select("*", *(place(c, j).alias(f"{c}{j}") for c in ("w", "p") for j in range(BLOCKS + 1)))
+    return places.select("doc_id", "t", "line", "h", F.array_compact(F.array(*_votes("w", False), *_votes("p", True))).alias("keys"))
 
 
 def _edits(a: Column, b: Column, least: float) -> Column:
@@ -103,10 +102,30 @@ def word_symbols(norm: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " "), code), "")), "UTF-32")
 
 
+def _odd(hashes: Column) -> Column:
+    """PARITY numbers of 64 bits: a bit for each of as many buckets, set if an odd number of hashes falls there."""
+    own = lambda x, q: x.bitwiseAND(F.lit(PARITY - 1)) == q
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(x, 8), F.lit(64)).cast("int"))
+    part = lambda all_, q: F.aggregate(all_, F.lit(0).cast("long"), lambda s, x: F.when(own(x, q), s.bitwiseXOR(bit(x))).otherwise(s))
+    return let(hashes, lambda all_: F.struct(*(part(all_, q).alias(f"q{q}") for q in range(PARITY))))
+
+
 def forms(norm: Column) -> Column:
-    """What lines are compared by: their length n, chars (null if long) and words."""
+    """What lines are compared by: their length n, chars (null if long) and words; w, the number of words, and parities of words and of pairs of characters."""
     n = F.length(norm)
-    return F.struct(n.alias("n"), F.when(n <= LONG, norm).alias("chars"), word_symbols(norm).alias("words"))
+    pairs = F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(F.substring(F.concat(F.lit(" "), norm, F.lit(" ")), i + 1, F.lit(2))))
+    # by the same 20 bits as the words' symbols
+    words = F.transform(F.split(norm, " "), lambda w: F.xxhash64(F.pmod(F.xxhash64(w), F.lit(1 << 20))))
+    return F.struct(n.alias("n"), F.when(n <= LONG, norm).alias("chars"), word_symbols(norm).alias("words"), F.size(words).alias("w"), _odd(words).alias("odd_words"), F.when(n <= LONG, _odd(pairs)).alias("odd_pairs"))
+
+
+def may_be_similar(a: Column, b: Column, least: float = SIMILARITY) -> Column:
+    """False only where similar() is false, by lengths and parities alone: an edit of a word changes two buckets at most, one of a character four."""
+    long = F.greatest(a["n"], b["n"]) > LONG
+    la, lb = (F.when(long, x["w"]).otherwise(x["n"]) for x in (a, b))
+    allowed = F.floor((1 - least) * F.greatest(la, lb) + 1e-9)
+    apart = lambda of: sum((F.bit_count(a[of][f"q{q}"].bitwiseXOR(b[of][f"q{q}"])) for q in range(PARITY)), F.lit(0))
+    return (F.abs(la - lb) <= allowed) & F.when(long, apart("odd_words") <= 2 * allowed).otherwise(apart("odd_pairs") <= 4 * allowed)
 
 
 def similar(a: Column, b: Column, least: float = SIMILARITY) -> Column:
@@ -139,7 +158,37 @@ def _links(pairs: DataFrame, keyed: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs a, b that share SHARED blocks and are similar."""
     side = lambda name, df, old, new: df.select(F.col("h").alias(name), F.col(old).alias(new))
     near = pairs.join(side("a", keyed, "keys", "k"), "a").join(side("b", keyed, "keys", "l"), "b").where(F.size(F.array_intersect("k", "l")) >= SHARED).select("a", "b")
-    return durable(near.join(side("a", texts, "form", "x"), "a").join(side("b", texts, "form", "y"), "b").where(similar(F.col("x"), F.col("y"))).select("a", "b"))
+    return durable(near.join(side("a", texts, "form", "x"), "a").join(side("b", texts, "form", "y"), "b").where(may_be_similar(F.col("x"), F.col("y")) & similar(F.col("x"), F.col("y"))).select("a", "b"))
+
+
+def _all(several: list[DataFrame]) -> DataFrame:
+    every = several[0]
+    for more in several[1:]:
+        every = every.unionByName(more)
+    return every
+
+
+def _last_level(crowded: DataFrame, rest: DataFrame, out: list[DataFrame], within: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b: pairs that connect what `out` connects, and the crowds of one path (crowded: key, h). rest: key and o, the members unlike their leader.
+
+    More leaders are tried, each on those that no leader before is like. Then only lines that are not connected yet are compared, and of these
+    only those whose lengths and parities allow it.
+    """
+    left = rest
+    for _ in range(LEADERS):
+        led = left.join(left.groupBy("key").agg(F.min("o").alias("a")), "key").where("o != a")
+        alike = _links(led.select("a", F.col("o").alias("b")).distinct(), within, texts)
+        out.append(alike)
+        left = durable(led.join(alike.withColumnRenamed("b", "o"), ["a", "o"], "left_anti").select("key", "o"))
+    found = durable(connected_components(_all(out)))
+    told = durable(texts.join(crowded.select("h").distinct(), "h").join(found.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("component", "h").alias("c"), F.col("form").dropFields("chars", "words").alias("f")))
+    ours = rest.join(told.select(F.col("h").alias("o"), F.col("c").alias("d"), F.col("f").alias("g")), "o")
+    theirs = crowded.select("key", "h").join(rest.select("key", F.col("o").alias("h"), F.lit(True).alias("too")), ["key", "h"], "left").join(told, "h")
+    # of two that are both unlike their leader, one meets the other
+    unlinked = (F.col("c") != F.col("d")) & (F.col("o") != F.col("h")) & (F.col("too").isNull() | (F.col("o") < F.col("h")))
+    met = durable(ours).join(durable(theirs), "key").where(unlinked & may_be_similar(F.col("f"), F.col("g")))
+    others = met.select(F.least("o", "h").alias("a"), F.greatest("o", "h").alias("b")).distinct()
+    return _all([found.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b")), _links(others, within, texts)])
 
 
 def links(docs: DataFrame, found: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -163,9 +212,7 @@ def links(docs: DataFrame, found: DataFrame, crowd: int = CROWD) -> DataFrame:
         out.append(alike)
         rest = durable(led.join(alike.withColumnRenamed("b", "h"), ["a", "h"], "left_anti").select("key", F.col("h").alias("o")))
         if depth == SHARED:
-            others = rest.join(crowded, "key").where("o != h").select(F.least("o", "h").alias("a"), F.greatest("o", "h").alias("b")).distinct()
-            out.append(_links(others, within, texts))
-            break
+            return _last_level(crowded, rest, out, within, texts)
         # under one more block: those with something left, and the others that share that block with it
         deeper = lambda df: df.join(within, "h").select("h", "path", F.explode(F.array_except("keys", "path")).alias("k")).select("h", F.array_sort(F.concat("path", F.array("k"))).alias("path"))
         left = durable(deeper(crowded.join(rest.withColumnRenamed("o", "h"), ["key", "h"])).distinct())
@@ -174,10 +221,6 @@ def links(docs: DataFrame, found: DataFrame, crowd: int = CROWD) -> DataFrame:
         small = _pairs(sized.where(F.col("n") <= crowd)).distinct()
         out.append(_links(small, within, texts))
         named = sized.where(F.col("n") > crowd).select("path", "key", "h")
-    every = out[0]
-    for more in out[1:]:
-        every = every.unionByName(more)
-    return every
 
 
 def duplicate_lines(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
